@@ -15,20 +15,30 @@ TRUE_TOKENS = ("true", "1", "yes", "si", "sí")
 LOCAL_ZONE = "America/Mexico_City"
 
 _BLANKS = " \t\n\r\x0b\x0c"
-_PATTERN_LETTERS = {"%d": "d", "%m": "M", "%Y": "yyyy", "%H": "H", "%M": "m", "%S": "s", "%f": "SSSSSS"}
+# strftime directive → (pattern letters, digits it may have)
+_DIRECTIVES = {
+    "%d": ("d", "[0-9]{1,2}"),
+    "%m": ("M", "[0-9]{1,2}"),
+    "%Y": ("yyyy", "[0-9]{4}"),
+    "%H": ("H", "[0-9]{1,2}"),
+    "%M": ("m", "[0-9]{1,2}"),
+    "%S": ("s", "[0-9]{1,2}"),
+    "%f": ("SSSSSS", "[0-9]{1,6}"),
+}
 
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
-def datetime_pattern(strftime_format: str) -> str:
-    pattern = strftime_format
-    for directive, letters in _PATTERN_LETTERS.items():
-        pattern = pattern.replace(directive, letters)
+def datetime_pattern(strftime_format: str) -> tuple[str, str]:
+    """(parser pattern, regular expression of the texts it can apply to)."""
+    pattern, shape = strftime_format, strftime_format.replace(".", "[.]")
+    for directive, (letters, digits) in _DIRECTIVES.items():
+        pattern, shape = pattern.replace(directive, letters), shape.replace(directive, digits)
     if "%" in pattern:
         raise ValueError(f"unsupported directive in {strftime_format!r}")
-    return pattern
+    return pattern, f"^{shape}$"
 
 
 def parse_datetime(
@@ -37,11 +47,16 @@ def parse_datetime(
     date_formats: Sequence[str] = DATE_FORMATS,
     time_formats: Sequence[str] = TIME_FORMATS,
 ) -> Column:
-    """First format pair that parses wins; NULL where none does. Day and month are never swapped."""
+    """First format pair that parses wins; NULL where none does. Day and month are never swapped.
+
+    The shape of the text is tested first: a parser that fails raises internally, which costs far more.
+    """
     text = F.concat(strip(date), F.lit(" "), strip(time))
-    attempts = [
-        F.try_to_timestamp(text, F.lit(datetime_pattern(f"{d} {t}"))) for d in date_formats for t in time_formats
-    ]
+    attempts = []
+    for date_format in date_formats:
+        for time_format in time_formats:
+            pattern, shape = datetime_pattern(f"{date_format} {time_format}")
+            attempts.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))))
     return F.coalesce(*attempts).cast("timestamp_ntz")
 
 

@@ -69,7 +69,10 @@ def reject_reason(rules: CleaningRules) -> Column:
 
 
 def _typed(rows: DataFrame, rules: CleaningRules) -> DataFrame:
-    typed = rows.withColumns(typed_trip_columns(rules))
+    # A one-element inline keeps the parsed values as columns: a projection alone would be merged into
+    # the filters and rules above it, and every one of them would parse the row again.
+    parsed = F.struct(*[c.alias(name) for name, c in typed_trip_columns(rules).items()])
+    typed = rows.select("*", F.inline(F.array(parsed)))
     timed = typed.withColumn("duration_min", S.duration_min(F.col("retiro_ts"), F.col("arribo_ts")))
     return timed.withColumn("reason", reject_reason(rules))
 

@@ -13,7 +13,8 @@ from pedalflow.operators import features as FE
 from pedalflow.operators import forecast as FC
 from pedalflow.operators import hourly as H
 from pedalflow.operators import rebalance as R
-from pedalflow.session import prepare
+from pedalflow.session import prepare, scratch_path
+from pedalflow.sources.sinks import read_table, write_table
 
 
 class Domain:
@@ -236,10 +237,17 @@ class Domain:
             FE.recent_availability(self.availability, self.bridge),
         )
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """The feature table as a stored table, read back: fitting and scoring read it several times."""
+        path = scratch_path(self.spark, "features")
+        write_table(self.features, path)
+        return read_table(self.spark, path)
+
     @cached_property
     def predictions(self) -> DataFrame:
         """Baseline predictions next to a naive forecast, the mean of the day before."""
-        split = FC.temporal_split(self.features.select("station_id", "ts", "hour", "dow", "salidas", "salidas_roll_mean_24"))
+        split = FC.temporal_split(self.stored_features.select("station_id", "ts", "hour", "dow", "salidas", "salidas_roll_mean_24"))
         fitted = FC.fit_baseline(split.filter(F.col("split") == "train"))
         scored = FC.predict_baseline(fitted, split).withColumn("y_pred_model", F.coalesce("salidas_roll_mean_24", F.lit(0.0)))
         return FC.model_predictions(scored, "salidas", "naive_v1", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))

@@ -246,7 +246,7 @@ SELECT station_id, ts, "split", 'linea_base' AS modelo, y_true, y_pred_baseline
 UNION ALL SELECT station_id, ts, "split", 'modelo', y_true, y_pred_model FROM fx_preds"""
 
 
-def _metrics(pred: str = "y_pred", suffix: str = "", digits: int = 6) -> str:
+def _metrics(pred: str = "y_pred", suffix: str = "", digits: int = 9) -> str:
     return (
         f"round(avg(abs(y_true - {pred})), {digits}) AS mae{suffix}, "
         f"round(sqrt(avg((y_true - {pred}) * (y_true - {pred}))), {digits}) AS rmse{suffix}, "
@@ -432,9 +432,9 @@ SELECT url, period_key FROM fx_keyed
 WHERE period_key >= 199602 AND NOT (download_status = 'downloaded' AND local_path IS NOT NULL AND size_bytes % 5 <> 0)"""
 SQL["dow_hour_filter_P8"] = 'SELECT * FROM fx_avail WHERE (dayofweek("date") + 6) % 7 IN (0, 1, 2, 3, 4) AND "hour" = 18'
 SQL["min_risk_filter_P9"] = """
-SELECT station_id, round(least(greatest(255.0::DOUBLE * riesgo_vaciado, 0), 255), 6) AS r,
-       round(least(greatest(200.0::DOUBLE * (1 - riesgo_vaciado), 0), 255), 6) AS g, round(40.0::DOUBLE + demanda_media * 25, 6) AS radio
-FROM fx_risk_plain WHERE riesgo_vaciado >= 0.1::DOUBLE"""
+SELECT station_id, round(least(greatest(255.0::DOUBLE * riesgo_vaciado, 0), 255), 4) AS r,
+       round(least(greatest(200.0::DOUBLE * (1 - riesgo_vaciado), 0), 255), 4) AS g, round(40.0::DOUBLE + demanda_media * 25, 4) AS radio
+FROM fx_risk_plain WHERE riesgo_vaciado >= 0.02::DOUBLE"""
 SQL["peak_hours_P10"] = """
 SELECT station_id, ts, y_true, y_pred_baseline FROM fx_test WHERE "hour" IN (7, 8, 9, 17, 18, 19, 20)"""
 SQL["latest_ts_rows_P11"] = """
@@ -577,10 +577,10 @@ SQL["evaluation_verdict_A17"] = """
 SELECT round(b, 6) AS mae_base, round(m, 6) AS mae_modelo, CASE WHEN b <> 0 THEN round_even(100 * (b - m) / b, 2) ELSE 0 END AS mejora_pct,
        CASE WHEN m < b THEN 'el modelo SUPERA a la línea base' ELSE 'el modelo NO supera a la línea base' END AS veredicto
 FROM (SELECT avg(abs(y_true - y_pred_baseline)) AS b, avg(abs(y_true - y_pred_model)) AS m FROM fx_test)"""
-_PROFILE = "round(avg(salidas), 6) AS salidas, round(avg(llegadas), 6) AS llegadas, round(avg(flujo_neto), 6) AS flujo_neto"
+_PROFILE = "round(avg(salidas), 9) AS salidas, round(avg(llegadas), 9) AS llegadas, round(avg(flujo_neto), 9) AS flujo_neto"
 SQL["demand_profile_A18"] = f'SELECT station_id, "hour", {_PROFILE} FROM fx_demand GROUP BY 1, 2'
 SQL["demand_profile_station_A18"] = f"SELECT \"hour\", {_PROFILE} FROM fx_demand WHERE station_id = '2' GROUP BY 1"
-_STOCK = "round(avg(bikes_start), 6) AS bicis_promedio, round(avg(minutes_zero_bikes), 6) AS min_sin_bicis"
+_STOCK = "round(avg(bikes_start), 9) AS bicis_promedio, round(avg(minutes_zero_bikes), 9) AS min_sin_bicis"
 SQL["availability_profile_A19"] = f"""
 SELECT b.historico_id, a."hour", {_STOCK} FROM fx_avail a JOIN fx_bridge b ON b.gbfs_id = a.station_id GROUP BY 1, 2"""
 SQL["availability_profile_station_A19"] = f"""
@@ -590,7 +590,7 @@ SQL["stations_risk_filtered_A21"] = _risk(
     'd.dow IN (0, 1, 2, 3, 4) AND d."hour" = 18', '(dayofweek("date") + 6) % 7 IN (0, 1, 2, 3, 4) AND "hour" = 18'
 )
 SQL["stations_risk_fallback_A21"] = "SELECT * FROM fx_risk_plain"
-SQL["hourly_mean_all_A22"] = 'SELECT "hour", round(avg(salidas), 6) AS salidas_prom FROM fx_demand GROUP BY 1'
+SQL["hourly_mean_all_A22"] = 'SELECT "hour", round(avg(salidas), 9) AS salidas_prom FROM fx_demand GROUP BY 1'
 SQL["move_totals_A23"] = """
 SELECT CAST(sum(moves) AS BIGINT) AS movimientos, CAST(sum(bikes) AS BIGINT) AS bicis_movidas,
        round_even(100.0::DOUBLE * (sum(before) - sum(after)) / sum(before), 2) AS pct_desabasto_evitado
@@ -601,7 +601,7 @@ SQL["net_pressure_A25"] = "SELECT station_id, CAST(sum(flujo_neto) AS BIGINT) AS
 SQL["temporal_quantiles_A26"] = "SELECT * FROM fx_bounds"
 SQL["temporal_quantiles_rows_A26"] = _cut("events")
 SQL["has_data_A27"] = "SELECT count(*) > 0 AS has_data FROM fx_trips"
-SQL["map_center_A28"] = "SELECT round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM fx_info_last"
+SQL["map_center_A28"] = "SELECT round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon FROM fx_info_last"
 SQL["run_counts_A29"] = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS n FROM {source}"
     for name, source in {
@@ -643,7 +643,7 @@ SELECT url, period_key FROM fx_keyed WHERE period_key <= 199912 ORDER BY period_
 SQL["moves_by_size_T5"] = "SELECT * FROM fx_moves"
 SQL["station_list_T5"] = "SELECT DISTINCT station_id FROM fx_demand"
 SQL["demand_timeseries_T5"] = """
-SELECT station_id, ts, "split", round(y_true, 6) AS observado, round(y_pred_baseline, 6) AS linea_base, round(y_pred_model, 6) AS modelo FROM fx_preds"""
+SELECT station_id, ts, "split", round(y_true, 9) AS observado, round(y_pred_baseline, 9) AS linea_base, round(y_pred_model, 9) AS modelo FROM fx_preds"""
 SQL["predict_ranking_T6"] = "SELECT station_id, ts, round(y_pred_model, 9) AS y_pred FROM fx_preds"
 
 SQL["union_distinct_grid_U1"] = "SELECT * FROM fx_keys"
@@ -748,7 +748,7 @@ SQL["balance_state_M9"] = "SELECT * FROM fx_state"
 SQL["snapshot_stream_X1"] = """
 SELECT f.station_id || '|' || f.last_reported AS capture_id, f.station_id, CASE WHEN bikes >= 0 THEN bikes END AS num_bikes_available,
        CASE WHEN docks >= 0 THEN docks END AS num_docks_available, f.last_reported, t.captured_at_utc
-FROM fx_first_entries f JOIN fx_doc_times t USING (doc_id), (SELECT unnest([1, 2]) AS copy)"""
+FROM fx_first_entries f JOIN fx_doc_times t USING (doc_id)"""
 SQL["stream_dedupe_X2"] = "SELECT DISTINCT station_id, last_reported FROM fx_first_entries"
 SQL["stream_scd_X3"] = "SELECT DISTINCT station_id, name, lat, lon, capacity FROM fx_info"
 SQL["stream_availability_X4"] = """
@@ -757,8 +757,8 @@ SQL["stream_demand_X5"] = """
 SELECT * FROM fx_demand WHERE CAST("date" AS TIMESTAMP) + to_hours("hour" + 1)
   <= (SELECT greatest(max(retiro_ts), max(arribo_ts)) - INTERVAL 5 HOUR FROM fx_trips)"""
 SQL["stream_quality_X6"] = """
-SELECT CAST(2 * count(*) AS BIGINT) AS documents, CAST(2 * sum(dup_stations) AS BIGINT) AS dup_stations,
-       CAST(2 * sum(negativos) AS BIGINT) AS negativos, CAST(2 * sum(sin_station_id) AS BIGINT) AS sin_station_id FROM fx_quality"""
+SELECT count(*) AS documents, CAST(sum(dup_stations) AS BIGINT) AS dup_stations,
+       CAST(sum(negativos) AS BIGINT) AS negativos, CAST(sum(sin_station_id) AS BIGINT) AS sin_station_id FROM fx_quality"""
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

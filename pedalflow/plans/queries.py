@@ -141,7 +141,9 @@ def manifest_scan(d):
 def alias_scan(d):
     rows = d.bridge.selectExpr("historico_id", "gbfs_id", "match_method AS nombre_referencia", "'x' AS nota")
     comment = rows.limit(1).selectExpr("'# nota' AS historico_id", "'x' AS gbfs_id", "'x' AS nombre_referencia", "'x' AS nota")
-    return csv_files.read_aliases(d.spark, _write_csv(rows.union(comment), scratch_path(d.spark, "aliases")))
+    path = scratch_path(d.spark, "aliases")
+    rows.union(comment).write.option("header", True).option("comment", "~").csv(path)  # '#' is written unquoted
+    return csv_files.read_aliases(d.spark, path)
 
 
 def _station_catalog(d: Domain) -> DataFrame:
@@ -277,8 +279,8 @@ def _risk_columns(df: DataFrame) -> DataFrame:
 
 @query("min_risk_filter_P9")
 def min_risk_filter(d):
-    shown = I.min_risk(_risk(d), 0.1)
-    return shown.select("station_id", *[F.round(c, 6).alias(c) for c in ("r", "g", "radio")])
+    shown = I.min_risk(_risk(d), 0.02)
+    return shown.select("station_id", *[F.round(c, 4).alias(c) for c in ("r", "g", "radio")])
 
 
 @query("peak_hours_P10")
@@ -423,7 +425,7 @@ def meta_avail_join(d):
 
 
 def _split(d: Domain) -> DataFrame:
-    return FC.temporal_split(d.features.select("station_id", "ts", "hour", "dow", "salidas"))
+    return FC.temporal_split(d.stored_features.select("station_id", "ts", "hour", "dow", "salidas"))
 
 
 @query("fallback_lookup_J16")
@@ -493,7 +495,7 @@ def pair_range_join(d):
 
 
 def _rounded_metrics(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, *[(c if kind == "bigint" else F.round(c, 6).alias(c)) for c, kind in df.dtypes if c not in keys])
+    return df.select(*keys, *[(c if kind == "bigint" else F.round(c, 9).alias(c)) for c, kind in df.dtypes if c not in keys])
 
 
 @query("compare_merge_J26")
@@ -804,7 +806,7 @@ def demand_timeseries(d):
 
 
 def _trained(d: Domain, iterations: int = 5) -> FC.TrainedForecast:
-    return FC.train(d.features, iterations=iterations)
+    return FC.train(d.stored_features, iterations=iterations)
 
 
 @query("predict_ranking_T6")
@@ -1031,13 +1033,13 @@ def model_artifact(d):
     path = scratch_path(d.spark, "model")
     FC.save_model(d.spark, _trained(d), path)
     model, meta = FC.load_model(d.spark, path)
-    return FC.predict_frame(model, d.features, meta["feature_cols"]).select("station_id", "ts", "y_pred")
+    return FC.predict_frame(model, d.stored_features, meta["feature_cols"]).select("station_id", "ts", "y_pred")
 
 
 @query("predict_latest_M6")
 def predict_latest(d):
     trained = _trained(d)
-    return FC.predict_latest(trained.model, d.features, trained.columns)
+    return FC.predict_latest(trained.model, d.stored_features, trained.columns)
 
 
 @query("model_predictions_M7")
@@ -1097,9 +1099,9 @@ def full_run(d):
 
 
 def _landed(d: Domain, docs: DataFrame) -> str:
-    """Documents as landed files, one per line, everything delivered twice."""
+    """Documents as landed files, one per line."""
     path = scratch_path(d.spark, "landing")
-    docs.select("doc").union(docs.select("doc")).write.text(path)
+    docs.select("doc").write.text(path)
     return path
 
 
@@ -1119,13 +1121,13 @@ def snapshot_stream(d):
 
 @query("stream_dedupe_X2")
 def stream_dedupe(d):
-    path = _drain(d, d.status_docs, streams.stream_dedupe)
+    path = _drain(d, d.status_docs.union(d.status_docs), streams.stream_dedupe)  # every document comes twice
     return streams.read_stored(d.spark, path, "station_status").select("station_id", "last_reported")
 
 
 @query("stream_scd_X3")
 def stream_scd(d):
-    path = _drain(d, d.information_docs, streams.stream_scd)
+    path = _drain(d, d.information_docs.union(d.information_docs), streams.stream_scd)
     return streams.read_stored(d.spark, path, "station_information").select("station_id", "name", "lat", "lon", "capacity")
 
 
@@ -1133,7 +1135,7 @@ def _event_stream(d: Domain) -> Domain:
     """The same domain with its events table read as a stream."""
     live = Domain(d.spark, d.sf_dir)
     schema = d.table("events").schema
-    streamed = d.spark.readStream.schema(schema).parquet(f"{d.sf_dir}/events.parquet")
+    streamed = d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
     batch = live.table
     live.table = lambda name: streamed if name == "events" else batch(name)
     live.__dict__["stations_total"] = d.stations_total

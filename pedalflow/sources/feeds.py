@@ -21,8 +21,9 @@ _FEEDS = "struct<feeds: array<struct<name: string, url: string>>>"
 
 
 def _stations(docs: DataFrame, doc_schema: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row per entry; a document without entries keeps one row without position."""
     parsed = docs.select(*keep, F.from_json("doc", doc_schema).alias("_d"))
-    return parsed.select(*keep, F.posexplode("_d.data.stations").alias("pos", "st"))
+    return parsed.select(*keep, F.posexplode_outer("_d.data.stations").alias("pos", "st"))
 
 
 def first_in_doc(stations: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -57,23 +58,17 @@ def parse_station_status(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
 
 def status_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: repeated stations, entries with a negative count, entries without an id."""
-    stations = _stations(docs, _STATUS_DOC, keep)
-    nameless = stations.groupBy(*keep).agg(
-        F.count_if(F.col("st.station_id").isNull()).alias("sin_station_id"),
-        F.count(F.lit(1)).alias("_entries"),
+    per_station = (
+        _stations(docs, _STATUS_DOC, keep)
+        .groupBy(*keep, F.col("st.station_id").alias("station_id"))
+        .agg(F.min_by("st", "pos").alias("st"), F.count("pos").alias("entries"))
     )
-    first = first_in_doc(stations, keep)
     bikes, docks = S.as_int(F.col("st.num_bikes_available")), S.as_int(F.col("st.num_docks_available"))
-    defects = first.groupBy(*keep).agg(
-        F.sum(F.col("entries") - 1).alias("dup_stations"),
-        F.count_if((bikes < 0) | (docks < 0)).alias("negativos"),
-    )
-    counted = nameless.join(defects, list(keep), "left")
-    # a document without stations has no exploded row, yet it is a document with zero defects
-    return (
-        docs.select(*keep)
-        .join(counted, list(keep), "left")
-        .select(*keep, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("dup_stations", "negativos", "sin_station_id")])
+    named = F.col("station_id").isNotNull()
+    return per_station.groupBy(*keep).agg(
+        F.sum(F.when(named, F.col("entries") - 1).otherwise(F.lit(0))).alias("dup_stations"),
+        F.count_if(named & ((bikes < 0) | (docks < 0))).alias("negativos"),
+        F.sum(F.when(named, F.lit(0)).otherwise(F.col("entries"))).alias("sin_station_id"),
     )
 
 

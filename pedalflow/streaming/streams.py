@@ -108,7 +108,10 @@ def append_information(rows: DataFrame, path: str, batch_id: int, against: str =
 def _run(
     stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    def load(batch: DataFrame, batch_id: int) -> None:
+        each_batch(batch.dropDuplicates(["doc_id"]), batch_id)  # a document landed twice is one document
+
+    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()
 
 
