@@ -116,7 +116,12 @@ def classify(raw: DataFrame, rules: CleaningRules | None = None) -> DataFrame:
 
 def trips_clean(raw: DataFrame, run_id: str, rules: CleaningRules | None = None) -> DataFrame:
     """Valid trips. One shuffle: the grouping that drops copies also makes ``trip_id`` unique."""
-    valid = classify_distinct(raw, rules).filter(F.col("reason").isNull())
+    return clean_of(classify_distinct(raw, rules), run_id)
+
+
+def clean_of(distinct: DataFrame, run_id: str) -> DataFrame:
+    """Valid trips of classified distinct rows."""
+    valid = distinct.filter(F.col("reason").isNull())
     return conform(
         valid.withColumns(
             {"genero": F.col("genero_usuario"), "edad": S.coerce_age(F.col("edad_usuario")), "run_id": F.lit(run_id)}
@@ -125,11 +130,37 @@ def trips_clean(raw: DataFrame, run_id: str, rules: CleaningRules | None = None)
     )
 
 
+# copies written out by one task at a time; the rest of a much repeated row goes to other tasks
+_COPIES_PER_TASK = 100_000
+
+
+def _repeats(distinct: DataFrame) -> DataFrame:
+    """One row per copy after the first. A row with very many copies is unfolded by many tasks."""
+    more = distinct.filter(F.col("copies") > 1).withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 2) / _COPIES_PER_TASK)))
+    )
+    spread = more.repartition("source_file", *KEY_COLUMNS, "_slice")
+    left = F.least(F.lit(_COPIES_PER_TASK), F.col("copies") - 1 - F.col("_slice") * _COPIES_PER_TASK)
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).withColumn(
+        "reason", F.lit(DUPLICATE)
+    )
+
+
 def trip_rejections(
     raw: DataFrame, run_id: str, rules: CleaningRules | None = None, rejected_at: Column | None = None
 ) -> DataFrame:
     """Rejected rows, one per raw row, with the raw date and time texts."""
-    rejected = classify(raw, rules).filter(F.col("reason").isNotNull())
+    return rejections_of(classify_distinct(raw, rules), run_id, rejected_at)
+
+
+def rejections_of(distinct: DataFrame, run_id: str, rejected_at: Column | None = None) -> DataFrame:
+    """Rejected rows of classified distinct rows.
+
+    All that is kept of a copy follows from its key columns, so copies are unfolded from their number:
+    the raw rows are read and shuffled once, and no row has to be found again.
+    """
+    first = distinct.filter(F.col("reason").isNotNull())
+    rejected = first.unionByName(_repeats(distinct).select(*first.columns))
     return conform(
         rejected.withColumns(
             {
@@ -146,14 +177,18 @@ def trip_rejections(
 
 def rejection_report(raw: DataFrame, rules: CleaningRules | None = None) -> DataFrame:
     """One row per file: total, valid, rejected, percentage, and a count per reason."""
-    reasons = classify_distinct(raw, rules)
+    return report_of(classify_distinct(raw, rules))
+
+
+def report_of(distinct: DataFrame) -> DataFrame:
+    """The report of classified distinct rows."""
 
     def rows_with(reason: str) -> Column:
         if reason == DUPLICATE:
             return F.sum(F.col("copies") - 1)
         return F.count_if(F.col("reason") == reason)
 
-    totals = reasons.groupBy("source_file").agg(
+    totals = distinct.groupBy("source_file").agg(
         F.sum("copies").alias("total"),
         F.count_if(F.col("reason").isNull()).alias("validas"),
         *[rows_with(r).alias(f"motivo_{r}") for r in REASONS],

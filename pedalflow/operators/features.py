@@ -120,14 +120,30 @@ def lag_columns(w, lags: Sequence[int] = LAG_HOURS, column: str = "salidas") ->
     return [F.lag(column, k).over(w).alias(f"{column}_lag_{k}") for k in lags]
 
 
-def rolling_columns(w, windows: Sequence[int] = ROLLING_HOURS, column: str = "salidas") -> list[Column]:
-    """Mean and exact median of the rows before the current one."""
-    out = []
-    for hours in windows:
-        before = w.rowsBetween(-hours, -1)
-        out.append(F.avg(column).over(before).alias(f"{column}_roll_mean_{hours}"))
-        out.append(F.percentile(column, F.lit(0.5)).over(before).alias(f"{column}_roll_median_{hours}"))
-    return out
+def running_columns(w, column: str = "salidas") -> list[Column]:
+    """Sum and number of the rows before the current one, which every rolling mean is taken from."""
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return [F.sum(column).over(before).alias("_sum"), (F.row_number().over(w) - 1).alias("_seen")]
+
+
+def rolling_means(w, windows: Sequence[int] = ROLLING_HOURS, column: str = "salidas") -> list[Column]:
+    """Mean of up to ``hours`` rows before the current one: the difference of two running sums.
+
+    One step per row whatever the length of the window, where a moving frame adds up every row again.
+    """
+    return [
+        ((F.col("_sum") - F.coalesce(F.lag("_sum", hours).over(w), F.lit(0.0))) / F.nullif(F.least("_seen", F.lit(hours)), F.lit(0)))
+        .alias(f"{column}_roll_mean_{hours}")
+        for hours in windows
+    ]
+
+
+def rolling_medians(w, windows: Sequence[int] = ROLLING_HOURS, column: str = "salidas") -> list[Column]:
+    """Exact median of up to ``hours`` rows before the current one."""
+    return [
+        F.percentile(column, F.lit(0.5)).over(w.rowsBetween(-hours, -1)).alias(f"{column}_roll_median_{hours}")
+        for hours in windows
+    ]
 
 
 def build_feature_frame(
@@ -142,14 +158,16 @@ def build_feature_frame(
     block_hours = max(_MIN_BLOCK_HOURS, 8 * halo)
     blocks = _grid_blocks(with_ts(demand), availability_ts, block_hours, halo)
     w = Window.partitionBy("station_id", "block").orderBy("hour_no")
-    lagged = blocks.select(
+    summed = blocks.select("*", *running_columns(w))
+    lagged = summed.select(
         "station_id",
         "block",
         "hour_no",
         *_FLOWS,
         F.lag("bikes_end", 1).over(w).alias("bikes_end_lag_1"),
         *lag_columns(w, lag_hours),
-        *rolling_columns(w, rolling_windows),
+        *rolling_means(w, rolling_windows),
+        *rolling_medians(w, rolling_windows),
     ).filter(F.col("hour_no") >= F.col("block") * block_hours)
     timed = lagged.withColumn("ts", _hour_at(F.col("hour_no")))
     lag_names = [f"salidas_lag_{k}" for k in lag_hours]

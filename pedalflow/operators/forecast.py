@@ -147,7 +147,7 @@ def train_model(
     ]
     # a fixed order inside stable partitions makes row sampling, and so the model, repeatable
     ready = _numbers(train, columns).withColumn("_y", F.col(target).cast("double"))
-    ready = ready.repartition("station_id").sortWithinPartitions("station_id", "ts")
+    ready = ready.repartition("station_id", F.col("ts").cast("date")).sortWithinPartitions("station_id", "ts")
     return Pipeline(stages=stages).fit(ready), columns
 
 

@@ -24,6 +24,9 @@ MODEL_VERSION = "rebalanceo_heuristico_v1"
 
 WINDOW_KEYS = ("target_ts",)
 
+# rounds between two writes to the shared folder
+_ROUNDS_PER_CUT = 3
+
 
 # --- expected inventory ------------------------------------------------------------------------
 
@@ -221,21 +224,23 @@ def allocate(pairs: DataFrame, keys: Sequence[str] = WINDOW_KEYS) -> DataFrame:
     def before(w, c: str) -> Column:
         return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    current = cut_lineage(pairs.withColumn("cap", F.col("avail").cast("bigint")))
-    while True:
-        asked = current.withColumn(
+    def one_round(state: DataFrame) -> DataFrame:
+        asked = state.withColumn(
             "asked", F.greatest(F.least(F.col("cap"), F.col("need") - before(by_distance, "cap")), F.lit(0))
         )
         granted = asked.withColumn(
             "qty", F.greatest(F.least(F.col("asked"), F.col("avail") - before(by_priority, "asked")), F.lit(0))
         )
         refused = F.col("qty") < F.col("asked")
-        current = cut_lineage(
-            granted.withColumns({"cap": F.when(refused, F.col("qty")).otherwise(F.col("cap")), "refused": refused})
-        )
+        return granted.withColumns({"cap": F.when(refused, F.col("qty")).otherwise(F.col("cap")), "refused": refused})
+
+    current = cut_lineage(pairs.withColumn("cap", F.col("avail").cast("bigint")))
+    while True:
+        for _ in range(_ROUNDS_PER_CUT):
+            current = one_round(current.drop("asked", "qty", "refused"))
+        current = cut_lineage(current)
         if current.filter("refused").isEmpty():
             return current.filter(F.col("qty") > 0).drop("cap", "asked", "refused")
-        current = current.drop("asked", "qty", "refused")
 
 
 def moves_of(

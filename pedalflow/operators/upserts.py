@@ -19,7 +19,8 @@ def latest_per_key(versions: DataFrame, key: str, order: Column | str, *ties: Co
 
 def new_status_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Captures whose (station, last_reported) is unknown; captures without last_reported always load."""
-    known = stored.select("station_id", "last_reported").filter(F.col("last_reported").isNotNull())
+    # distinct combines copies before the shuffle that the join needs anyway, so no stored key is hot
+    known = stored.select("station_id", "last_reported").filter(F.col("last_reported").isNotNull()).distinct()
     dated = incoming.filter(F.col("last_reported").isNotNull())
     undated = incoming.filter(F.col("last_reported").isNull())
     return dated.join(known, ["station_id", "last_reported"], "left_anti").select(*incoming.columns).unionByName(undated)
@@ -31,7 +32,7 @@ def new_information_rows(incoming: DataFrame, stored: DataFrame, against: str =
         stored = latest_per_key(stored.select("station_id", *_INFO_STATE, "captured_at_utc"), "station_id", "captured_at_utc")
     elif against != "any":
         raise ValueError(f"unknown comparison {against!r}")
-    i, s = incoming.alias("i"), stored.select("station_id", *_INFO_STATE).alias("s")
+    i, s = incoming.alias("i"), stored.select("station_id", *_INFO_STATE).distinct().alias("s")
     same = F.col("i.station_id") == F.col("s.station_id")
     for c in _INFO_STATE:
         same = same & F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}"))

@@ -237,17 +237,26 @@ class Domain:
             FE.recent_availability(self.availability, self.bridge),
         )
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Written and read back, as between the stages of a run: later steps read it several times."""
+        path = scratch_path(self.spark, name)
+        write_table(df, path)
+        return read_table(self.spark, path)
+
     @cached_property
     def stored_features(self) -> DataFrame:
-        """The feature table as a stored table, read back: fitting and scoring read it several times."""
-        path = scratch_path(self.spark, "features")
-        write_table(self.features, path)
-        return read_table(self.spark, path)
+        return self.stored(self.features, "features")
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        """The columns of the features that the split and the baseline look at."""
+        columns = ("station_id", "ts", "hour", "dow", "salidas", "salidas_roll_mean_24")
+        return self.stored(self.features.select(*columns), "observed")
 
     @cached_property
     def predictions(self) -> DataFrame:
         """Baseline predictions next to a naive forecast, the mean of the day before."""
-        split = FC.temporal_split(self.stored_features.select("station_id", "ts", "hour", "dow", "salidas", "salidas_roll_mean_24"))
+        split = FC.temporal_split(self.observed)
         fitted = FC.fit_baseline(split.filter(F.col("split") == "train"))
         scored = FC.predict_baseline(fitted, split).withColumn("y_pred_model", F.coalesce("salidas_roll_mean_24", F.lit(0.0)))
         return FC.model_predictions(scored, "salidas", "naive_v1", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))

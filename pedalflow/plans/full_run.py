@@ -32,11 +32,13 @@ def run(spark: SparkSession, inputs: RunInputs, out: str, run_id: str, iteration
         write_table(df, f"{out}/{name}")
         return read_table(spark, f"{out}/{name}")
 
+    # the raw rows are read, shuffled and parsed once; trips, rejections and report come from the result
+    classified = stored(cleaning.classify_distinct(inputs.raw_trips), "classified")
     tables = {
-        "trips_clean": stored(cleaning.trips_clean(inputs.raw_trips, run_id), "trips_clean"),
-        "trip_rejections": stored(cleaning.trip_rejections(inputs.raw_trips, run_id), "trip_rejections"),
+        "trips_clean": stored(cleaning.clean_of(classified, run_id), "trips_clean"),
+        "trip_rejections": stored(cleaning.rejections_of(classified, run_id), "trip_rejections"),
     }
-    write_report(cleaning.rejection_report(inputs.raw_trips), f"{out}/reports/rejection_report")
+    write_report(cleaning.report_of(classified), f"{out}/reports/rejection_report")
     trips = tables["trips_clean"]
     demand = tables["demand_hourly"] = stored(hourly.demand_hourly(trips), "demand_hourly")
     availability = tables["availability_hourly"] = stored(

@@ -425,7 +425,7 @@ def meta_avail_join(d):
 
 
 def _split(d: Domain) -> DataFrame:
-    return FC.temporal_split(d.stored_features.select("station_id", "ts", "hour", "dow", "salidas"))
+    return FC.temporal_split(d.observed.drop("salidas_roll_mean_24"))
 
 
 @query("fallback_lookup_J16")

@@ -40,27 +40,38 @@ def file_layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _layout_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+def _layout_groups(
+    spark: SparkSession, paths: Sequence[str], encoding: str | None
+) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """Files by (encoding, header): one small row per file reaches the driver, never data."""
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    for row in file_layouts(spark, paths).orderBy("path").toLocalIterator():  # one small row per file
-        encoding = "UTF-8" if row["utf8"] else "ISO-8859-1"
-        header = bytes(row["header"]).decode(encoding).removeprefix("\ufeff")
-        groups[encoding, tuple(next(csv.reader([header])))].append(row["path"])
+    if encoding is not None:
+        for path in paths:
+            first = spark.read.option("encoding", encoding).option("escape", '"').csv(path).first()
+            groups[encoding, tuple(c or "" for c in first)].append(path)
+        return groups
+    for row in file_layouts(spark, paths).orderBy("path").toLocalIterator():
+        found = "UTF-8" if row["utf8"] else "ISO-8859-1"
+        header = bytes(row["header"]).decode(found).removeprefix("\ufeff")
+        groups[found, tuple(next(csv.reader([header])))].append(row["path"])
     return groups
 
 
-def read_raw_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+def read_raw_files(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool = False, encoding: str | None = None
+) -> DataFrame:
     """Canonical text columns plus ``source_file`` and ``row_pos`` (file order).
 
     Files are read in groups of equal encoding and header. A column the header has but the row leaves
-    empty is '', a column the header lacks is NULL.
+    empty is '', a column the header lacks is NULL. Telling encodings apart takes a scan of all bytes;
+    with a known ``encoding`` only the first line of each path (one file each) is looked at.
     """
     frames = []
-    for (encoding, header), files in _layout_groups(spark, paths).items():
+    for (found, header), files in _layout_groups(spark, paths, encoding).items():
         positions = canonical_header(list(header))
         raw = (
             spark.read.option("header", True)
-            .option("encoding", encoding)
+            .option("encoding", found)
             .option("escape", '"')
             .option("multiLine", multi_line)
             .schema(", ".join(f"_c{i} string" for i in range(len(header))))

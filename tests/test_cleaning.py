@@ -104,3 +104,10 @@ def test_availability_ignores_unknown_counts(spark):
     assert (one["bikes_start"], one["bikes_end"], one["bikes_min"], one["bikes_max"]) == (0, 3, 0, 3)
     assert (one["minutes_zero_bikes"], one["minutes_zero_docks"], one["empty_flag"], one["full_flag"], one["n_captures"]) == (5.0, 5.0, True, True, 4)
     assert (got["2"]["bikes_start"], got["2"]["empty_flag"], got["2"]["minutes_zero_bikes"]) == (None, None, 0.0)
+
+
+def test_a_row_repeated_very_often_is_unfolded_in_slices(raw_trips, monkeypatch):
+    monkeypatch.setattr(CL, "_COPIES_PER_TASK", 3)
+    for copies in (1, 2, 3, 4, 5, 7, 11):
+        rejected = CL.trip_rejections(raw_trips(*[{} for _ in range(copies)]), "r").collect()
+        assert len(rejected) == copies - 1 and {r["reason"] for r in rejected} <= {"duplicado"}

@@ -31,6 +31,13 @@ def test_files_of_any_header_and_encoding(spark, tmp_path):
     assert rows["2011-02.csv", "1"]["genero_usuario"] == "Niño"
 
 
+def test_known_encoding_reads_headers_only(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "Género_Usuario,Bici\nNiño,1\n", "latin-1")
+    b = write(tmp_path / "b.csv", "Bici,Hora_Retiro\n2,x\n", "latin-1")
+    rows = {r["bici"]: r for r in csv_files.read_raw_files(spark, [a, b], encoding="ISO-8859-1").collect()}
+    assert rows["1"]["genero_usuario"] == "Niño" and rows["2"]["genero_usuario"] is None and rows["2"]["hora_retiro"] == "x"
+
+
 def test_file_order_decides_which_copy_stays(spark, tmp_path):
     row = "{g},30,7,85,16/02/2010,12:00:00,26,16/02/2010,12:15:00\n"
     path = write(tmp_path / "x.csv", HEADER + "\n" + "".join(row.format(g=g) for g in "ABC"))
