@@ -92,6 +92,16 @@ def _letters_needed(total: Column, floor: float) -> Column:
     return F.ceil(F.lit(floor) * total / 2 - F.lit(_EPS))
 
 
+def _tokens_needed(total: Column, floor: float) -> Column:
+    """Fewest shared tokens of two such names.
+
+    M matched letters out of T lie in at most 1 + (T - 2M) runs, so besides the M letters the names share
+    at least 3M - 1 - T letter pairs.
+    """
+    matched = _letters_needed(total, floor)
+    return matched + F.greatest(3 * matched - 1 - total, F.lit(0))
+
+
 def _tokens(names: DataFrame) -> DataFrame:
     """Letters and letter pairs of each name, numbered so that repeated ones are different tokens."""
     letters = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, 1))
@@ -107,9 +117,8 @@ def _tokens(names: DataFrame) -> DataFrame:
 def _prefixes(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
     """The rarest tokens of each name, as many as needed to share one with every similar-enough name.
 
-    M matched letters of names with T letters in all lie in at most 1 + (T - 2M) runs, so the names share
-    those M letters and at least 3M - 1 - T letter pairs. Leaving out fewer tokens than they must share
-    cannot lose a partner.
+    Leaving out fewer tokens than two similar names must share cannot lose a partner. ``left`` counts the
+    tokens of the name that are more frequent than this one.
     """
     ranked = (
         tokens.join(frequency, "token", "left")
@@ -121,13 +130,14 @@ def _prefixes(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFram
     longest = F.floor(own * F.lit((2 - floor) / floor) + F.lit(_EPS))
 
     def shared(other: Column) -> Column:
-        matched = _letters_needed(own + other, floor)
-        both = matched + F.greatest(3 * matched - 1 - (own + other), F.lit(0))
-        return F.when(matched <= F.least(own, other), both)
+        return F.when(_letters_needed(own + other, floor) <= F.least(own, other), _tokens_needed(own + other, floor))
 
     needed = F.greatest(F.array_min(F.transform(F.sequence(shortest, longest), shared)), F.lit(1))
     size = F.greatest(F.size("ranked") - needed + 1, F.lit(1)).cast("int")
-    return ranked.select("name", F.explode(F.slice("ranked", F.lit(1), size)).alias("t")).select("name", "t.token")
+    prefix = F.posexplode(F.slice("ranked", F.lit(1), size)).alias("pos", "t")
+    return ranked.select("name", F.size("ranked").alias("total"), prefix).select(
+        "name", "t.token", (F.col("total") - F.col("pos") - 1).alias("left")
+    )
 
 
 def similar_names(hist_names: DataFrame, names: DataFrame, floor: float = MIN_NAME_SIMILARITY) -> DataFrame:
@@ -140,14 +150,15 @@ def similar_names(hist_names: DataFrame, names: DataFrame, floor: float = MIN_NA
     right_tokens = _tokens(right)
     frequency = right_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left_keys = _prefixes(_tokens(left), frequency, floor)
-    right_keys = _prefixes(right_tokens, frequency, floor).withColumnRenamed("name", "live_name")
-    total = F.length("name") + F.length("live_name")
-    candidates = (
-        left_keys.join(right_keys, "token")
-        .filter(_letters_needed(total, floor) <= F.least(F.length("name"), F.length("live_name")))
-        .select("name", "live_name")
-        .distinct()
+    right_keys = _prefixes(right_tokens, frequency, floor).select(
+        "token", F.col("name").alias("live_name"), F.col("left").alias("live_left")
     )
+    total = F.length("name") + F.length("live_name")
+    fits = _letters_needed(total, floor) <= F.least(F.length("name"), F.length("live_name"))
+    # At the rarest token two names share, what follows must still hold all they need to share. Frequent
+    # tokens rank last, where little follows: a token common to most names proposes next to nothing.
+    enough = _tokens_needed(total, floor) <= 1 + F.least("left", "live_left")
+    candidates = left_keys.join(right_keys, "token").filter(fits & enough).select("name", "live_name").distinct()
     scored = candidates.withColumn("sim", _similarity(F.col("name"), F.col("live_name"), F.lit(float(floor))))
     close = scored.filter(F.col("sim") >= F.lit(float(floor))).join(
         names.select(F.col("name").alias("live_name"), "gbfs_id", "first_id"), "live_name"

@@ -40,14 +40,18 @@ def temporal_quantiles(df: DataFrame, val_q: float = 0.6, test_q: float = 0.8) -
 
 def assign_split(df: DataFrame, bounds: DataFrame) -> DataFrame:
     """``split``: test from ``test_start``, val from ``val_start``, train before."""
-    cut = bounds.select(F.struct("val_start", "test_start").alias("b")).scalar()
-    marked = df.withColumn("_bounds", cut)
+    ts = F.col("ts")
     split = (
-        F.when(F.col("ts") >= F.col("_bounds.test_start"), F.lit("test"))
-        .when(F.col("ts") >= F.col("_bounds.val_start"), F.lit("val"))
+        F.when(ts >= bounds.select("test_start").scalar(), F.lit("test"))
+        .when(ts >= bounds.select("val_start").scalar(), F.lit("val"))
         .otherwise(F.lit("train"))
     )
-    return marked.withColumn("split", split).drop("_bounds")
+    return df.withColumn("split", split)
+
+
+def training_rows(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows before validation starts, as a plain bound on ``ts`` that reaches the scan."""
+    return df.filter(F.col("ts") < bounds.select("val_start").scalar())
 
 
 def temporal_split(df: DataFrame, val_q: float = 0.6, test_q: float = 0.8) -> DataFrame:
@@ -208,9 +212,11 @@ class TrainedForecast:
 
 def train(features: DataFrame, target: str = "salidas", iterations: int = 60, seed: int = 42) -> TrainedForecast:
     """Split by time, fit both predictors on the training part only, score every part."""
-    bounds = temporal_quantiles(features)
-    split = assign_split(features, bounds)
-    training = split.filter(F.col("split") == "train")
+    spark = features.sparkSession
+    cuts = temporal_quantiles(features)
+    # two timestamps, needed by every step below: looked up once and then literals
+    bounds = spark.createDataFrame([tuple(cuts.first())], cuts.schema)
+    split, training = assign_split(features, bounds), training_rows(features, bounds)
     model, columns = train_model(training, target, feature_columns(features, target), iterations, seed)
     with_baseline = predict_baseline(fit_baseline(training, target), split)
     scored = predict_frame(model, with_baseline, columns, "y_pred_model")

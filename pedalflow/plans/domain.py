@@ -256,9 +256,9 @@ class Domain:
     @cached_property
     def predictions(self) -> DataFrame:
         """Baseline predictions next to a naive forecast, the mean of the day before."""
-        split = FC.temporal_split(self.observed)
-        fitted = FC.fit_baseline(split.filter(F.col("split") == "train"))
-        scored = FC.predict_baseline(fitted, split).withColumn("y_pred_model", F.coalesce("salidas_roll_mean_24", F.lit(0.0)))
+        bounds = FC.temporal_quantiles(self.observed)
+        fitted = FC.fit_baseline(FC.training_rows(self.observed, bounds))
+        scored = FC.predict_baseline(fitted, FC.assign_split(self.observed, bounds)).withColumn("y_pred_model", F.coalesce("salidas_roll_mean_24", F.lit(0.0)))
         return FC.model_predictions(scored, "salidas", "naive_v1", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
     @cached_property

@@ -429,7 +429,7 @@ SQL["period_select_months_P6"] = "SELECT url, period_key FROM fx_keyed WHERE per
 SQL["period_select_range_P6"] = "SELECT url, period_key FROM fx_keyed WHERE period_key BETWEEN 199602 AND 199711"
 SQL["skip_unchanged_P7"] = """
 SELECT url, period_key FROM fx_keyed
-WHERE period_key >= 199602 AND NOT (download_status = 'downloaded' AND local_path IS NOT NULL AND size_bytes % 5 <> 0)"""
+WHERE period_key >= 199602 AND NOT (download_status = 'downloaded' AND local_path IS NOT NULL AND size_bytes <= 20000000)"""
 SQL["dow_hour_filter_P8"] = 'SELECT * FROM fx_avail WHERE (dayofweek("date") + 6) % 7 IN (0, 1, 2, 3, 4) AND "hour" = 18'
 SQL["min_risk_filter_P9"] = """
 SELECT station_id, round(least(greatest(255.0::DOUBLE * riesgo_vaciado, 0), 255), 4) AS r,
@@ -500,7 +500,7 @@ SQL["meta_avail_join_J15"] = """
 SELECT g.station_id, g.ts, m.capacity, m.lat, m.lon, a.bikes_end
 FROM fx_grid g LEFT JOIN fx_meta m USING (station_id) LEFT JOIN fx_avail_ts a USING (station_id, ts)"""
 TABLES["fx_holes"] = _baseline(
-    "SELECT * FROM fx_split WHERE split = 'train' AND \"hour\" <> 4 AND (\"hour\" + dow) % 5 <> 0 AND length(station_id) > 1"
+    "SELECT * FROM fx_split WHERE split = 'train' AND \"hour\" <> 4 AND dow < 5 AND length(station_id) > 1"
 )
 SQL["fallback_lookup_J16"] = "SELECT station_id, ts, y_pred_baseline FROM fx_holes"
 SQL["nearest_capture_J17"] = """
@@ -508,7 +508,7 @@ SELECT station_id, CAST(num_bikes_available AS DOUBLE) AS current_inv, captured_
 WHERE target_ts = (SELECT target_ts FROM fx_last_target)
 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY gap, captured_at_local, capture_id) = 1"""
 SQL["nearest_captures_J17"] = "SELECT station_id, target_ts, current_inv FROM fx_nearest"
-TABLES["fx_known_inv"] = "SELECT * FROM fx_nearest WHERE current_inv % 3 <> 0"
+TABLES["fx_known_inv"] = "SELECT * FROM fx_nearest WHERE current_inv >= 10"
 SQL["inventory_join_J18"] = _inventory("fx_known_inv")
 SQL["alias_match_J19"] = "SELECT historico_id, gbfs_id FROM fx_aliases"
 SQL["exact_id_match_J20"] = "SELECT h.historico_id, l.gbfs_id FROM fx_hist_cat h JOIN fx_live_cat l ON l.gbfs_id = h.historico_id"

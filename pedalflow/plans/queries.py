@@ -258,7 +258,7 @@ def period_select_range(d):
 def skip_unchanged(d):
     chosen = manifest.select_files(d.manifest, from_period="1996-02")
     loaded = manifest.downloaded(d.manifest).withColumn(
-        "checksum_sha256", F.when(F.col("size_bytes") % 5 == 0, F.lit("changed")).otherwise(F.col("checksum_sha256"))
+        "checksum_sha256", F.when(F.col("size_bytes") > 20_000_000, F.lit("changed")).otherwise(F.col("checksum_sha256"))
     )
     return manifest.skip_unchanged(chosen, loaded).select("url", "period_key")
 
@@ -432,7 +432,7 @@ def _split(d: Domain) -> DataFrame:
 def fallback_lookup(d):
     """Medians of a training part that lacks slots and stations, so that every fallback is taken."""
     rows = _split(d)
-    holes = rows.filter("split = 'train' AND hour <> 4 AND (hour + dow) % 5 <> 0 AND length(station_id) > 1")
+    holes = rows.filter("split = 'train' AND hour <> 4 AND dow < 5 AND length(station_id) > 1")
     return FC.predict_baseline(FC.fit_baseline(holes), rows).select("station_id", "ts", "y_pred_baseline")
 
 
@@ -450,7 +450,7 @@ def _current_inventory(d: Domain) -> DataFrame:
     targets = R.daily_targets(d.status)
     info = U.latest_per_key(d.information.select("station_id", "capacity", "lat", "lon", "captured_at_utc"), "station_id", "captured_at_utc")
     # stock known only for some windows: the others fall back on half the capacity
-    known = R.nearest_captures(d.status, targets).filter("current_inv % 3 <> 0")
+    known = R.nearest_captures(d.status, targets).filter("current_inv >= 10")
     return R.inventory_balance(info.withColumn("target_ts", F.explode(targets)), known, R.slot_flows(d.demand, d.bridge))
 
 
@@ -558,9 +558,13 @@ def summary(d):
     return row.withColumns({c: F.round(c, 6) for c in ("mae_base", "mae_model")})
 
 
+def _training(d: Domain) -> DataFrame:
+    return FC.training_rows(d.observed, FC.temporal_quantiles(d.observed))
+
+
 def _median_table(name: str):
     def build(d: Domain) -> DataFrame:
-        return getattr(FC.fit_baseline(_split(d).filter("split = 'train'")), name)
+        return getattr(FC.fit_baseline(_training(d)), name)
 
     return build
 
@@ -1019,8 +1023,7 @@ def temporal_split(d):
 
 @query("baseline_predict_M3")
 def baseline_predict(d):
-    rows = _split(d)
-    return FC.predict_baseline(FC.fit_baseline(rows.filter("split = 'train'")), rows).select("station_id", "ts", "split", "y_pred_baseline")
+    return FC.predict_baseline(FC.fit_baseline(_training(d)), _split(d)).select("station_id", "ts", "split", "y_pred_baseline")
 
 
 @query("train_model_M4")
