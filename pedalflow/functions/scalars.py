@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -15,15 +16,15 @@ TRUE_TOKENS = ("true", "1", "yes", "si", "sí")
 LOCAL_ZONE = "America/Mexico_City"
 
 _BLANKS = " \t\n\r\x0b\x0c"
-# strftime directive → (pattern letters, digits it may have)
+# strftime directive → the digits it may have; times are range-checked here, dates by the calendar
 _DIRECTIVES = {
-    "%d": ("d", "[0-9]{1,2}"),
-    "%m": ("M", "[0-9]{1,2}"),
-    "%Y": ("yyyy", "[0-9]{4}"),
-    "%H": ("H", "[0-9]{1,2}"),
-    "%M": ("m", "[0-9]{1,2}"),
-    "%S": ("s", "[0-9]{1,2}"),
-    "%f": ("SSSSSS", "[0-9]{1,6}"),
+    "%d": "[0-9]{1,2}",
+    "%m": "[0-9]{1,2}",
+    "%Y": "[0-9]{4}",
+    "%H": "[01]?[0-9]|2[0-3]",
+    "%M": "[0-5]?[0-9]",
+    "%S": "[0-5]?[0-9]",
+    "%f": "[0-9]{1,6}",
 }
 
 
@@ -31,14 +32,37 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
-def datetime_pattern(strftime_format: str) -> tuple[str, str]:
-    """(parser pattern, regular expression of the texts it can apply to)."""
-    pattern, shape = strftime_format, strftime_format.replace(".", "[.]")
-    for directive, (letters, digits) in _DIRECTIVES.items():
-        pattern, shape = pattern.replace(directive, letters), shape.replace(directive, digits)
-    if "%" in pattern:
-        raise ValueError(f"unsupported directive in {strftime_format!r}")
-    return pattern, f"^{shape}$"
+def format_shape(strftime_format: str) -> tuple[str, dict[str, int]]:
+    """(regular expression of the texts a format reads, directive → group number)."""
+    parts = re.split(r"(%[A-Za-z])", strftime_format)
+    groups: dict[str, int] = {}
+    shape = ""
+    for part in parts:
+        if part.startswith("%"):
+            if part not in _DIRECTIVES or part in groups:
+                raise ValueError(f"unsupported format {strftime_format!r}")
+            groups[part] = len(groups) + 1
+            shape += f"({_DIRECTIVES[part]})"
+        else:
+            shape += re.escape(part)
+    return f"^{shape}$", groups
+
+
+_ISO = ("%Y-%m-%d", "%H:%M:%S", "%H:%M:%S.%f", "%H:%M")
+
+
+def _iso_text(text: Column, strftime_format: str, order: Sequence[tuple[str, str]]) -> Column:
+    """The text in ISO order where it has the shape of the format, else NULL."""
+    shape, groups = format_shape(strftime_format)
+    separators = set(re.split(r"%[A-Za-z]", strftime_format)[1:-1])
+    if strftime_format in _ISO:
+        iso = text
+    elif len(separators) == 1 and strftime_format[0] == "%" and strftime_format[-2] == "%":
+        pieces = [(lead, F.split_part(text, F.lit(*separators), F.lit(groups[d])) if d in groups else F.lit("0")) for lead, d in order]
+        iso = F.concat(*[c for lead, piece in pieces for c in (F.lit(lead), piece)])
+    else:
+        iso = F.regexp_replace(text, shape, "".join(lead + (f"${groups[d]}" if d in groups else "0") for lead, d in order))
+    return F.when(text.rlike(shape), iso)
 
 
 def parse_datetime(
@@ -47,17 +71,16 @@ def parse_datetime(
     date_formats: Sequence[str] = DATE_FORMATS,
     time_formats: Sequence[str] = TIME_FORMATS,
 ) -> Column:
-    """First format pair that parses wins; NULL where none does. Day and month are never swapped.
+    """First formats that parse win; NULL where none does. Day and month are never swapped.
 
-    The shape of the text is tested first: a parser that fails raises internally, which costs far more.
+    Texts are put into ISO order and cast: a failed cast is a plain NULL, while a failed pattern parser
+    raises and catches an exception per row and format.
     """
-    text = F.concat(strip(date), F.lit(" "), strip(time))
-    attempts = []
-    for date_format in date_formats:
-        for time_format in time_formats:
-            pattern, shape = datetime_pattern(f"{date_format} {time_format}")
-            attempts.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))))
-    return F.coalesce(*attempts).cast("timestamp_ntz")
+    day, clock = strip(date), strip(time)
+    dates = [_iso_text(day, f, (("", "%Y"), ("-", "%m"), ("-", "%d"))).try_cast("date") for f in date_formats]
+    clocks = [_iso_text(clock, f, (("", "%H"), (":", "%M"), (":", "%S"), (".", "%f"))) for f in time_formats]
+    iso = F.concat(F.coalesce(*dates).cast("string"), F.lit(" "), F.coalesce(*clocks))
+    return iso.try_cast("timestamp_ntz")
 
 
 def clean_id(c: Column) -> Column:

@@ -69,21 +69,21 @@ def reject_reason(rules: CleaningRules) -> Column:
 
 
 def _typed(rows: DataFrame, rules: CleaningRules) -> DataFrame:
-    # A one-element inline keeps the parsed values as columns: a projection alone would be merged into
-    # the filters and rules above it, and every one of them would parse the row again.
-    parsed = F.struct(*[c.alias(name) for name, c in typed_trip_columns(rules).items()])
-    typed = rows.select("*", F.inline(F.array(parsed)))
+    typed = rows.withColumns(typed_trip_columns(rules))
     timed = typed.withColumn("duration_min", S.duration_min(F.col("retiro_ts"), F.col("arribo_ts")))
-    return timed.withColumn("reason", reject_reason(rules))
+    # The reason is unfolded from a one-element array: filters on it stay above. Pushed below, they would
+    # carry the whole parsing with them, once per rule, and every row would be parsed many times.
+    return timed.select("*", F.explode(F.array(reject_reason(rules))).alias("reason"))
 
 
 def distinct_rows(raw: DataFrame) -> DataFrame:
     """One row per (file, key columns): the first of its copies in file order, and their number.
 
     Copies are combined before the shuffle, so a row repeated millions of times costs one record per task.
+    The grouping sorts, and a leading number makes that a radix sort: texts are compared only on ties.
     """
     return (
-        raw.groupBy("source_file", *KEY_COLUMNS)
+        raw.groupBy(F.xxhash64("source_file", *KEY_COLUMNS).alias("_key"), "source_file", *KEY_COLUMNS)
         .agg(
             F.min_by(F.struct("genero_usuario", "edad_usuario", "row_pos"), "row_pos").alias("_first"),
             F.count(F.lit(1)).alias("copies"),

@@ -45,6 +45,11 @@ def test_parse_datetime_formats(spark):
         ("fecha-mala", "10:00:00", None),
         (None, "10:00:00", None),
         ("01/01/2024", "", None),
+        ("01/01/2024", "24:00:00", None),
+        ("01/01/2024", "10:60", None),
+        ("01/01/2024", "9:5:7.5", dt.datetime(2024, 1, 1, 9, 5, 7, 500000)),
+        ("2024-01", "10:00:00", None),
+        ("29-2-2024", "23:59:59.999999", dt.datetime(2024, 2, 29, 23, 59, 59, 999999)),
     ]
     df = spark.createDataFrame([(i, d, t) for i, (d, t, _) in enumerate(rows)], "i int, d string, t string")
     got = [r[0] for r in df.orderBy("i").select(S.parse_datetime(F.col("d"), F.col("t"))).collect()]
@@ -53,7 +58,7 @@ def test_parse_datetime_formats(spark):
 
 def test_unknown_directive_is_refused():
     with pytest.raises(ValueError):
-        S.datetime_pattern("%d/%b/%Y")
+        S.format_shape("%d/%b/%Y")
 
 
 def test_clean_id(spark):
