@@ -114,7 +114,7 @@ def _tokens(names: DataFrame) -> DataFrame:
     return ordered.select("name", F.explode(numbered).alias("token"))
 
 
-def _prefixes(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
+def _rarest_tokens(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
     """The rarest tokens of each name, as many as needed to share one with every similar-enough name.
 
     Leaving out fewer tokens than two similar names must share cannot lose a partner. ``left`` counts the
@@ -134,8 +134,8 @@ def _prefixes(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFram
 
     needed = F.greatest(F.array_min(F.transform(F.sequence(shortest, longest), shared)), F.lit(1))
     size = F.greatest(F.size("ranked") - needed + 1, F.lit(1)).cast("int")
-    prefix = F.posexplode(F.slice("ranked", F.lit(1), size)).alias("pos", "t")
-    return ranked.select("name", F.size("ranked").alias("total"), prefix).select(
+    rarest = F.posexplode(F.slice("ranked", F.lit(1), size)).alias("pos", "t")
+    return ranked.select("name", F.size("ranked").alias("total"), rarest).select(
         "name", "t.token", (F.col("total") - F.col("pos") - 1).alias("left")
     )
 
@@ -143,14 +143,13 @@ def _prefixes(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFram
 def similar_names(hist_names: DataFrame, names: DataFrame, floor: float = MIN_NAME_SIMILARITY) -> DataFrame:
     """(name, gbfs_id, sim): best live name per historical name, at least ``floor`` similar.
 
-    Prefix-filtered similarity join: an equi join on the rarest tokens of both sides proposes candidates,
-    losing none; only those are scored. Ties go to the live name that comes first.
+    An equi join on the rarest tokens of both sides proposes candidates, losing none; only those are scored. Ties go to the live name that comes first.
     """
     left, right = hist_names.select("name").distinct(), names.select("name")
     right_tokens = _tokens(right)
     frequency = right_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    left_keys = _prefixes(_tokens(left), frequency, floor)
-    right_keys = _prefixes(right_tokens, frequency, floor).select(
+    left_keys = _rarest_tokens(_tokens(left), frequency, floor)
+    right_keys = _rarest_tokens(right_tokens, frequency, floor).select(
         "token", F.col("name").alias("live_name"), F.col("left").alias("live_left")
     )
     total = F.length("name") + F.length("live_name")

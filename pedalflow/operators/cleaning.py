@@ -134,15 +134,24 @@ def clean_of(distinct: DataFrame, run_id: str) -> DataFrame:
 _COPIES_PER_TASK = 100_000
 
 
-def _repeats(distinct: DataFrame) -> DataFrame:
-    """One row per copy after the first. A row with very many copies is unfolded by many tasks."""
-    more = distinct.filter(F.col("copies") > 1).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 2) / _COPIES_PER_TASK)))
-    )
-    spread = more.repartition("source_file", *KEY_COLUMNS, "_slice")
-    left = F.least(F.lit(_COPIES_PER_TASK), F.col("copies") - 1 - F.col("_slice") * _COPIES_PER_TASK)
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).withColumn(
-        "reason", F.lit(DUPLICATE)
+def _rejected_copies(distinct: DataFrame) -> DataFrame:
+    """One row per rejected raw row: the first copy under its own reason, all later ones as duplicates.
+
+    Slice 0 stands for the first copy, every further slice for a bounded number of later ones. The slices
+    are spread before they are unfolded, so a row with very many copies is written out by many tasks.
+    """
+    size = F.lit(_COPIES_PER_TASK)
+    later = F.col("copies") - 1
+    found = distinct.filter(F.col("reason").isNotNull() | (F.col("copies") > 1))
+    slices = F.sequence(F.when(F.col("reason").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), F.ceil(later / size))
+    spread = found.withColumn("_slice", F.explode(slices)).repartition("source_file", *KEY_COLUMNS, "_slice")
+    is_first = F.col("_slice") == 0
+    rows = F.when(is_first, F.lit(1)).otherwise(F.least(size, later - (F.col("_slice") - 1) * size)).cast("bigint")
+    return spread.withColumns(
+        {
+            "_copy": F.explode(F.sequence(F.lit(1).cast("bigint"), rows)),
+            "reason": F.when(is_first, F.col("reason")).otherwise(F.lit(DUPLICATE)),
+        }
     )
 
 
@@ -159,8 +168,7 @@ def rejections_of(distinct: DataFrame, run_id: str, rejected_at: Column | None =
     All that is kept of a copy follows from its key columns, so copies are unfolded from their number:
     the raw rows are read and shuffled once, and no row has to be found again.
     """
-    first = distinct.filter(F.col("reason").isNotNull())
-    rejected = first.unionByName(_repeats(distinct).select(*first.columns))
+    rejected = _rejected_copies(distinct)
     return conform(
         rejected.withColumns(
             {

@@ -767,7 +767,7 @@ def avail_lag(d):
 
 @query("first_in_doc_W8")
 def first_in_doc(d):
-    parsed = feeds._stations(d.status_docs, feeds._STATUS_DOC, ("doc_id",))
+    parsed = feeds.station_entries(d.status_docs, feeds.STATUS_DOC, ("doc_id",))
     return feeds.first_in_doc(parsed, ("doc_id",)).select("doc_id", "station_id", F.col("st.last_reported").alias("last_reported"), "entries")
 
 
@@ -1110,7 +1110,7 @@ def _landed(d: Domain, docs: DataFrame) -> str:
 
 def _drain(d: Domain, docs: DataFrame, start) -> str:
     path, checkpoint = scratch_path(d.spark, "streamed"), scratch_path(d.spark, "offsets")
-    stream = streams.document_stream(d.spark, _landed(d, docs), one_per_line=True, files_per_trigger=3)
+    stream = streams.document_stream(d.spark, _landed(d, docs), one_per_line=True, files_per_trigger=8)
     start(stream, path, checkpoint).awaitTermination()
     return path
 

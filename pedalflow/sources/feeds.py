@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from pedalflow.functions import scalars as S
 
 # All leaves as text: the feeds write 1, "1" and true for the same thing.
-_STATUS_DOC = (
+STATUS_DOC = (
     "data struct<stations: array<struct<station_id: string, num_bikes_available: string, "
     "num_docks_available: string, is_installed: string, is_renting: string, is_returning: string, "
     "last_reported: string>>>"
 )
-_INFO_DOC = (
+INFO_DOC = (
     "data struct<stations: array<struct<station_id: string, name: string, lat: string, lon: string, "
     "capacity: string, region_id: string, short_name: string>>>"
 )
 _FEEDS = "struct<feeds: array<struct<name: string, url: string>>>"
 
 
-def _stations(docs: DataFrame, doc_schema: str, keep: tuple[str, ...]) -> DataFrame:
+def station_entries(docs: DataFrame, doc_schema: str, keep: tuple[str, ...]) -> DataFrame:
     """One row per entry; a document without entries keeps one row without position."""
     parsed = docs.select(*keep, F.from_json("doc", doc_schema).alias("_d"))
     return parsed.select(*keep, F.posexplode_outer("_d.data.stations").alias("pos", "st"))
@@ -52,14 +52,14 @@ def _status_columns() -> dict:
 
 def parse_station_status(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Status rows of documents (``doc`` holds the JSON text), first entry per station."""
-    first = first_in_doc(_stations(docs, _STATUS_DOC, keep), keep)
+    first = first_in_doc(station_entries(docs, STATUS_DOC, keep), keep)
     return first.select(*keep, "station_id", *[c.alias(n) for n, c in _status_columns().items()])
 
 
 def status_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: repeated stations, entries with a negative count, entries without an id."""
     per_station = (
-        _stations(docs, _STATUS_DOC, keep)
+        station_entries(docs, STATUS_DOC, keep)
         .groupBy(*keep, F.col("st.station_id").alias("station_id"))
         .agg(F.min_by("st", "pos").alias("st"), F.count("pos").alias("entries"))
     )
@@ -73,7 +73,7 @@ def status_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
 
 
 def parse_station_information(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    first = first_in_doc(_stations(docs, _INFO_DOC, keep), keep)
+    first = first_in_doc(station_entries(docs, INFO_DOC, keep), keep)
     return first.select(
         *keep,
         "station_id",
