@@ -16,6 +16,7 @@ from pedalflow.functions.text import normalize_name
 from pedalflow.operators.upserts import latest_per_key
 from pedalflow.schemas import conform
 
+# Thresholds of the name and distance matches.
 MIN_NAME_SIMILARITY = 0.82
 MAX_MATCH_DISTANCE_M = 120.0
 _EPS = 1e-9

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pedalflow.functions.calendar import dow
 
+# Fixed value: minutes that one capture stands for.
 CAPTURE_MINUTES = 5.0
 _HOUR_KEYS = ["station_id", "date", "hour"]
 

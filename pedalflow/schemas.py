@@ -19,6 +19,7 @@ CANONICAL_COLUMNS = [
     "hora_arribo",
 ]
 
+# Hours looked back on.
 LAG_HOURS = (1, 2, 24, 168)
 ROLLING_HOURS = (3, 24, 168)
 

@@ -46,20 +46,29 @@ def _stored_ddl(table: str) -> str:
 
 
 def read_stored(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table written by the streams below, with its partition columns ``day`` and ``batch_id``."""
-    return spark.read.schema(f"{_stored_ddl(table)}, day date, batch_id bigint").parquet(path)
+    """A table written by the streams below, with its partition columns ``day`` and ``batch_key``."""
+    return spark.read.schema(f"{_stored_ddl(table)}, day date, batch_key string").parquet(path)
 
 
 def _ensure_table(spark: SparkSession, path: str, table: str) -> None:
     """Create the folder on the first run, so that the first batch can read an empty table."""
-    empty = spark.createDataFrame([], f"{_stored_ddl(table)}, day date, batch_id bigint")
-    empty.write.mode("append").partitionBy("day", "batch_id").parquet(path)
+    empty = spark.createDataFrame([], f"{_stored_ddl(table)}, day date, batch_key string")
+    empty.write.mode("append").partitionBy("day", "batch_key").parquet(path)
 
 
-def _write_batch(rows: DataFrame, path: str, day: Column, batch_id: int) -> None:
+def _batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Stream and batch: equal for a replay, new for a stream that starts over with another checkpoint.
+
+    Batch numbers alone begin at 0 again then, and would overwrite what the earlier stream stored.
+    """
+    stream = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+    return f"{stream}-{batch_id}"
+
+
+def _write_batch(rows: DataFrame, path: str, day: Column, batch_key: str) -> None:
     """A replayed batch replaces exactly the partitions it wrote before."""
-    stamped = rows.withColumns({"day": day, "batch_id": F.lit(batch_id).cast("bigint")})
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(path)
+    stamped = rows.withColumns({"day": day, "batch_key": F.lit(batch_key)})
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_key").parquet(path)
 
 
 def first_captures(rows: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def _status_day() -> Column:
     return F.coalesce(S.epoch_to_utc(F.col("last_reported")), F.col("captured_at_utc")).cast("date")
 
 
-def append_status(rows: DataFrame, path: str, batch_id: int) -> None:
+def append_status(rows: DataFrame, path: str, batch_key: str) -> None:
     """Append captures the table does not hold; exact against all history.
 
     Equal captures share their day, so only the days of this batch are read back.
@@ -89,27 +98,28 @@ def append_status(rows: DataFrame, path: str, batch_id: int) -> None:
     if days["lo"] is None:
         return
     stored = read_stored(spark, path, "station_status").filter(
-        F.col("day").between(days["lo"], days["hi"]) & (F.col("batch_id") < batch_id)
+        F.col("day").between(days["lo"], days["hi"]) & (F.col("batch_key") != batch_key)
     )
-    _write_batch(new_status_rows(fresh.drop("day"), stored), path, _status_day(), batch_id)
+    _write_batch(new_status_rows(fresh.drop("day"), stored), path, _status_day(), batch_key)
 
 
-def append_information(rows: DataFrame, path: str, batch_id: int, against: str = "any") -> None:
+def append_information(rows: DataFrame, path: str, batch_key: str, against: str = "any") -> None:
     """Append station versions that differ from what is stored, the first of equal ones in a batch."""
     spark = rows.sparkSession
     state = ["station_id", "name", "lat", "lon", "capacity"]
     others = [c for c in rows.columns if c not in state]
     first = rows.groupBy(*state).agg(F.min_by(F.struct(*others), "captured_at_utc").alias("r")).select(*state, "r.*")
-    stored = read_stored(spark, path, "station_information").filter(F.col("batch_id") < batch_id)
+    stored = read_stored(spark, path, "station_information").filter(F.col("batch_key") != batch_key)
     fresh = new_information_rows(first.select(*rows.columns), stored, against)
-    _write_batch(fresh, path, F.col("captured_at_utc").cast("date"), batch_id)
+    _write_batch(fresh, path, F.col("captured_at_utc").cast("date"), batch_key)
 
 
 def _run(
-    stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool
+    stream: DataFrame, each_batch: Callable[[DataFrame, str], None], checkpoint: str, available_now: bool
 ) -> StreamingQuery:
     def load(batch: DataFrame, batch_id: int) -> None:
-        each_batch(batch.dropDuplicates(["doc_id"]), batch_id)  # a document landed twice is one document
+        # a document landed twice is one document
+        each_batch(batch.dropDuplicates(["doc_id"]), _batch_key(batch.sparkSession, checkpoint, batch_id))
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()
@@ -119,9 +129,9 @@ def snapshot_stream(docs: DataFrame, path: str, checkpoint: str, run_id: str = "
     """Every parsed status row of every document, as it arrives."""
     _ensure_table(docs.sparkSession, path, "station_status")
 
-    def load(batch: DataFrame, batch_id: int) -> None:
+    def load(batch: DataFrame, batch_key: str) -> None:
         rows = status_rows(parse_station_status(batch, _DOC_KEYS), run_id, F.col("captured_at_utc"))
-        _write_batch(rows, path, _status_day(), batch_id)
+        _write_batch(rows, path, _status_day(), batch_key)
 
     return _run(docs, load, checkpoint, available_now)
 
@@ -130,8 +140,8 @@ def stream_dedupe(docs: DataFrame, path: str, checkpoint: str, run_id: str = "st
     """Status rows once per (station, last_reported), however often and late a document comes back."""
     _ensure_table(docs.sparkSession, path, "station_status")
 
-    def load(batch: DataFrame, batch_id: int) -> None:
-        append_status(status_rows(parse_station_status(batch, _DOC_KEYS), run_id, F.col("captured_at_utc")), path, batch_id)
+    def load(batch: DataFrame, batch_key: str) -> None:
+        append_status(status_rows(parse_station_status(batch, _DOC_KEYS), run_id, F.col("captured_at_utc")), path, batch_key)
 
     return _run(docs, load, checkpoint, available_now)
 
@@ -142,9 +152,9 @@ def stream_scd(
     """Station information, appended when it changes."""
     _ensure_table(docs.sparkSession, path, "station_information")
 
-    def load(batch: DataFrame, batch_id: int) -> None:
+    def load(batch: DataFrame, batch_key: str) -> None:
         rows = information_rows(parse_station_information(batch, _DOC_KEYS), run_id, F.col("captured_at_utc"))
-        append_information(rows, path, batch_id, against)
+        append_information(rows, path, batch_key, against)
 
     return _run(docs, load, checkpoint, available_now)
 
@@ -152,16 +162,16 @@ def stream_scd(
 def stream_quality(docs: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """One ledger row per micro-batch with its document count and defect counters."""
 
-    def load(batch: DataFrame, batch_id: int) -> None:
+    def load(batch: DataFrame, batch_key: str) -> None:
         defects = ("dup_stations", "negativos", "sin_station_id")
         row = (
             status_quality(batch, _DOC_KEYS)
             .agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in defects])
             .select("documents", *defects, F.to_json(F.struct(*defects)).alias("notes"))
         )
-        row.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+        row.withColumn("batch_key", F.lit(batch_key)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
+        ).partitionBy("batch_key").parquet(path)
 
     return _run(docs, load, checkpoint, available_now)
 

@@ -52,12 +52,25 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
 
     rows = status_rows(parse_station_status(docs, ("doc_id", "captured_at_utc")), "r", F.col("captured_at_utc"))
     for _ in range(2):
-        streams.append_status(rows, path, 7)
+        streams.append_status(rows, path, "s-7")
     assert streams.read_stored(spark, path, "station_status").count() == 1
-    streams.append_status(rows, path, 8)
+    streams.append_status(rows, path, "s-8")
     assert streams.read_stored(spark, path, "station_status").count() == 1
 
 
+def test_a_stream_that_starts_over_keeps_what_is_stored(spark, tmp_path):
+    landing, table = tmp_path / "in", str(tmp_path / "out")
+    land(landing, "1.json", [entry("1", 5, T0), entry("2", 6, None)], T0 + 60)
+
+    def poll(offsets):
+        streams.stream_dedupe(streams.document_stream(spark, str(landing)), table, str(tmp_path / offsets)).awaitTermination()
+        return sorted(r["station_id"] for r in streams.read_stored(spark, table, "station_status").collect())
+
+    assert poll("a") == ["1", "2"]
+    land(landing, "2.json", [entry("3", 5, T0 + 5)], T0 + 90)
+    assert poll("b") == ["1", "2", "2", "3"]  # undated captures load again, nothing stored is lost
+
+
 def test_information_is_stored_on_change(spark, tmp_path):
     landing, table, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
 
