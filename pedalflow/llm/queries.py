@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedalflow.llm import decontamination, quality_rules
+from pedalflow.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "log_perplexity", "band_low", "band_high")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.marked(docs, _table(spark, sf_dir, "benchmark"))
@@ -32,11 +36,62 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = language_id.profiles(docs.where(_remainder(3) != 1))
+    rows = docs.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(True)).alias("held_out"), "text")
+    return language_id.predicted(rows, known).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(True)))
+    out = quality_classifier.classified(docs, _table(spark, sf_dir, "labels"), ~F.col("held_out"), _remainder(5) == 1)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_scan.scanned(docs, carry=["doc_id"])
+    return out.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secret_scan.listed("base_spans"), 256).alias("base_sha256"),
+        secret_scan.listed("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op3_jaccard_join,
         op4_benchmark_decontamination,
+        op5_html_extraction,
+        op6_language_id,
+        op7_quality_classifier,
+        op8_packing,
+        op9_sharding,
+        op10_secret_scan,
     )
 }
 

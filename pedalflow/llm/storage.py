@@ -33,24 +33,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def numbered(df: DataFrame, group: list[str], order: Column, name: str, ties: list[str], bits: int = 10) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order of the 64-bit hash ``order`` and then ``ties``.
+def numbered(df: DataFrame, group: list[str], order: Column, name: str, ties: list[str], bits: int = 10, weight: Column | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in the order of the 64-bit value ``order`` and then ``ties``.
 
-    A group's rows are cut into 2**bits ranges of the hash, numbered by as many tasks; the counts of the ranges, a
-    table of a fixed number of rows for each group, give every range its offset. Ties are numbered in any order when
-    the columns in ``ties`` do not tell rows apart.
+    A group's rows are cut into 2**bits ranges of ``order``, numbered by as many tasks; the counts of the ranges, a
+    table of a fixed number of rows for each group, give every range its offset. Rows that ``ties`` does not tell apart
+    are numbered in any order. With ``weight`` a row's number is the sum of the weights of all rows before it.
     """
-    rows = df.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 64 - bits))
-    counts = rows.groupBy(*group, "_range").agg(F.count("*").alias("_rows"))
+    one = weight if weight is not None else F.lit(1).cast("long")
+    rows = df.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 64 - bits)).withColumn("_weight", one)
+    counts = rows.groupBy(*group, "_range").agg(F.sum("_weight").alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *[F.col(c).alias(f"_{i}") for i, c in enumerate(group)],
         F.col("_range").alias("_r"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
-    inner = Window.partitionBy(*group, "_range").orderBy("_order", *ties)
+    inner = Window.partitionBy(*group, "_range").orderBy("_order", *ties).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
-    ranked = rows.withColumn("_rank", F.row_number().over(inner).cast("long") - 1)
+    ranked = rows.withColumn("_rank", F.coalesce(F.sum("_weight").over(inner), F.lit(0)))
     return ranked.join(offsets, same).withColumn(name, F.col("_offset") + F.col("_rank")).select(*df.columns, name)
