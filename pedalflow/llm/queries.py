@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedalflow.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding
+from pedalflow.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "log_perplexity", "band_low", "band_high")
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_training_order,
         op3_jaccard_join,
         op4_benchmark_decontamination,
         op5_html_extraction,
