@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,12 +13,18 @@ BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach, as the cluster names it in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a folder of its own; any other master is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
