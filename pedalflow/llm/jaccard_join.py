@@ -3,16 +3,21 @@
 A document's set is its distinct shingles as 64-bit hashes. Equal sets are one node. The join does no more than the
 connected components need, and never lists the pairs of a group of copies:
 
-1. Nodes that share a least hash with a node of smaller number are compared with it. A node that is linked to such a
-   leader, which itself has none, joins the leader's group; the largest distance in a group is its radius.
-2. The index holds, for each shingle, the groups of which a member has that shingle in its prefix: the rarest shingles
-   that any linked set must share one of. How rare a shingle is comes from a table of counts of fixed size over all
-   documents, so a passage that many documents share is last in their order. Lists are sorted by set size and cut into
-   blocks whose headers (least and largest size, most shingles left after the position) rule out whole blocks.
-3. Leaders of candidate groups are compared. What a group's members are linked with follows from their leader's
-   distances: within 0.2 all are one component, beyond 0.2 and both radii none is linked. Only between these bounds
-   members are compared, first with the other leader, then, where that leaves two components, with the members whose
-   distances to both leaders allow a link.
+1. Nodes that share several of their least hashes are compared with a pivot, the one whose hashes are the most common.
+   Where the pivot is similar enough, a node is kept as its difference from it, the shingles removed and added. Nodes
+   linked with the pivot form its group; the largest distance in a group is its radius.
+2. Two nodes of one pivot that are not both in its group are linked only if their differences overlap enough: by more
+   than the smaller one costs in similarity. So an index of differences proposes pairs with a common rare edit, and the
+   many pairs of copies that were edited in different places are never looked at.
+3. All other links are between different pivots. The index for them holds, for each shingle, the groups (and nodes by
+   themselves) of which a member has that shingle in its prefix: the rarest shingles that any linked set must share one
+   of. How rare a shingle is comes from a table of counts of fixed size over all documents, so a passage that many
+   documents share is last in their order. Lists are sorted by pivot and set size and cut into blocks whose headers
+   (least and largest size, most shingles left after the position) rule out whole blocks.
+4. Candidates are compared. What a group's members are linked with follows from their pivot's distances: within 0.2 all
+   are one component, beyond 0.2 and both radii none is linked. Only between these bounds members are compared, first
+   with the other pivot, then, where that leaves two components, with the members whose distances to both pivots allow
+   a link.
 
 Linked means: the intersection is at least ``percent`` per cent of the union. Distances are 1 - intersection / union.
 
@@ -37,7 +42,11 @@ from pedalflow.llm.components import components
 from pedalflow.llm.storage import numbered, small_batches, stored
 from pedalflow.llm.text_arrays import LOWER, NOT_SPACE, Hasher, chunks, mix, owner, windows
 
-_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_LOWS = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA4093822299F31D1))
+_ADDED = np.uint64(0x082EFA98EC4E6C89)
+#: Of a pivot: how many least hashes a node shares with it at least, and the least similarity in per cent.
+_AGREE, _CLOSE = 2, 60
 
 
 @dataclass(frozen=True)
@@ -76,7 +85,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, size: in
 def _keys(shingle: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """A 128-bit name for each set, as two columns."""
     out = np.zeros((len(begins) - 1, 2), np.uint64)
-    for i, seed in enumerate(_SEEDS[:2]):
+    for i, seed in enumerate(_SEEDS):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(seed)))))
         out[:, i] = mix(total[begins[1:]] - total[begins[:-1]] + np.diff(begins).astype(np.uint64))
     return out
@@ -94,7 +103,7 @@ def _sliced(values: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-_ROW = "doc_id long, n long, key binary, low1 long, low2 long, low3 long, counter int, count long"
+_ROW = "doc_id long, n long, key binary, lows array<long>, counter int, count long"
 
 
 def _describe(params: Params):
@@ -103,24 +112,24 @@ def _describe(params: Params):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(NOT_SPACE, LOWER)
         counts = np.zeros(1 << params.counter_bits, np.int64)
-        names = ["doc_id", "n", "key", "low1", "low2", "low3", "counter", "count"]
+        names = ["doc_id", "n", "key", "lows", "counter", "count"]
         for batch in batches:
             ids = batch.column("doc_id")
             for rows, data, offsets in chunks(batch.column("text")):
                 shingle, begins = shingle_sets(data, offsets, hasher, params.words)
                 counts += np.bincount((shingle >> np.uint64(64 - params.counter_bits)).astype(np.int64), minlength=len(counts))
                 n = np.diff(begins)
-                lows = []
-                for seed in _SEEDS:
-                    low = np.zeros(len(n), np.uint64)
-                    if len(shingle):
-                        low[n > 0] = np.minimum.reduceat(mix(shingle ^ np.uint64(seed)), begins[:-1][n > 0])
-                    lows.append(pa.array(low.view(np.int64)))
+                lows = np.zeros((len(n), len(_LOWS)), np.uint64)
+                if len(shingle):
+                    for i, seed in enumerate(_LOWS):
+                        lows[n > 0, i] = np.minimum.reduceat(mix(shingle ^ seed), begins[:-1][n > 0])
+                bounds = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(_LOWS))
+                lows = pa.ListArray.from_arrays(bounds, pa.array(lows.view(np.int64).ravel()))
                 none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([ids[rows.start : rows.stop], pa.array(n), _binary(_keys(shingle, begins)), *lows, *none], names=names)
+                yield pa.RecordBatch.from_arrays([ids[rows.start : rows.stop], pa.array(n), _binary(_keys(shingle, begins)), lows, *none], names=names)
         used = np.flatnonzero(counts)
         for part in np.array_split(used, max(1, len(used) // 50_000)):
-            empty = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(part.astype(np.int32)), pa.array(counts[part])], names=names)
 
     return describe
@@ -152,7 +161,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: Param
     bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(1 << params.filter_bits))
     maps = needed.select((bit() + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = bytearray((1 << params.filter_bits) // 8)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():
         at = (r["part"] - 1) * len(r["bits"])
         bits[at : at + len(r["bits"])] = r["bits"]
     found = docs.select("doc_id", "text", bit().alias("bit")).mapInArrow(_sets(params, spark.sparkContext.broadcast(bytes(bits))), "doc_id long, key binary, members binary")
@@ -161,22 +170,41 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: Param
     return joined.groupBy("node").agg(F.first("members").alias("members"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shared = [
-            len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True))
-            for a, b in zip(batch.column("left"), batch.column("right"), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
+def _compare(counters=None, bits: int = 0):
+    """Sizes of two sets and of their intersection; with ``counters`` also the first set's difference from the second
+    where it is similar enough, rarest shingles first, added ones told apart from removed ones."""
 
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of both sets and of their intersection."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(counters.value, np.int64) if counters else None
+        for batch in batches:
+            shared, diffs = [], []
+            for a, b in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                both = y[at] == x if len(y) else np.zeros(len(x), bool)
+                n = int(both.sum())
+                shared.append(n)
+                if counts is None or 100 * n < _CLOSE * (len(x) + len(y) - n):
+                    diffs.append(None)
+                    continue
+                gone = np.ones(len(y), bool)
+                gone[at[both]] = False
+                tokens = np.concatenate((x[~both], y[gone]))
+                order = np.lexsort((tokens, counts[(tokens >> np.uint64(64 - bits)).astype(np.int64)]))
+                diffs.append(mix(np.concatenate((x[~both] ^ _ADDED, y[gone]))[order]).tobytes())
+            kept = [batch.column(c) for c in ("a", "b", "na", "nb")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(shared, pa.int64()), pa.array(diffs, pa.binary())], names=["a", "b", "na", "nb", "shared", "diff"])
+
+    return compare
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, counters=None, bits: int = 0) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of both sets and of their intersection, and the difference where asked for."""
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     size = lambda c: F.floor(F.octet_length(c) / 8).cast("long")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", size("left").alias("na"), size("right").alias("nb"), "left", "right")
-    return both.mapInArrow(_compare, "a long, b long, na long, nb long, shared long")
+    return both.mapInArrow(_compare(counters, bits), "a long, b long, na long, nb long, shared long, diff binary")
 
 
 def _linked(params: Params) -> Column:
@@ -187,7 +215,7 @@ def _distance() -> Column:
     return 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("group", "<i8"), ("least", "<i4"), ("most", "<i4"), ("left", "<i4")])
+_ENTRY = np.dtype([("token", "<u8"), ("group", "<i8"), ("pivot", "<i8"), ("least", "<i4"), ("most", "<i4"), ("left", "<i4")])
 
 
 def _merged(entries: np.ndarray) -> np.ndarray:
@@ -206,6 +234,15 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def _dealt(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries packed into one row for each bucket of tokens."""
+    bucket = (mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), _sliced(entries[order], begins)], names=["bucket", "entries"])
+    return rows.filter(pa.array(np.diff(begins) > 0))
+
+
 def _index(params: Params, counters, buckets: int):
     """Prefix entries of a task's sets, merged by token and group, packed into one row for each bucket of tokens."""
 
@@ -213,7 +250,7 @@ def _index(params: Params, counters, buckets: int):
         hasher, counts = Hasher(NOT_SPACE, LOWER), np.frombuffer(counters.value, np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
-            groups = batch.column("group").to_numpy()
+            groups, pivots = batch.column("group").to_numpy(), batch.column("pivot").to_numpy()
             for rows, data, offsets in chunks(batch.column("text")):
                 shingle, begins = shingle_sets(data, offsets, hasher, params.words)
                 n = np.diff(begins)
@@ -224,7 +261,7 @@ def _index(params: Params, counters, buckets: int):
                 chosen = position < prefix_length(n, params.percent)[text]
                 entries = np.empty(int(chosen.sum()), _ENTRY)
                 entries["token"] = shingle[order][chosen]
-                entries["group"] = groups[rows][text[chosen]]
+                entries["group"], entries["pivot"] = groups[rows][text[chosen]], pivots[rows][text[chosen]]
                 entries["least"] = entries["most"] = n[text[chosen]]
                 entries["left"] = (n[text] - position)[chosen]
                 held.append(entries)
@@ -232,34 +269,31 @@ def _index(params: Params, counters, buckets: int):
                 held = [_merged(np.concatenate(held))]
         if held and sum(map(len, held)):
             entries = _merged(np.concatenate(held))
-            bucket = (mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
-            begins = np.searchsorted(bucket, np.arange(buckets + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), _sliced(entries, begins)], names=["bucket", "entries"])
+            yield _dealt(entries, buckets)
 
     return index
 
 
 def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray:
-    """Pairs of groups that share a token and may hold a linked pair, by block headers first and then entry by entry."""
+    """Pairs of groups of different pivots that share a token and may hold a linked pair.
+
+    A block is compared with the blocks behind those of its own pivot, by their headers first and then entry by entry.
+    """
     entries = _merged(entries)
-    token = entries["token"]
-    entries = entries[np.lexsort((entries["least"], token))]
-    run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    length = np.diff(np.append(run, len(token)))
-    entries = entries[np.repeat(length > 1, length)]
-    if not len(entries):
-        return np.empty((0, 2), np.int64)
-    token = entries["token"]
-    run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    length = np.diff(np.append(run, len(token)))
-    inner = np.arange(len(token)) - np.repeat(run, length)
+    entries = entries[np.lexsort((entries["least"], entries["pivot"], entries["token"]))]
+    token, pivot = entries["token"], entries["pivot"]
+    new_token = np.concatenate(([True], token[1:] != token[:-1]))
+    new_pivot = new_token | np.concatenate(([True], pivot[1:] != pivot[:-1]))
+    run = np.flatnonzero(new_pivot)
+    inner = np.arange(len(token)) - np.repeat(run, np.diff(np.append(run, len(token))))
     head = np.flatnonzero(inner % block == 0)
     tail = np.append(head[1:], len(token))
     least = np.minimum.reduceat(entries["least"], head).astype(np.int64)
     most = np.maximum.reduceat(entries["most"], head).astype(np.int64)
     left = np.maximum.reduceat(entries["left"], head).astype(np.int64)
+    after_pivot = np.searchsorted(head, np.append(run[1:], len(token)))[np.cumsum(new_pivot)[head] - 1]
+    of_token = np.flatnonzero(new_token)
+    after_token = np.searchsorted(head, np.append(of_token[1:], len(token)))[np.cumsum(new_token)[head] - 1]
 
     def possible(l1, m1, r1, l2, m2, r2):
         need = -(-percent * (l1 + l2) // (100 + percent))
@@ -267,10 +301,8 @@ def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray
 
     found = [np.empty((0, 2), np.int64)]
     live, step = np.arange(len(head)), 0
-    while len(live):
-        live = live[live + step < len(head)]
-        live = live[token[head[live + step]] == token[head[live]]]
-        other = live + step
+    while len(live := live[after_pivot[live] + step < after_token[live]]):
+        other = after_pivot[live] + step
         ok = possible(least[live], most[live], left[live], least[other], most[other], left[other])
         one, two = live[ok], other[ok]
         for at in range(0, len(one), 4096):
@@ -280,8 +312,7 @@ def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             wide = np.repeat(nq, n)
             i, j = np.repeat(head[p], n) + k // wide, np.repeat(head[q], n) + k % wide
-            keep = i < j
-            i, j = entries[i[keep]], entries[j[keep]]
+            i, j = entries[i], entries[j]
             keep = possible(*(x.astype(np.int64) for e in (i, j) for x in (e["least"], e["most"], e["left"])))
             a, b = i["group"][keep], j["group"][keep]
             found.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
@@ -292,14 +323,88 @@ def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray
 def _search(params: Params):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         entries = np.frombuffer(b"".join(pdf["entries"]), _ENTRY)
-        pairs = candidate_pairs(entries, params.percent, params.block) if len(entries) else np.empty((0, 2), np.int64)
+        pairs = candidate_pairs(entries, params.percent, params.block)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return search
 
 
+_EDIT = np.dtype([("token", "<u8"), ("node", "<i8"), ("cost", "<f8"), ("spare", "<f8"), ("left", "<i4"), ("size", "<i4"), ("probe", "?"), ("bits", "<u8", 8)])
+
+
+def _edits(params: Params, buckets: int):
+    """Entries of differences: those of the prefix to be found, and all that may matter of nodes outside the group to
+    find them with. A token stands for an edit to one pivot's set.
+
+    With q = percent / (100 + percent), a set that lacks r shingles of its pivot and adds a costs (1 - q) r + q a; two
+    sets are linked when their differences share at least the sum of their costs less (1 - 2 q) times the pivot's size.
+    """
+    q = params.percent / (100 + params.percent)
+
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for node, pivot, na, nb, shared, linked, diff in zip(*(batch.column(c).to_pylist() for c in ("node", "b", "na", "nb", "shared", "linked", "diff")), strict=True):
+                tokens = np.frombuffer(diff, np.uint64)
+                cost, spare = (1 - q) * (nb - shared) + q * (na - shared), (1 - 2 * q) * nb
+                left = len(tokens) - np.arange(len(tokens))
+                bits = np.zeros(8, np.uint64)
+                np.bitwise_or.at(bits, (tokens >> np.uint64(6) & np.uint64(7)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
+                for probe, of_use in ((0, left > cost - 1e-9), (1, (left >= cost - spare - 1e-9) & (not linked))):
+                    entries = np.zeros(int(of_use.sum()), _EDIT)
+                    entries["token"] = mix(tokens[of_use] ^ mix(np.array([pivot], np.uint64)))
+                    entries["node"], entries["cost"], entries["spare"], entries["left"], entries["probe"] = node, cost, spare, left[of_use], probe
+                    entries["size"], entries["bits"] = len(tokens), bits
+                    held.append(entries)
+            if sum(map(len, held)) > 500_000:
+                yield _dealt(np.concatenate(held), buckets)
+                held = []
+        if held and sum(map(len, held)):
+            yield _dealt(np.concatenate(held), buckets)
+
+    return edits
+
+
+def edit_pairs(entries: np.ndarray) -> np.ndarray:
+    """Pairs of nodes of one pivot that share an edit and may be linked; the list of an edit is read from the largest
+    slack (edits left less cost) down to what the probing node still needs, and bit patterns of all edits are compared."""
+    found = entries[entries["probe"] == 0]
+    probes = entries[entries["probe"] == 1]
+    slack = found["left"] - found["cost"]
+    order = np.lexsort((-slack, found["token"]))
+    found, slack = found[order], slack[order]
+    need = probes["cost"] - probes["spare"] - 1e-9
+    begin, end = np.searchsorted(found["token"], probes["token"], "left"), np.searchsorted(found["token"], probes["token"], "right")
+    low, high = begin.copy(), end.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        enough = slack[np.minimum(middle, max(len(slack) - 1, 0))] >= need
+        low, high = np.where(open_ & enough, middle + 1, low), np.where(open_ & ~enough, middle, high)
+    n = low - begin
+    out = [np.empty((0, 2), np.int64)]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + 1, 100_000))
+    for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
+        m = n[a:b]
+        k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        x, y = probes[np.repeat(np.arange(a, b), m)], found[np.repeat(begin[a:b], m) + k]
+        least = x["cost"] + y["cost"] - x["spare"] - 1e-9
+        keep = (y["cost"] <= x["cost"]) & (x["node"] != y["node"]) & (np.minimum(x["left"], y["left"]) >= least)
+        x, y, least = x[keep], y[keep], least[keep]
+        keep = np.ones(len(x), bool)
+        for one, two in ((x, y), (y, x)):  # edits whose bit the other lacks are not shared
+            keep &= one["size"] - np.bitwise_count(one["bits"] & ~two["bits"]).sum(axis=1) >= least
+        one, two = x["node"][keep], y["node"][keep]
+        out.append(np.unique(np.column_stack((np.minimum(one, two), np.maximum(one, two))), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _search_edits(pdf: pd.DataFrame) -> pd.DataFrame:
+    pairs = edit_pairs(np.frombuffer(b"".join(pdf["entries"]), _EDIT))
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _fringe(pairs: DataFrame, groups: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, params: Params) -> DataFrame:
-    """Links between members of groups whose leaders' distance leaves them open; ``pairs`` (a, b) are such leaders."""
+    """Links between members of groups whose pivots' distance leaves them open; ``pairs`` (a, b) are such pivots."""
     near = 1 - params.percent / 100 + 1e-9
     members = groups.select("node", "group", "d")
     pairs = pairs.select("a", "b")
@@ -308,11 +413,11 @@ def _fringe(pairs: DataFrame, groups: DataFrame, docs: DataFrame, nodes: DataFra
     sided = stored(one.unionByName(two), "sided")
     wanted = sided.select("node").unionByName(sided.select(F.col("other").alias("node"))).distinct()
     sets = stored(_sets_of(docs, nodes, wanted, params), "fringe-sets")
-    crossed = stored(_compared(sided.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets).withColumn("cross", _distance()).withColumn("linked", _linked(params)), "crossed")
+    crossed = stored(_compared(sided.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets).drop("diff").withColumn("cross", _distance()).withColumn("linked", _linked(params)), "crossed")
     links = crossed.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = stored(edges.unionByName(links), "edges")
 
-    # Pairs of groups that are one component by now need no more; of the rest only members near enough to both leaders.
+    # Pairs of groups that are one component by now need no more; of the rest only members near enough to both pivots.
     root = components(edges)
     rooted = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     apart = rooted(rooted(pairs, "a"), "b").where("a_root <> b_root").select("a", "b")
@@ -349,35 +454,53 @@ def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
     seen = stored(docs.mapInArrow(_describe(params), _ROW), "described")
     rows = seen.where("counter IS NULL")
     counters = np.zeros(1 << params.counter_bits, np.int64)
-    for r in seen.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("n")).toLocalIterator():
+    for r in seen.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("n")).collect():
         counters[r["counter"]] = r["n"]
 
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(f"low{i}").alias(f"low{i}") for i in (1, 2, 3)])
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("lows").alias("lows"))
     nodes = stored(numbered(classes, [], F.xxhash64("key"), "node", ["key"]), "nodes")
+    counts = spark.sparkContext.broadcast(counters.tobytes())
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # 1. Leaders.
-    lows = nodes.select("node", F.expr("inline(array(struct(1 AS turn, low1 AS low), struct(2 AS turn, low2 AS low), struct(3 AS turn, low3 AS low)))"))
-    firsts = lows.groupBy("turn", "low").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
-    pairs = stored(lows.join(firsts, ["turn", "low"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "leader-pairs")
+    # 1. Pivots and groups.
+    lows = nodes.select("node", F.posexplode("lows").alias("turn", "low"))
+    common = stored(lows.groupBy("turn", "low").agg(F.count("*").alias("size")).where("size > 1").join(lows, ["turn", "low"]), "lows")
+    score = common.groupBy("node").agg(F.sum("size").alias("score"))
+    best = common.join(score, "node").groupBy("turn", "low").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("b"))
+    pairs = common.join(best, ["turn", "low"]).where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("agree"))
+    pairs = stored(pairs.where(F.col("agree") >= _AGREE).select("a", "b"), "pivot-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    near = stored(_compared(pairs, _sets_of(docs, nodes, wanted, params)).where(_linked(params)).withColumn("d", _distance()), "near")
-    roots = near.join(near.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-    member = roots.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("best")).select(F.col("a").alias("node"), "best.*")
-    groups = nodes.select("node").join(member, "node", "left").select("node", F.coalesce("b", "node").alias("group"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    first = _compared(pairs, _sets_of(docs, nodes, wanted, params), counts, params.counter_bits)
+    first = stored(first.withColumn("d", _distance()).withColumn("linked", _linked(params)), "first")
+    near, close = first.where("linked"), first.where("diff IS NOT NULL")
+    roots = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    member = roots.groupBy("a").agg(F.min_by(F.struct("b", "d", "linked", "na", "nb", "shared", "diff"), F.struct("d", "b")).alias("best"))
+    member = stored(member.select(F.col("a").alias("node"), "best.*"), "members")
+    inside = F.coalesce("linked", F.lit(False))
+    groups = nodes.select("node").join(member, "node", "left").select(
+        "node",
+        F.when(inside, F.col("b")).otherwise(F.col("node")).alias("group"),
+        F.coalesce("b", "node").alias("pivot"),
+        F.when(inside, F.col("d")).otherwise(0.0).alias("d"),
+    )
     groups = stored(groups, "groups")
 
-    # 2. Candidate groups.
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    located = nodes.join(groups, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "group")
-    keyed = docs.join(located, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "group")
-    entries = keyed.mapInArrow(_index(params, spark.sparkContext.broadcast(counters.tobytes()), buckets), "bucket long, entries binary")
-    candidates = stored(entries.groupBy("bucket").applyInPandas(_search(params), "a long, b long").distinct(), "candidates")
+    # 2. Pairs of one pivot that share edits.
+    edits = member.select("node", "b", "na", "nb", "shared", "linked", "diff").mapInArrow(_edits(params, buckets), "bucket long, entries binary")
+    edited = edits.groupBy("bucket").applyInPandas(_search_edits, "a long, b long")
 
-    # 3. Leaders against leaders, members where their distance leaves it open.
+    # 3. Pairs of different pivots that share rare shingles.
+    located = nodes.join(groups, "node").select(F.col("doc_id").alias("_id"), "group", "pivot")
+    keyed = docs.join(located, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "group", "pivot")
+    entries = keyed.mapInArrow(_index(params, counts, buckets), "bucket long, entries binary")
+    across = entries.groupBy("bucket").applyInPandas(_search(params), "a long, b long")
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = candidates.join(known, ["a", "b"], "left_anti")
-    wanted = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-    compared = stored(_compared(open_, _sets_of(docs, nodes, wanted, params)).withColumn("linked", _linked(params)).withColumn("d", _distance()), "compared")
+    candidates = stored(across.unionByName(edited).distinct().join(known, ["a", "b"], "left_anti"), "candidates")
+
+    # 4. Comparisons, of members only where their pivots leave it open.
+    wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+    compared = _compared(candidates, _sets_of(docs, nodes, wanted, params)).drop("diff")
+    compared = stored(compared.withColumn("linked", _linked(params)).withColumn("d", _distance()), "compared")
     edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     radius = groups.groupBy("group").agg(F.max("d").alias("r"))
     unsure = compared.where(~F.col("linked")).join(radius.withColumnsRenamed({"group": "a", "r": "ra"}), "a").join(radius.withColumnsRenamed({"group": "b", "r": "rb"}), "b")

@@ -67,8 +67,9 @@ def test_components_equal_all_pairs(documents, seed):
 
 
 def test_open_pairs_of_members_are_found(documents, monkeypatch):
-    """Groups of wide radius: what their leaders leave open is decided by members, also by those of equal tokens only."""
+    """Several pivots for one crowd of copies: what their distances leave open is decided by members."""
     asked = []
+    monkeypatch.setattr(j, "_AGREE", 7)
     whole = j._fringe
     monkeypatch.setattr(j, "_fringe", lambda *a: asked.append(1) or whole(*a))
     for seed in (4, 5):
@@ -102,6 +103,7 @@ def test_blocks_skip_no_pair():
     entries = np.zeros(n, j._ENTRY)
     entries["token"] = rng.integers(0, 12, n)
     entries["group"] = rng.integers(0, 150, n)
+    entries["pivot"] = entries["group"] // 4
     entries["least"] = rng.integers(10, 60, n)
     entries["most"] = entries["least"] + rng.integers(0, 5, n)
     entries["left"] = rng.integers(1, 60, n)
@@ -109,7 +111,7 @@ def test_blocks_skip_no_pair():
     want = set()
     for a in merged:
         for b in merged:
-            if a["token"] == b["token"] and a["group"] < b["group"]:
+            if a["token"] == b["token"] and a["group"] < b["group"] and a["pivot"] != b["pivot"]:
                 need = -(-80 * (int(a["least"]) + int(b["least"])) // 180)
                 if 100 * int(a["most"]) >= 80 * int(b["least"]) and 100 * int(b["most"]) >= 80 * int(a["least"]) and min(a["left"], b["left"]) >= need:
                     want.add((int(a["group"]), int(b["group"])))
