@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "log_perplexity", "band_low", "band_high")
+    return quality_rules.judged(docs, carry=["doc_id", "lang"]).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "log_perplexity", "band_low", "band_high")
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
