@@ -8,8 +8,8 @@ smallest p-value, corrected for three tests, is uniform for random strings and n
 
 Which candidates are taken is decided for each encoding and each octave of length by the false discovery rate over all
 documents: the p-values above one half give the number of truly random strings, whose p-values spread evenly, and the
-cut is the lowest one above which the surplus is at most ``fdr`` of what is taken. Short strings, where the tests see
-little, thus need no limit of their own. The counts behind the cuts are a table of fixed size.
+cut is the lowest one, from 0.01 on, above which the surplus is at most ``fdr`` of what is taken and one standard error
+of the estimate. Short strings, where the tests see little, thus need no limit of their own. The counts behind the cuts are a table of fixed size.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; a run that overlaps a known
 form adds no span; rows that repeat are judged alike; an empty table gives an empty table. Input columns named like a
@@ -34,6 +34,7 @@ KINDS = {
 }
 RANDOM = "random"
 _CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 16  # characters of a candidate without its padding
 # Encodings from the narrowest on, with the characters they use in the order of their codes.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = {
@@ -114,10 +115,12 @@ def battery(codes: Column, symbols: Column) -> Column:
     variance = (mean - 1) * (mean - 2) / (n - 1)
     p_runs = F.when(variance > 0, _two_sided((runs - mean) / F.sqrt(variance))).otherwise(0.0)
 
-    middle = F.aggregate(codes, F.lit(0.0), lambda total, c: total + c) / n
-    around = F.transform(codes, lambda c: c - middle)
-    power = F.aggregate(around, F.lit(0.0), lambda total, x: total + x * x)
-    neighbours = F.aggregate(pairs(around), F.lit(0.0), lambda total, p: total + p["a"] * p["b"])
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+    total = add(codes)
+    power = add(F.transform(codes, lambda c: (c * c).cast("double"))) - total * total / n
+    next_to = add(F.transform(pairs(codes), lambda p: (p["a"] * p["b"]).cast("double")))
+    ends = F.element_at(codes, 1) + F.element_at(codes, -1)
+    neighbours = next_to - total / n * (2 * total - ends) + (n - 1) * total * total / (n * n)
     p_serial = F.when(power > 0, _two_sided((neighbours / power + 1 / n) * F.sqrt(n))).otherwise(0.0)
 
     least = F.least(p_chi, p_runs, p_serial)
@@ -131,26 +134,27 @@ def _candidates(text: Column, known: Column) -> Column:
         lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]") & ~F.exists(known, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
     )
 
-    def inferred(token: Column, what) -> Column:
-        out = None
+    def encoded(body: Column) -> Column:
+        out = F
         for name, (members, alphabet) in ENCODINGS.items():
-            fits = token.rlike(f"^[{members}]+$")
-            out = F.when(fits, what(name, alphabet)) if out is None else out.when(fits, what(name, alphabet))
+            out = out.when(body.rlike(f"^[{members}]+$"), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet")))
         return out
 
-    def tested(span: Column) -> Column:
-        body = F.regexp_replace(span["text"], "=+$", "")
-        alphabet = inferred(body, lambda _, symbols: F.lit(symbols))
-        codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c) - 1)
-        octave = F.floor(F.log2(F.length(body).cast("double"))).cast("string")
-        return F.struct(
-            span["start"].alias("start"),
-            span["end"].alias("end"),
-            F.concat(inferred(body, lambda name, _: F.lit(name)), F.lit(":"), octave).alias("stratum"),
-            battery(codes, F.length(alphabet)).alias("p"),
-        )
+    # One step for each value that the next one uses several times.
+    place = lambda s: [s["start"].alias("start"), s["end"].alias("end")]
+    bodies = F.transform(runs, lambda s: F.struct(*place(s), F.regexp_replace(s["text"], "=+$", "").alias("body")))
+    bodies = F.filter(bodies, lambda s: F.length(s["body"]) >= LEAST)
+    known_as = F.transform(bodies, lambda s: F.struct(*place(s), s["body"].alias("body"), encoded(s["body"]).alias("code")))
 
-    return F.transform(F.filter(runs, lambda s: F.length(F.regexp_replace(s["text"], "=+$", "")) >= 16), tested)
+    def coded(s: Column) -> Column:
+        letters = F.filter(F.split(s["body"], ""), lambda c: c != "")
+        codes = F.transform(letters, lambda c: F.call_function("instr", s["code"]["alphabet"], c) - 1)
+        octave = F.floor(F.log2(F.length(s["body"]).cast("double"))).cast("string")
+        stratum = F.concat(s["code"]["name"], F.lit(":"), octave)
+        return F.struct(*place(s), stratum.alias("stratum"), codes.alias("codes"), F.length(s["code"]["alphabet"]).alias("symbols"))
+
+    codes = F.transform(known_as, coded)
+    return F.transform(codes, lambda s: F.struct(*place(s), s["stratum"].alias("stratum"), battery(s["codes"], s["symbols"]).alias("p")))
 
 
 def cuts(scanned: DataFrame, fdr: float) -> dict[str, float]:
@@ -162,8 +166,9 @@ def cuts(scanned: DataFrame, fdr: float) -> dict[str, float]:
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
     half = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
     taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * half).alias("random"))
-    wrong = 1 - F.col("random") * (1 - F.col("bin") / BINS) / F.col("taken")
-    rows = taken.where((F.col("random") > 0) & (wrong <= fdr)).groupBy("stratum").agg(F.min("bin").alias("bin")).collect()
+    expected = F.col("random") * (1 - F.col("bin") / BINS)
+    few = F.col("taken") - expected <= fdr * F.col("taken") + F.sqrt(expected)
+    rows = taken.where((F.col("random") > 0) & (F.col("bin") > 0) & few).groupBy("stratum").agg(F.min("bin").alias("bin")).collect()
     return {r["stratum"]: r["bin"] / BINS for r in rows}
 
 
