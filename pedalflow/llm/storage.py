@@ -49,6 +49,8 @@ def numbered(df: DataFrame, group: list[str], order: Column, name: str, ties: li
     """
     one = weight if weight is not None else F.lit(1).cast("long")
     rows = df.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 64 - bits)).withColumn("_weight", one)
+    if group:  # a partitioning by the group alone would leave a large one in one task
+        rows = rows.repartition(*group, "_range")
     counts = rows.groupBy(*group, "_range").agg(F.sum("_weight").alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
