@@ -16,7 +16,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     chord = F.pow(F.sin(half_dlat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(half_dlon), F.lit(2.0)
     )
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(chord))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
 
 
 def _row_height(radius_m: float) -> float:
@@ -24,23 +24,30 @@ def _row_height(radius_m: float) -> float:
     return math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
 
 
+HALF_GLOBE_M = math.pi * EARTH_RADIUS_M
+
+
 def grid_row(lat: Column, radius_m: float) -> Column:
     """Rows are one radius high: partners sit in the same row or the one above or below."""
     return F.floor(lat / F.lit(_row_height(radius_m)))
 
 
-def grid_col(lon: Column, row: Column, radius_m: float) -> Column:
-    """Columns of a row are as wide as the radius at the highest latitude of the row and its neighbours.
+def grid_columns(row: Column, radius_m: float) -> Column:
+    """Number of columns of a row around the globe.
 
-    The width depends on the row alone, so both sides of a join agree on it at any latitude
-    short of the poles, and partners are at most one column apart.
+    Each is at least as wide as the radius at the highest latitude of the row and its neighbours, so partners are at
+    most one column apart. Near a pole, or with a radius that spans it, a row is one column.
     """
-    height = _row_height(radius_m)
-    north = F.greatest(F.abs(row - 1), F.abs(row + 2)) * F.lit(height)
+    north = F.greatest(F.abs(row - 1), F.abs(row + 2)) * F.lit(_row_height(radius_m))
     # sin(d/2R) >= cos(lat)·sin(dlon/2), hence the exact bound on the longitude difference
-    sine = F.lit(math.sin(radius_m / EARTH_RADIUS_M / 2)) / F.cos(F.radians(F.least(north, F.lit(89.0))))
-    width = F.degrees(2 * F.asin(F.least(sine, F.lit(1.0)))) * F.lit(1 + 1e-9)
-    return F.floor(lon / width)
+    sine = F.lit(math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2)) / F.cos(F.radians(north))
+    width = F.degrees(2 * F.asin(sine)) * F.lit(1 + 1e-9)
+    return F.when((north < 90) & (sine < 1), F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
+
+
+def grid_col(lon: Column, columns: Column) -> Column:
+    """Column of a longitude in a row of ``columns`` columns; they wrap around at 180 degrees."""
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * columns), columns)
 
 
 def pairs_within(
@@ -62,12 +69,14 @@ def pairs_within(
         "_row", F.explode(F.sequence(grid_row(F.col(left_lat), radius_m) - 1, grid_row(F.col(left_lat), radius_m) + 1))
     )
     # the neighbour row has its own column width, so the column is computed per stamped row
-    own_col = grid_col(F.col(left_lon), F.col("_row"), radius_m)
-    stamped = rows.withColumn("_col", F.explode(F.sequence(own_col - 1, own_col + 1)))
+    columns = grid_columns(F.col("_row"), radius_m)
+    own_col = grid_col(F.col(left_lon), columns)
+    around = F.array_distinct(F.array(*[F.pmod(own_col + step, columns) for step in (-1, 0, 1)]))
+    stamped = rows.withColumn("_col", F.explode(around))
     cells = (
         right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
         .withColumn("_row", grid_row(F.col(right_lat), radius_m))
-        .withColumn("_col", grid_col(F.col(right_lon), F.col("_row"), radius_m))
+        .withColumn("_col", grid_col(F.col(right_lon), grid_columns(F.col("_row"), radius_m)))
     )
     dist = haversine_m(F.col(left_lat), F.col(left_lon), F.col(right_lat), F.col(right_lon))
     return (

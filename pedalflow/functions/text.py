@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import unicodedata
 from functools import cache
 
@@ -44,8 +46,8 @@ MONTH_NAMES = {
     "agosto": 8,
     "ago": 8,
     "septiembre": 9,
-    "sept": 9,
     "sep": 9,
+    "sept": 9,
     "octubre": 10,
     "oct": 10,
     "noviembre": 11,
@@ -60,28 +62,36 @@ def _ascii(text: str) -> str:
 
 
 @cache
-def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Compatibility folding of the basic plane to ASCII: one-letter foldings and longer ones."""
-    single_from, single_to, longer = [], [], []
-    for point in range(0x80, 0x10000):
-        if 0x3300 <= point <= 0x33FF or 0xD800 <= point <= 0xF8FF:  # squared units, surrogates, private use
-            continue
-        folded = _ascii(chr(point))
-        if len(folded) == 1:
-            single_from.append(chr(point))
-            single_to.append(folded)
-        elif folded and (point < 0x0500 or 0xFB00 <= point <= 0xFB06):
-            longer.append((chr(point), folded))
-    return "".join(single_from), "".join(single_to), tuple(longer)
+def _folding() -> tuple[str, str, str]:
+    """Compatibility folding of all code points to ASCII: one-letter foldings of the basic plane as two strings of equal
+    length, all others as a JSON object."""
+    source, target, others = [], [], {}
+    for point in range(0x80, sys.maxunicode + 1):
+        folded = "" if 0xD800 <= point <= 0xDFFF else _ascii(chr(point))
+        if len(folded) == 1 and point < 0x10000:
+            source.append(chr(point))
+            target.append(folded)
+        elif folded:
+            others[chr(point)] = folded
+    return "".join(source), "".join(target), json.dumps(others)
 
 
 def unaccent(c: Column) -> Column:
-    """Compatibility-decomposed ASCII part of a text; plain ASCII text is passed through untouched."""
-    source, target, longer = _folding()
+    """Compatibility-decomposed ASCII part of a text; plain ASCII text is passed through untouched.
+
+    Letters with a folding of one letter are translated; what is left beyond ASCII is looked up one by one, and
+    dropped where it has no folding.
+    """
+    source, target, others = _folding()
+    table = F.from_json(F.lit(others), "map<string,string>")
     folded = F.translate(c, source, target)
-    for ligature, letters in longer:
-        folded = F.replace(folded, F.lit(ligature), F.lit(letters))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
+    looked_up = F.regexp_replace(folded, r"([^\x00-\x7F])", "\u0001$1\u0001")
+    parts = F.transform(
+        F.split(looked_up, "\u0001"),
+        lambda part: F.when(part.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, part), F.lit(""))).otherwise(part),
+    )
+    beyond = r"[^\x00-\x7F]"
+    return F.when(~c.rlike(beyond), c).when(folded.rlike(beyond), F.array_join(parts, "")).otherwise(folded)
 
 
 def normalize_name(c: Column) -> Column:

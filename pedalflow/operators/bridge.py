@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pedalflow.functions import scalars as S
-from pedalflow.functions.geo import pairs_within
+from pedalflow.functions.geo import HALF_GLOBE_M, pairs_within
 from pedalflow.functions.text import normalize_name
 from pedalflow.operators.upserts import latest_per_key
 from pedalflow.schemas import conform
+from pedalflow.session import cut_lineage
 
 # Thresholds of the name and distance matches.
 MIN_NAME_SIMILARITY = 0.82
@@ -203,10 +204,21 @@ def geo_matches(hist: DataFrame, live: DataFrame, max_dist: float = MAX_MATCH_DI
     )
 
 
-def nearest_station(points: DataFrame, candidates: DataFrame, within_m: float) -> DataFrame:
-    """Closest candidate (``gbfs_id, lat, lon``) of each ``point_id`` that has one within ``within_m``."""
-    found = nearest_points(points, candidates, within_m)
-    return points.select("point_id", "lat", "lon").join(found, ["lat", "lon"]).select("point_id", "gbfs_id", "dist")
+def nearest_station(points: DataFrame, candidates: DataFrame, first_m: float = 2000.0) -> DataFrame:
+    """Closest candidate (``gbfs_id, lat, lon``) of each ``point_id`` with coordinates, however far away it is.
+
+    The search goes outwards: a hit within the radius is final, and only points without one are looked at again
+    with four times the radius, until it spans the globe.
+    """
+    left = cut_lineage(points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct())
+    found, radius = None, float(first_m)
+    while True:
+        hits = cut_lineage(nearest_points(left, candidates, min(radius, HALF_GLOBE_M)))
+        found = hits if found is None else found.unionByName(hits)
+        left = cut_lineage(left.join(hits, ["lat", "lon"], "left_anti"))
+        if radius >= HALF_GLOBE_M or left.isEmpty():
+            return points.select("point_id", "lat", "lon").join(found, ["lat", "lon"]).select("point_id", "gbfs_id", "dist")
+        radius *= 4
 
 
 # --- the cascade -------------------------------------------------------------------------------

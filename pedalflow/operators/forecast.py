@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pedalflow.functions import scalars as S
@@ -19,6 +19,7 @@ from pedalflow.schemas import conform
 # Targets and same-hour columns never enter the model.
 NON_FEATURES = ("ts", "salidas", "llegadas", "flujo_neto", "station_id")
 MISSING_NUMBER = -1.0
+HOUR_US = 3_600_000_000
 
 
 # --- split -------------------------------------------------------------------------------------
@@ -27,15 +28,32 @@ MISSING_NUMBER = -1.0
 def temporal_quantiles(df: DataFrame, val_q: float = 0.6, test_q: float = 0.8) -> DataFrame:
     """One row ``val_start, test_start``: interpolated quantiles of ``ts`` over all rows.
 
-    The rows are first counted per distinct time, so the final task sees one record per hour.
+    Rows are counted per distinct time and per hour. Running counts over the hours, one record each, tell which
+    hours hold the wanted positions; only the times of those hours, four at most, are put in order.
     """
-    counted = df.groupBy(S.micros(F.col("ts")).alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.percentile("us", F.array(F.lit(val_q), F.lit(test_q)), F.col("n"))
+    us = S.micros(F.col("ts"))
+    counted = df.filter(us.isNotNull()).groupBy(us.alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("hour_no", F.floor(F.col("us") / HOUR_US))
+    running = Window.orderBy("hour_no").rowsBetween(Window.unboundedPreceding, -1)
+    hours = counted.groupBy("hour_no").agg(F.sum("n").alias("n"))
+    hours = hours.withColumns({"before": F.coalesce(F.sum("n").over(running), F.lit(0)), "rows": F.sum("n").over(Window.partitionBy())})
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("rows") - 1)).alias("at")) for i, q in enumerate((val_q, test_q))])
+    ends = F.expr("inline(array(struct(floor(p.at) AS rank, 1 - (p.at - floor(p.at)) AS share), struct(floor(p.at) + 1 AS rank, p.at - floor(p.at) AS share)))")
+    wanted = hours.select("hour_no", "before", "n", F.explode(places).alias("p")).select("hour_no", "before", "n", F.col("p.i").alias("i"), ends)
+    wanted = wanted.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).drop("n")
+    inside = Window.partitionBy("i", "rank").orderBy("us")
+    reached = counted.join(wanted, "hour_no").withColumn("after", F.col("before") + F.sum("n").over(inside))
+    hits = reached.filter((F.col("rank") < F.col("after")) & (F.col("rank") >= F.col("after") - F.col("n")))
 
     def instant(i: int) -> Column:
-        return F.timestamp_micros(F.round(F.col("cuts")[i]).cast("bigint")).cast("timestamp_ntz")
+        own = F.when((F.col("i") == i) & (F.col("share") > 0), F.col("us"))
+        low, high = F.min(own), F.max(own)
+        share = F.max(F.when((F.col("i") == i) & (F.col("rank") == F.col("top")), F.col("share")))
+        cut = low + (high - low) * F.coalesce(share, F.lit(0.0))
+        return F.timestamp_micros(F.round(cut).cast("bigint")).cast("timestamp_ntz")
 
-    return counted.agg(cuts.alias("cuts")).select(instant(0).alias("val_start"), instant(1).alias("test_start"))
+    hits = hits.withColumn("top", F.max("rank").over(Window.partitionBy("i")))
+    return hits.agg(instant(0).alias("val_start"), instant(1).alias("test_start"))
 
 
 def assign_split(df: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -127,7 +145,8 @@ def train_model(
     train: DataFrame,
     target: str = "salidas",
     columns: Sequence[str] | None = None,
-    iterations: int = 60,
+    iterations: int = 300,
+    learning_rate: float = 0.05,
     seed: int = 42,
 ) -> tuple[PipelineModel, list[str]]:
     """Gradient-boosted trees on the features and a station code; returns the model and its feature names."""
@@ -143,7 +162,8 @@ def train_model(
             predictionCol="_raw",
             maxIter=iterations,
             maxDepth=5,
-            stepSize=0.05 if iterations >= 200 else 0.1,
+            stepSize=learning_rate,
+            checkpointInterval=20,
             subsamplingRate=0.9,
             featureSubsetStrategy="0.9",
             seed=seed,
@@ -151,8 +171,11 @@ def train_model(
     ]
     # a fixed order inside stable partitions makes row sampling, and so the model, repeatable
     ready = _numbers(train, columns).withColumn("_y", F.col(target).cast("double"))
-    ready = ready.repartition("station_id", F.col("ts").cast("date")).sortWithinPartitions("station_id", "ts")
-    return Pipeline(stages=stages).fit(ready), columns
+    ready = ready.repartition("station_id", F.col("ts").cast("date")).sortWithinPartitions("station_id", "ts").persist()
+    try:
+        return Pipeline(stages=stages).fit(ready), columns
+    finally:
+        ready.unpersist()
 
 
 def predict_frame(model: PipelineModel, df: DataFrame, columns: Sequence[str], output: str = "y_pred") -> DataFrame:
@@ -210,14 +233,16 @@ class TrainedForecast:
         return model_predictions(self.scored, self.target, self.version)
 
 
-def train(features: DataFrame, target: str = "salidas", iterations: int = 60, seed: int = 42) -> TrainedForecast:
+def train(
+    features: DataFrame, target: str = "salidas", iterations: int = 300, learning_rate: float = 0.05, seed: int = 42
+) -> TrainedForecast:
     """Split by time, fit both predictors on the training part only, score every part."""
     spark = features.sparkSession
     cuts = temporal_quantiles(features)
     # two timestamps, needed by every step below: looked up once and then literals
     bounds = spark.createDataFrame([tuple(cuts.first())], cuts.schema)
     split, training = assign_split(features, bounds), training_rows(features, bounds)
-    model, columns = train_model(training, target, feature_columns(features, target), iterations, seed)
+    model, columns = train_model(training, target, feature_columns(features, target), iterations, learning_rate, seed)
     with_baseline = predict_baseline(fit_baseline(training, target), split)
     scored = predict_frame(model, with_baseline, columns, "y_pred_model")
     return TrainedForecast(model, columns, target, new_model_version(), bounds, scored)

@@ -66,14 +66,24 @@ def mean_demand(demand: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def availability_rates(availability: DataFrame) -> DataFrame:
+    return availability.groupBy("station_id").agg(*_rates())
+
+
+def _rate_columns(rows: Column) -> dict[str, Column]:
+    """Shares of empty and full hours and minutes without bikes over the hours that ``rows`` selects."""
+
     def rate(flag: str) -> Column:
-        return F.avg(F.when(F.col(flag), 1.0).otherwise(0.0))
+        return F.avg(F.when(rows, F.when(F.col(flag), 1.0).otherwise(0.0)))
 
-    return availability.groupBy("station_id").agg(
-        rate("empty_flag").alias("riesgo_vaciado"),
-        rate("full_flag").alias("riesgo_saturacion"),
-        F.sum("minutes_zero_bikes").alias("min_sin_bicis"),
-    )
+    return {
+        "riesgo_vaciado": rate("empty_flag"),
+        "riesgo_saturacion": rate("full_flag"),
+        "min_sin_bicis": F.sum(F.when(rows, F.col("minutes_zero_bikes"))),
+    }
+
+
+def _rates() -> list[Column]:
+    return [c.alias(name) for name, c in _rate_columns(F.lit(True)).items()]
 
 
 def _risk(information: DataFrame, demand: DataFrame, availability: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -114,15 +124,30 @@ def stations_risk_filtered(
 ) -> DataFrame:
     """Risk for some weekdays at one hour; the overall risk if the choice is empty or holds no demand.
 
-    Both answers are in one plan and a scalar subquery lets exactly one through.
+    One pass sums both per station, all hours and the chosen ones; the chosen departures in total decide which to show.
     """
-    overall = _risk(information, demand, availability, bridge)
     if not dows:
-        return overall
-    picked_demand = day_hour_filter(demand, dows, hour, F.col("dow"))
-    picked = _risk(information, picked_demand, day_hour_filter(availability, dows, hour), bridge)
-    found = F.coalesce(mean_demand(picked_demand, bridge).agg(F.sum("demanda_media")).scalar(), F.lit(0.0)) != 0
-    return picked.filter(found).unionByName(overall.filter(~found))
+        return _risk(information, demand, availability, bridge)
+    days = [int(x) for x in dows]
+    chosen = F.col("dow").isin(*days) & (F.col("hour") == int(hour))
+    sums = demand.groupBy("station_id").agg(
+        F.sum("salidas").alias("s"),
+        F.count("salidas").alias("n"),
+        F.coalesce(F.sum(F.when(chosen, F.col("salidas"))), F.lit(0)).alias("cs"),
+        F.count(F.when(chosen, F.col("salidas"))).alias("cn"),
+    )
+    means = live_demand(sums, bridge).groupBy("station_id").agg(*[F.sum(c).alias(c) for c in ("s", "n", "cs", "cn")])
+    found = F.coalesce(means.agg(F.sum("cs")).scalar(), F.lit(0)) != 0
+    demanded = means.select("station_id", F.when(found, F.try_divide("cs", "cn")).otherwise(F.try_divide("s", "n")).alias("demanda_media"))
+
+    chosen = dow(F.col("date")).isin(*days) & (F.col("hour") == int(hour))
+    rates = [
+        F.when(found, F.col(f"{name}_chosen")).otherwise(F.col(name)).alias(name) for name in ("riesgo_vaciado", "riesgo_saturacion", "min_sin_bicis")
+    ]
+    both = availability.groupBy("station_id").agg(*_rates(), *[c.alias(f"{name}_chosen") for name, c in _rate_columns(chosen).items()])
+    info = latest_per_key(information.select("station_id", "name", "lat", "lon", "capacity", "captured_at_utc"), "station_id", "captured_at_utc")
+    joined = info.join(demanded, "station_id", "left").join(both.select("station_id", *rates), "station_id", "left")
+    return joined.select("station_id", "name", "lat", "lon", "capacity", *[S.null_default(F.col(c), 0.0).alias(c) for c in _RISK])
 
 
 def risk_ranking(risk: DataFrame, n: int | None = 10) -> DataFrame:
@@ -226,9 +251,8 @@ def move_map(moves: DataFrame, information: DataFrame) -> DataFrame:
 def move_points(move_map_rows: DataFrame) -> DataFrame:
     """Points of donors and receivers; moves with a missing coordinate are left out."""
     complete = move_map_rows.dropna(subset=["donor_lat", "donor_lon", "recv_lat", "recv_lon"])
-    donors = complete.select(F.col("donor_lon").alias("lon"), F.col("donor_lat").alias("lat"))
-    receivers = complete.select(F.col("recv_lon").alias("lon"), F.col("recv_lat").alias("lat"))
-    return donors.unionByName(receivers)
+    ends = [F.struct(F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_lat").alias("lat")) for end in ("donor", "recv")]
+    return complete.select(F.inline(F.array(*ends)))
 
 
 def move_totals(moves: DataFrame, keys: Sequence[str] = ("target_ts",)) -> DataFrame:

@@ -22,7 +22,7 @@ class RunInputs:
     aliases: DataFrame | None = None
 
 
-def run(spark: SparkSession, inputs: RunInputs, out: str, run_id: str, iterations: int = 60) -> dict[str, DataFrame]:
+def run(spark: SparkSession, inputs: RunInputs, out: str, run_id: str, iterations: int = 300) -> dict[str, DataFrame]:
     """Run every stage, cutting the plan at stored tables, and return the tables read back.
 
     ``out`` must lie on storage shared by all executors: a lost executor costs one stage, not the run.

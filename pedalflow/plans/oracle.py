@@ -95,18 +95,18 @@ SELECT CAST(event_id AS VARCHAR) AS trip_id, CAST(event_id % 9000 AS VARCHAR) AS
        CAST(num AS VARCHAR) AS origin_station_id, dest AS dest_station_id, ts AS retiro_ts, arr_ts AS arribo_ts
 FROM fx_events WHERE (epoch_us(arr_ts) - epoch_us(ts)) / 60e6 BETWEEN 1 AND 240"""
 
-TABLES["fx_out"] = """
-SELECT origin_station_id AS station_id, CAST(retiro_ts AS DATE) AS "date", CAST(hour(retiro_ts) AS INTEGER) AS "hour",
-       count(*) AS salidas FROM fx_trips GROUP BY ALL"""
-TABLES["fx_in"] = """
-SELECT dest_station_id AS station_id, CAST(arribo_ts AS DATE) AS "date", CAST(hour(arribo_ts) AS INTEGER) AS "hour",
-       count(*) AS llegadas FROM fx_trips GROUP BY ALL"""
-TABLES["fx_keys"] = 'SELECT station_id, "date", "hour" FROM fx_out UNION SELECT station_id, "date", "hour" FROM fx_in'
+TABLES["fx_ends"] = """
+SELECT e.station AS station_id, CAST(e.at AS DATE) AS "date", CAST(hour(e.at) AS INTEGER) AS "hour", e.leaves
+FROM (SELECT unnest([{'station': origin_station_id, 'at': retiro_ts, 'leaves': true},
+                     {'station': dest_station_id, 'at': arribo_ts, 'leaves': false}]) AS e FROM fx_trips)"""
+TABLES["fx_out"] = 'SELECT station_id, "date", "hour", count(*) AS salidas FROM fx_ends WHERE leaves GROUP BY ALL'
+TABLES["fx_in"] = 'SELECT station_id, "date", "hour", count(*) AS llegadas FROM fx_ends WHERE NOT leaves GROUP BY ALL'
+TABLES["fx_keys"] = 'SELECT DISTINCT station_id, "date", "hour" FROM fx_ends'
 TABLES["fx_demand"] = """
-SELECT g.station_id, g."date", g."hour", CAST((dayofweek(g."date") + 6) % 7 AS INTEGER) AS dow,
-       coalesce(s.salidas, 0) AS salidas, coalesce(l.llegadas, 0) AS llegadas,
-       coalesce(l.llegadas, 0) - coalesce(s.salidas, 0) AS flujo_neto, coalesce(s.salidas, 0) AS demanda_atendida
-FROM fx_keys g LEFT JOIN fx_out s USING (station_id, "date", "hour") LEFT JOIN fx_in l USING (station_id, "date", "hour")"""
+SELECT station_id, "date", "hour", CAST(isodow("date") - 1 AS INTEGER) AS dow,
+       count(*) FILTER (WHERE leaves) AS salidas, count(*) FILTER (WHERE NOT leaves) AS llegadas,
+       CAST(sum(CASE WHEN leaves THEN -1 ELSE 1 END) AS BIGINT) AS flujo_neto, count(*) FILTER (WHERE leaves) AS demanda_atendida
+FROM fx_ends GROUP BY station_id, "date", "hour\""""
 
 TABLES["fx_info"] = """
 SELECT CASE WHEN num % 10 = 7 THEN 'L' || num ELSE CAST(num AS VARCHAR) END AS station_id, 'Estación ' || num AS name,
@@ -130,13 +130,14 @@ SELECT * REPLACE (CASE WHEN num_bikes_available >= 0 THEN num_bikes_available EN
        station_id || '|' || last_reported AS capture_id, 'r' || (event_id % 3) AS run_id
 FROM fx_captures"""
 TABLES["fx_avail"] = """
-SELECT station_id, CAST(captured_at_local AS DATE) AS "date", CAST(hour(captured_at_local) AS INTEGER) AS "hour",
-       arg_min(num_bikes_available, captured_at_local) AS bikes_start, arg_max(num_bikes_available, captured_at_local) AS bikes_end,
-       min(num_bikes_available) AS bikes_min, max(num_bikes_available) AS bikes_max,
-       5.0::DOUBLE * count(*) FILTER (WHERE num_bikes_available = 0) AS minutes_zero_bikes,
-       5.0::DOUBLE * count(*) FILTER (WHERE num_docks_available = 0) AS minutes_zero_docks,
-       bool_or(num_bikes_available = 0) AS empty_flag, bool_or(num_docks_available = 0) AS full_flag, count(*) AS n_captures
-FROM fx_status GROUP BY ALL"""
+SELECT station_id, "date", "hour", bikes[1] AS bikes_start, bikes[-1] AS bikes_end, list_min(bikes) AS bikes_min, list_max(bikes) AS bikes_max,
+       5.0::DOUBLE * coalesce(len(list_filter(bikes, lambda n: n = 0)), 0) AS minutes_zero_bikes,
+       5.0::DOUBLE * coalesce(len(list_filter(docks, lambda n: n = 0)), 0) AS minutes_zero_docks,
+       list_contains(bikes, 0) AS empty_flag, list_contains(docks, 0) AS full_flag, n_captures
+FROM (SELECT station_id, captured_at_local::DATE AS "date", CAST(date_part('hour', captured_at_local) AS INTEGER) AS "hour", count(*) AS n_captures,
+             list(num_bikes_available ORDER BY captured_at_local) FILTER (WHERE num_bikes_available IS NOT NULL) AS bikes,
+             list(num_docks_available) FILTER (WHERE num_docks_available IS NOT NULL) AS docks
+      FROM fx_status GROUP BY 1, 2, 3)"""
 
 TABLES["fx_bridge"] = """
 SELECT CAST(num AS VARCHAR) AS historico_id,
@@ -315,16 +316,20 @@ LEFT JOIN fx_info_last r ON r.station_id = m.receiver_station_id"""
 
 
 def _risk(where_demand: str = "true", where_avail: str = "true") -> str:
+    """Stations, their hours of demand and their hours of availability stacked up, then one group for each station."""
     return f"""
-SELECT i.station_id, i.name, i.lat, i.lon, i.capacity, round(coalesce(d.demanda_media, 0), 9) AS demanda_media,
-       round(coalesce(a.riesgo_vaciado, 0), 9) AS riesgo_vaciado, round(coalesce(a.riesgo_saturacion, 0), 9) AS riesgo_saturacion,
-       coalesce(a.min_sin_bicis, 0) AS min_sin_bicis
-FROM fx_info_last i
-LEFT JOIN (SELECT b.gbfs_id AS station_id, avg(salidas) AS demanda_media FROM fx_demand d JOIN fx_bridge b ON d.station_id = b.historico_id
-           WHERE {where_demand} GROUP BY 1) d USING (station_id)
-LEFT JOIN (SELECT station_id, avg(CASE WHEN empty_flag THEN 1.0::DOUBLE ELSE 0 END) AS riesgo_vaciado,
-                  avg(CASE WHEN full_flag THEN 1.0::DOUBLE ELSE 0 END) AS riesgo_saturacion, sum(minutes_zero_bikes) AS min_sin_bicis
-           FROM fx_avail WHERE {where_avail} GROUP BY 1) a USING (station_id)"""
+SELECT station_id, max(label) AS name, max(y) AS lat, max(x) AS lon, max(docks) AS capacity,
+       round(coalesce(sum(departures) / nullif(sum(demand_hours), 0), 0), 9) AS demanda_media,
+       round(coalesce(sum(empty) / nullif(sum(seen_hours), 0), 0), 9) AS riesgo_vaciado,
+       round(coalesce(sum("full") / nullif(sum(seen_hours), 0), 0), 9) AS riesgo_saturacion, coalesce(sum(minutes), 0) AS min_sin_bicis
+FROM (SELECT station_id, name AS label, lat AS y, lon AS x, capacity AS docks FROM fx_info_last
+      UNION ALL BY NAME
+      SELECT b.gbfs_id AS station_id, d.salidas AS departures, 1 AS demand_hours
+      FROM fx_bridge b JOIN fx_demand d ON b.historico_id = d.station_id WHERE {where_demand}
+      UNION ALL BY NAME
+      SELECT station_id, coalesce(empty_flag, false)::INTEGER AS empty, coalesce(full_flag, false)::INTEGER AS "full", minutes_zero_bikes AS minutes, 1 AS seen_hours
+      FROM fx_avail WHERE {where_avail})
+GROUP BY station_id HAVING count(label) > 0"""
 
 
 TABLES["fx_last_bikes"] = """
@@ -694,9 +699,13 @@ SQL["quincena_F11"] = f"SELECT o_orderkey, {_quincena('o_orderdate')} AS quincen
 SQL["haversine_F12"] = (
     f"SELECT short_name, round({_haversine('lat', 'lon', 'lat + capacity * 0.01::DOUBLE', '-99.0::DOUBLE')}, 3) AS dist FROM fx_info"
 )
-SQL["nearest_point_F13"] = (
-    "SELECT historico_id AS point_id, gbfs_id, round(dist, 3) AS dist FROM fx_near WHERE dist <= 5000"
-)
+SQL["nearest_point_F13"] = f"""
+SELECT historico_id AS point_id, gbfs_id, round(dist, 3) AS dist FROM fx_near
+UNION ALL
+SELECT point_id, gbfs_id, round(dist, 3) AS dist FROM (
+  SELECT 'far' || c_custkey AS point_id, l.gbfs_id, {_haversine("c_custkey % 180 - 89.5::DOUBLE", "c_custkey * 7 % 360 - 180.0::DOUBLE", "l.lat", "l.lon")} AS dist
+  FROM customer JOIN fx_live_cat l ON true
+  QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, l.gbfs_id) = 1)"""
 SQL["normalize_name_F14"] = f"SELECT doc_id, {_name_key('text')} AS name FROM documents"
 TABLES["fx_names"] = """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'datos_' || (year(ts) - event_id % 14) || '-' || lpad(CAST(1 + event_id % 12 AS VARCHAR), 2, '0') || '.csv'

@@ -290,7 +290,7 @@ def peak_hours(d):
 
 @query("latest_ts_rows_P11")
 def latest_ts_rows(d):
-    return FC.latest_rows(d.features).select("station_id", "ts", "salidas", "salidas_lag_1", "salidas_lag_168")
+    return FC.latest_rows(d.stored_features).select("station_id", "ts", "salidas", "salidas_lag_1", "salidas_lag_168")
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -809,8 +809,8 @@ def demand_timeseries(d):
     return _rounded_metrics(I.demand_timeseries(d.predictions), "station_id", "ts", "split")
 
 
-def _trained(d: Domain, iterations: int = 5) -> FC.TrainedForecast:
-    return FC.train(d.stored_features, iterations=iterations)
+def _trained(d: Domain) -> FC.TrainedForecast:
+    return FC.train(d.stored_features)
 
 
 @query("predict_ranking_T6")
@@ -946,7 +946,13 @@ def haversine(d):
 @query("nearest_point_F13")
 def nearest_point(d):
     points = d.hist_catalog.filter("lat IS NOT NULL").withColumnRenamed("historico_id", "point_id")
-    found = B.nearest_station(points, d.live_catalog, within_m=5000.0)
+    far = d.table("customer").select(
+        F.concat(F.lit("far"), "c_custkey").alias("point_id"),
+        (F.col("c_custkey") % 180 - 89.5).alias("lat"),
+        (F.col("c_custkey") * 7 % 360 - 180.0).alias("lon"),
+    )
+    points = points.select("point_id", "lat", "lon").unionByName(far)
+    found = B.nearest_station(points, d.live_catalog)
     return found.select("point_id", "gbfs_id", F.round("dist", 3).alias("dist"))
 
 
@@ -1095,7 +1101,7 @@ def full_run(d):
     from pedalflow.plans.full_run import RunInputs, run, run_counts
 
     inputs = RunInputs(d.trips_raw, d.information, d.status, _station_catalog(d))
-    return run_counts(run(d.spark, inputs, scratch_path(d.spark, "run"), "run_1", iterations=5))
+    return run_counts(run(d.spark, inputs, scratch_path(d.spark, "run"), "run_1"))
 
 
 # --- streaming ---------------------------------------------------------------------------------

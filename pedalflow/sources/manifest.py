@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,25 +116,28 @@ def apply_status(manifest: DataFrame, updates: DataFrame) -> DataFrame:
     return conform(fresh, "historical_file_manifest")
 
 
-MAX_HASHED_BYTES = 2**31 - 1
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file, read in blocks through its file system: constant memory whatever its size."""
+    for batch in batches:
+        sums = []
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while block := stream.read(8 << 20):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "size_bytes", "checksum_sha256"])
 
 
 def file_audit(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """Size and SHA-256 per landed file, and whether it differs from the manifest.
 
-    A file is one value of the binary source, which holds at most 2 GB: bigger ones are listed with a
-    NULL checksum, to be hashed where they are downloaded.
+    Only names and sizes are listed by the source; every file, of any size, is hashed by the task that holds its row.
     """
-    # the binary source raises on files over its limit, so those are never selected with content
-    listing = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
-    small = listing.filter(F.col("length") <= MAX_HASHED_BYTES).select(
-        name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum_sha256")
-    )
-    big = listing.filter(F.col("length") > MAX_HASHED_BYTES).select(
-        name, F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("checksum_sha256")
-    )
-    audit = small.unionByName(big)
+    listing = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
+    hashed = listing.mapInArrow(_digests, "path string, size_bytes long, checksum_sha256 string")
+    audit = hashed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "size_bytes", "checksum_sha256")
     if manifest is None:
         return audit
     expected = manifest.select("file_name", F.col("checksum_sha256").alias("expected_sha256"))

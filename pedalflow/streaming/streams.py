@@ -21,18 +21,19 @@ _DOC_KEYS = ("doc_id", "captured_at_utc")
 def document_stream(spark: SparkSession, landing: str, one_per_line: bool = False, files_per_trigger: int = 1000) -> DataFrame:
     """Landed feed documents as ``doc_id, captured_at_utc, doc``.
 
-    The capture time is the document's own ``last_updated``, else the time its file landed.
+    A document is a text of a landed file: equal ones of one file are one document, those of two files are two, in
+    whatever batches the files come. The capture time is the document's own ``last_updated``, else the time its file landed.
     """
     lines = (
         spark.readStream.format("text")
         .option("wholetext", not one_per_line)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(landing)
-        .select(F.col("value").alias("doc"), F.col("_metadata.file_modification_time").alias("landed"))
+        .select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"))
     )
     updated = F.get_json_object("doc", "$.last_updated").try_cast("bigint")
     return lines.select(
-        F.sha2("doc", 256).alias("doc_id"),
+        F.sha2(F.concat_ws("\n", "file", "doc"), 256).alias("doc_id"),
         F.coalesce(S.epoch_to_utc(updated), F.col("landed").cast("timestamp_ntz")).alias("captured_at_utc"),
         "doc",
     )
@@ -118,7 +119,7 @@ def _run(
     stream: DataFrame, each_batch: Callable[[DataFrame, str], None], checkpoint: str, available_now: bool
 ) -> StreamingQuery:
     def load(batch: DataFrame, batch_id: int) -> None:
-        # a document landed twice is one document
+        # files are never split over batches, so this sees all copies within a file
         each_batch(batch.dropDuplicates(["doc_id"]), _batch_key(batch.sparkSession, checkpoint, batch_id))
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
