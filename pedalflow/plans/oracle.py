@@ -760,11 +760,8 @@ SELECT f.station_id || '|' || f.last_reported AS capture_id, f.station_id, CASE
 FROM fx_first_entries f JOIN fx_doc_times t USING (doc_id)"""
 SQL["stream_dedupe_X2"] = "SELECT DISTINCT station_id, last_reported FROM fx_first_entries"
 SQL["stream_scd_X3"] = "SELECT DISTINCT station_id, name, lat, lon, capacity FROM fx_info"
-SQL["stream_availability_X4"] = """
-SELECT * FROM fx_avail WHERE CAST("date" AS TIMESTAMP) + to_hours("hour" + 1) <= (SELECT max(captured_at_local) - INTERVAL 2 HOUR FROM fx_status)"""
-SQL["stream_demand_X5"] = """
-SELECT * FROM fx_demand WHERE CAST("date" AS TIMESTAMP) + to_hours("hour" + 1)
-  <= (SELECT greatest(max(retiro_ts), max(arribo_ts)) - INTERVAL 5 HOUR FROM fx_trips)"""
+SQL["stream_availability_X4"] = "SELECT * FROM fx_avail"
+SQL["stream_demand_X5"] = "SELECT * FROM fx_demand"
 SQL["stream_quality_X6"] = """
 SELECT count(*) AS documents, CAST(sum(dup_stations) AS BIGINT) AS dup_stations,
        CAST(sum(negativos) AS BIGINT) AS negativos, CAST(sum(sin_station_id) AS BIGINT) AS sin_station_id FROM fx_quality"""

@@ -809,8 +809,15 @@ def demand_timeseries(d):
     return _rounded_metrics(I.demand_timeseries(d.predictions), "station_id", "ts", "split")
 
 
+_forecasts: dict[tuple[str, str], FC.TrainedForecast] = {}
+
+
 def _trained(d: Domain) -> FC.TrainedForecast:
-    return FC.train(d.stored_features)
+    """The forecast of a data set, trained once in a session: the queries about it look at one model."""
+    key = (d.spark.sparkContext.applicationId, d.sf_dir)
+    if key not in _forecasts:
+        _forecasts[key] = FC.train(d.stored_features)
+    return _forecasts[key]
 
 
 @query("predict_ranking_T6")
@@ -1151,20 +1158,20 @@ def _event_stream(d: Domain) -> Domain:
     return live
 
 
-def _closed_windows(d: Domain, hourly: DataFrame, name: str) -> DataFrame:
+def _all_windows(d: Domain, hourly: DataFrame, name: str) -> DataFrame:
     path = scratch_path(d.spark, name)
-    streams.append_closed_windows(hourly, path, scratch_path(d.spark, "offsets")).awaitTermination()
-    return d.spark.read.schema(hourly.schema).parquet(path)
+    streams.replace_windows(hourly, path, scratch_path(d.spark, "offsets")).awaitTermination()
+    return d.spark.read.schema(hourly.schema).parquet(path).select(*hourly.columns)
 
 
 @query("stream_availability_X4")
 def stream_availability(d):
-    return _closed_windows(d, streams.stream_availability(_event_stream(d).status), "availability")
+    return _all_windows(d, streams.stream_availability(_event_stream(d).status), "availability")
 
 
 @query("stream_demand_X5")
 def stream_demand(d):
-    return _closed_windows(d, streams.stream_demand(_event_stream(d).trips), "demand")
+    return _all_windows(d, streams.stream_demand(_event_stream(d).trips), "demand")
 
 
 @query("stream_quality_X6")

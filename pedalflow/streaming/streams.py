@@ -13,6 +13,7 @@ from pedalflow.functions.calendar import dow
 from pedalflow.operators.hourly import CAPTURE_MINUTES, availability_aggregates
 from pedalflow.operators.upserts import information_rows, new_information_rows, new_status_rows, status_rows
 from pedalflow.schemas import SCHEMAS
+from pedalflow.session import cut_lineage
 from pedalflow.sources.feeds import parse_station_information, parse_station_status, status_quality
 
 _DOC_KEYS = ("doc_id", "captured_at_utc")
@@ -91,16 +92,13 @@ def _status_day() -> Column:
 def append_status(rows: DataFrame, path: str, batch_key: str) -> None:
     """Append captures the table does not hold; exact against all history.
 
-    Equal captures share their day, so only the days of this batch are read back.
+    Equal captures share their day, so only the very days of this batch are read back: one odd time costs one day.
     """
-    spark = rows.sparkSession
-    fresh = first_captures(rows).withColumn("day", _status_day())
-    days = fresh.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-    if days["lo"] is None:
+    fresh = cut_lineage(first_captures(rows).withColumn("day", _status_day()))
+    if fresh.isEmpty():
         return
-    stored = read_stored(spark, path, "station_status").filter(
-        F.col("day").between(days["lo"], days["hi"]) & (F.col("batch_key") != batch_key)
-    )
+    stored = read_stored(rows.sparkSession, path, "station_status").filter(F.col("batch_key") != batch_key)
+    stored = stored.join(fresh.select("day").distinct(), "day", "left_semi")
     _write_batch(new_status_rows(fresh.drop("day"), stored), path, _status_day(), batch_key)
 
 
@@ -228,6 +226,40 @@ def stream_demand(trips: DataFrame, delay: str = "5 hours") -> DataFrame:
     )
 
 
+def replace_windows(hourly: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Hourly rows as they stand after every batch, open hours included; a later batch replaces what it corrects.
+
+    Each batch reads and rewrites the days it touches. Their rows are checkpointed before the days are replaced, so a
+    batch that is repeated ends with the same table.
+    """
+    spark = hourly.sparkSession
+    columns = hourly.columns
+    stored_schema = ", ".join(f"{n} {kind}" for n, kind in hourly.dtypes)
+    spark.createDataFrame([], stored_schema).write.mode("append").partitionBy("date").parquet(path)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        fresh = cut_lineage(batch)
+        days = fresh.select("date").distinct()
+        kept = (
+            session.read.schema(stored_schema)
+            .parquet(path)
+            .join(days, "date", "left_semi")
+            .join(fresh.select("station_id", "date", "hour"), ["station_id", "date", "hour"], "left_anti")
+        )
+        merged = cut_lineage(kept.select(*columns).unionByName(fresh))
+        writer = merged.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("date").parquet(path)
+
+    return (
+        hourly.writeStream.outputMode("update")
+        .foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_closed_windows(hourly: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write finished windows as they close; the file sink commits each batch exactly once."""
     return (

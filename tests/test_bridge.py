@@ -101,13 +101,13 @@ def metres(a, b):
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(x))
 
 
-@pytest.mark.parametrize("origin", [(19.4, -99.1), (0.0, 0.0), (-33.4, -70.6), (64.1, -21.9)])
+@pytest.mark.parametrize("origin", [(19.4, -99.1), (0.0, 0.0), (-33.4, -70.6), (64.1, -21.9), (-16.5, 180.0), (88.9, 0.0)])
 @pytest.mark.parametrize("radius", [120.0, 1500.0])
 def test_nearest_points_equal_brute_force(spark, origin, radius):
     rng = random.Random(3)
 
     def point():
-        return origin[0] + rng.uniform(-0.02, 0.02), origin[1] + rng.uniform(-0.04, 0.04)
+        return origin[0] + rng.uniform(-0.02, 0.02), (origin[1] + rng.uniform(-0.04, 0.04) + 180) % 360 - 180
 
     points, places = [point() for _ in range(150)], [point() for _ in range(150)]
     got = {
@@ -126,6 +126,18 @@ def test_nearest_points_equal_brute_force(spark, origin, radius):
     assert got == want
 
 
+def test_nearest_station_has_no_limit(spark):
+    rng = random.Random(5)
+    points = [(str(i), rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [("near", 10.0, 20.0), ("none", None, 3.0)]
+    places = [(f"{i:04d}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(12)] + [("here", 10.001, 20.0)]
+    found = B.nearest_station(
+        spark.createDataFrame(points, "point_id string, lat double, lon double"),
+        spark.createDataFrame(places, "gbfs_id string, lat double, lon double"),
+    )
+    want = {p[0]: min(places, key=lambda c: metres(p[1:], c[1:]))[0] for p in points if p[1] is not None}
+    assert {r["point_id"]: r["gbfs_id"] for r in found.collect()} == want
+
+
 def test_coverage(spark):
     bridge = spark.createDataFrame([("1", "1", "exact_id", 1.0), ("2", None, "unmatched", 0.0)], "historico_id string, gbfs_id string, match_method string, confidence double")
     trips = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", "1"), ("3", "1")], "origin_station_id string, dest_station_id string")

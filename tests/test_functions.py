@@ -141,3 +141,9 @@ def test_infer_period(spark):
     year, month = T.infer_period(F.col("n"))
     got = [tuple(r) for r in df.orderBy("i").select(year, month).collect()]
     assert got == [(2026, 1), (2024, 12), (2024, 1), (2019, 9), (2018, 9), (None, None), (None, None), (None, None)]
+
+
+def test_normalize_name_folds_what_has_several_letters_or_lies_beyond_the_basic_plane(spark):
+    names = ["Plaza Ⅳ", "№7", "⑩ norte", "Bar™", "𝐀𝐛𝐜 x", "㎏ ﬃ Ĳssel", "漢字 😀 y"]
+    assert column(spark, names, T.normalize_name) == [reference_name(n) for n in names]
+    assert reference_name("Plaza Ⅳ") == "plaza iv"

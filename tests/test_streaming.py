@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pedalflow.operators import hourly as H
@@ -118,3 +119,29 @@ def test_bounded_dedupe(spark, tmp_path):
     kept = streams.bounded_dedupe(spark.readStream.schema(batch.schema).parquet(source))
     streams.append_closed_windows(kept, path, str(tmp_path / "o")).awaitTermination()
     assert sorted(r["last_reported"] for r in spark.read.parquet(path).collect()) == [10, 11]
+
+
+@pytest.mark.parametrize("files_per_trigger", [1, 2, 10])
+def test_documents_do_not_depend_on_the_size_of_a_batch(spark, tmp_path, files_per_trigger):
+    for name in ("1.json", "2.json", "3.json", "4.json"):  # equal texts of four files are four documents
+        land(tmp_path / "in", name, [entry("1", 5, T0), entry("2", -1, T0 + 50)], T0 + 60)
+    docs = streams.document_stream(spark, str(tmp_path / "in"), files_per_trigger=files_per_trigger)
+    streams.snapshot_stream(docs, str(tmp_path / "rows"), str(tmp_path / "o1")).awaitTermination()
+    assert streams.read_stored(spark, str(tmp_path / "rows"), "station_status").count() == 8
+    streams.stream_quality(docs, str(tmp_path / "quality"), str(tmp_path / "o2")).awaitTermination()
+    total = spark.read.parquet(str(tmp_path / "quality")).agg(F.sum("documents").alias("d"), F.sum("negativos").alias("n")).first()
+    assert tuple(total) == (4, 4)
+
+
+def test_open_hours_are_written_and_corrected(spark, tmp_path):
+    schema = "station_id string, captured_at_local timestamp_ntz, num_bikes_available int, num_docks_available int"
+    rows = [("1", dt.datetime(2024, 1, 1, 10, m), m // 10, 5) for m in (0, 20, 40)] + [("1", dt.datetime(2024, 1, 1, 23, 55), 0, 5)]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # nothing new changes nothing
+        hourly = streams.stream_availability(source)
+        streams.replace_windows(hourly, out, str(tmp_path / "o")).awaitTermination()
+        got = {r["hour"]: (r["n_captures"], r["bikes_max"]) for r in spark.read.schema(hourly.schema).parquet(out).collect()}
+        assert got == {10: (3, 4), 23: (1, 0)}
