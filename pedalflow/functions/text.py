@@ -85,10 +85,9 @@ def unaccent(c: Column) -> Column:
     source, target, others = _folding()
     table = F.from_json(F.lit(others), "map<string,string>")
     folded = F.translate(c, source, target)
-    looked_up = F.regexp_replace(folded, r"([^\x00-\x7F])", "\u0001$1\u0001")
     parts = F.transform(
-        F.split(looked_up, "\u0001"),
-        lambda part: F.when(part.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, part), F.lit(""))).otherwise(part),
+        F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)),
+        lambda ch: F.when(ch > F.lit("\u007f"), F.coalesce(F.try_element_at(table, ch), F.lit(""))).otherwise(ch),
     )
     beyond = r"[^\x00-\x7F]"
     return F.when(~c.rlike(beyond), c).when(folded.rlike(beyond), F.array_join(parts, "")).otherwise(folded)

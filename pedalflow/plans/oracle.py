@@ -754,6 +754,13 @@ SELECT station_id, ts, 'salidas' AS target, y_true, y_pred_baseline, "split", 'n
 SQL["expected_inventory_M8"] = "SELECT * FROM fx_inventory"
 SQL["balance_state_M9"] = "SELECT * FROM fx_state"
 
+SQL["incremental_load_M14"] = """
+WITH loads AS (SELECT *, CASE WHEN CAST(substr(source_file, 16, 2) AS INTEGER) <= 20 THEN 'run_1' ELSE 'run_2' END AS run_id FROM fx_classified)
+SELECT 'trips_raw' AS table_name, run_id, count(*) AS n FROM loads GROUP BY run_id
+UNION ALL SELECT 'trips_clean', run_id, count(*) FROM loads WHERE reason IS NULL GROUP BY run_id
+UNION ALL SELECT 'trip_rejections', run_id, count(*) FROM loads WHERE reason IS NOT NULL GROUP BY run_id
+UNION ALL SELECT 'loaded_files', run_id, count(DISTINCT source_file) FROM loads GROUP BY run_id
+UNION ALL SELECT 'ledger', r, (SELECT count(*) FROM loads WHERE reason IS NULL AND run_id = r) FROM (VALUES ('run_1'), ('run_2'), ('run_3')) v(r)"""
 SQL["snapshot_stream_X1"] = """
 SELECT f.station_id || '|' || f.last_reported AS capture_id, f.station_id, CASE WHEN bikes >= 0 THEN bikes END AS num_bikes_available,
        CASE WHEN docks >= 0 THEN docks END AS num_docks_available, f.last_reported, t.captured_at_utc
