@@ -90,12 +90,12 @@ def permuted(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np
 
 def _sequences(batches: Iterator[pa.RecordBatch], ranks, length: int) -> Iterator[tuple[np.ndarray, int, int]]:
     """The ids of each sequence of a partition with the ids of the first and last document in it."""
-    encode = encoding(ranks.value).encode_ordinary
+    encode = _encoder(ranks)
     rest, owners = np.empty(0, np.uint16), np.empty(0, np.int64)
     for batch in batches:
         ids, whose = [rest], [owners]
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = np.array([*encode(text or ""), END], np.uint16)
+            found = np.append(encode(text or ""), END).astype(np.uint16)
             ids.append(found)
             whose.append(np.full(len(found), _NO_ID if doc is None else doc))
             if sum(map(len, ids)) > 64 * length:
@@ -108,6 +108,12 @@ def _sequences(batches: Iterator[pa.RecordBatch], ranks, length: int) -> Iterato
         yield np.concatenate((rest, np.full(length - len(rest), PAD, np.uint16))), owners[0], owners[-1]
 
 
+def _encoder(ranks):
+    """The ids of a text as an array; the names of special tokens in it are ordinary text."""
+    encode = encoding(ranks.value).encode_to_numpy
+    return lambda text: encode(text, disallowed_special=())
+
+
 def _cut(ids: np.ndarray, owners: np.ndarray, length: int) -> tuple[list, np.ndarray, np.ndarray]:
     whole = len(ids) // length * length
     return [(ids[a : a + length], owners[a], owners[a + length - 1]) for a in range(0, whole, length)], ids[whole:], owners[whole:]
@@ -115,8 +121,9 @@ def _cut(ids: np.ndarray, owners: np.ndarray, length: int) -> tuple[list, np.nda
 
 def _count(ranks, length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for _ in _sequences(batches, ranks, length))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+        encode = _encoder(ranks)
+        ids = sum(len(encode(text or "")) + 1 for batch in batches for text in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-ids // length)], pa.int64())], names=["part", "n"])
 
     return count
 
