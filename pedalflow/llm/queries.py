@@ -100,5 +100,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: DuckDB counterparts; the other queries are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_jaccard_join": f"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM texts)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS joint FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * joint >= 80 * (x.n + y.n - joint)),
+reached AS (SELECT doc_id, doc_id AS root FROM texts UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
+    "op4_benchmark_decontamination": f"""
+WITH pattern AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS p),
+texts AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, p), []) AS words FROM documents, pattern),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all({_LOWER}, p), []) AS words FROM benchmark, pattern),
+windows AS (
+  SELECT DISTINCT item, words[i:i + 9] AS win
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, least(len(words), 1)) + 1)) AS i FROM items)),
+lengths AS (SELECT DISTINCT len(win) AS n FROM windows),
+places AS (SELECT doc_id, i, n, words[i:i + n - 1] AS win FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM texts, lengths)),
+found AS (SELECT doc_id, i, n, item FROM places JOIN windows USING (win)),
+hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+}
