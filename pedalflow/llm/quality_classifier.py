@@ -138,20 +138,11 @@ def _matrix(batch: pa.RecordBatch, column: str = "stats") -> np.ndarray:
     return batch.column(column).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
 
 
-@dataclass(frozen=True)
-class Model:
-    """Standardisation, projections, weights and the calibration line."""
-
-    mean: np.ndarray
-    spread: np.ndarray
-    directions: np.ndarray
-    phases: np.ndarray
-    weights: np.ndarray
-    raw: np.ndarray
-    calibrated: np.ndarray
+#: Standardisation, projections, weights and the calibration line by name.
+Model = dict[str, np.ndarray]
 
 
-def _features(x: np.ndarray, model: dict) -> np.ndarray:
+def _features(x: np.ndarray, model: Model) -> np.ndarray:
     z = np.clip((x - model["mean"]) / model["spread"], -6, 6)
     waves = np.cos(z @ model["directions"] + model["phases"]) * np.sqrt(2 / len(model["phases"]))
     return np.column_stack((np.ones(len(z)), z, waves))
@@ -169,7 +160,7 @@ def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def fit(rows: DataFrame, calibrate: Column, params: Params = Params()) -> dict:
+def fit(rows: DataFrame, calibrate: Column, params: Params = Params()) -> Model:
     """A model from rows with ``stats`` and ``label`` (0 or 1); rows where ``calibrate`` holds only calibrate it."""
     size = len(STATISTICS)
     rng = np.random.default_rng(params.seed)
@@ -205,8 +196,8 @@ def fit(rows: DataFrame, calibrate: Column, params: Params = Params()) -> dict:
     cells = parts.select("row", F.posexplode("sums").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x"))
     d = 1 + size + params.features
     table = np.zeros((d, d + 2))
-    for r in cells.toLocalIterator():
-        table[r["row"], r["col"]] = r["x"]
+    found = cells.toArrow()
+    table[found["row"].to_numpy(), found["col"].to_numpy()] = found["x"].to_numpy()
     penalty = params.ridge * max(table[0, d + 1], 1.0) * np.eye(d)
     penalty[0, 0] = 1e-9
     model["weights"] = np.linalg.solve(table[:, :d] + penalty, table[:, d])
@@ -232,7 +223,7 @@ def fit(rows: DataFrame, calibrate: Column, params: Params = Params()) -> dict:
     return model
 
 
-def scored(rows: DataFrame, model: dict, params: Params = Params()) -> DataFrame:
+def scored(rows: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
     """``rows`` (with ``stats``) with ``score`` and ``predicted`` in place of the statistics."""
     kept = [c for c in rows.columns if c.lower() not in ("stats", "score", "predicted")]
     schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
