@@ -567,16 +567,16 @@ def _training(d: Domain) -> DataFrame:
 
 def _median_table(name: str):
     def build(d: Domain) -> DataFrame:
-        return getattr(FC.fit_baseline(_training(d)), name)
+        return FC.medians_at(FC.fit_baseline(_training(d)), name)
 
     return build
 
 
 for _id, _name in {
-    "median_sdh_A11": "by_station_dow_hour",
-    "median_sh_A11": "by_station_hour",
-    "median_h_A11": "by_hour",
-    "median_all_A11": "overall",
+    "median_sdh_A11": "station_dow_hour",
+    "median_sh_A11": "station_hour",
+    "median_h_A11": "hour",
+    "median_all_A11": "all",
 }.items():
     query(_id)(_median_table(_name))
 
