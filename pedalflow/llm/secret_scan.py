@@ -9,7 +9,9 @@ smallest p-value, corrected for three tests, is uniform for random strings and n
 Which candidates are taken is decided for each encoding and each octave of length by the false discovery rate over all
 documents: the p-values above one half give the number of truly random strings, whose p-values spread evenly, and the
 cut is the lowest one, from 0.01 on, above which the surplus is at most ``fdr`` of what is taken and one standard error
-of the estimate. Short strings, where the tests see little, thus need no limit of their own. The counts behind the cuts are a table of fixed size.
+of the estimate. Each distinct string counts once, however often it is copied. A stratum with fewer than 20 distinct
+strings above ``fdr`` is too small for an estimate: ``fdr`` is the cut there from 32 characters on, one half below. The
+counts behind the cuts are a table of fixed size.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; a run that overlaps a known
 form adds no span; rows that repeat are judged alike; an empty table gives an empty table. Input columns named like a
@@ -49,6 +51,8 @@ ENCODINGS = {
     "any": ("0-9A-Za-z+/_=-", _UPPER + _LOWER + _DIGITS + "+/-_="),
 }
 BINS = 100
+ENOUGH = 20  # distinct strings with a p-value of at least fdr that a stratum's own estimate needs
+LONG = 5  # octave from which on the tests tell what people write without an estimate
 
 
 @dataclass(frozen=True)
@@ -151,25 +155,32 @@ def _candidates(text: Column, known: Column) -> Column:
         codes = F.transform(letters, lambda c: F.call_function("instr", s["code"]["alphabet"], c) - 1)
         octave = F.floor(F.log2(F.length(s["body"]).cast("double"))).cast("string")
         stratum = F.concat(s["code"]["name"], F.lit(":"), octave)
-        return F.struct(*place(s), stratum.alias("stratum"), codes.alias("codes"), F.length(s["code"]["alphabet"]).alias("symbols"))
+        key = F.xxhash64(s["body"]).alias("key")
+        return F.struct(*place(s), stratum.alias("stratum"), codes.alias("codes"), F.length(s["code"]["alphabet"]).alias("symbols"), key)
 
     codes = F.transform(known_as, coded)
-    return F.transform(codes, lambda s: F.struct(*place(s), s["stratum"].alias("stratum"), battery(s["codes"], s["symbols"]).alias("p")))
+    return F.transform(codes, lambda s: F.struct(*place(s), s["stratum"].alias("stratum"), battery(s["codes"], s["symbols"]).alias("p"), s["key"].alias("key")))
 
 
 def cuts(scanned: DataFrame, fdr: float) -> dict[str, float]:
-    """The least p-value that is taken in each stratum, from the p-values of all candidates; at most one row each."""
+    """The least p-value that is taken in each stratum, from the p-values of all distinct candidates; at most one row each."""
     seen = scanned.select(F.explode("_tested").alias("c")).select(
-        F.col("c.stratum").alias("stratum"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+        F.col("c.stratum").alias("stratum"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), F.col("c.key").alias("key")
     )
-    counts = seen.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    counts = seen.distinct().groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
-    half = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
-    taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * half).alias("random"))
+    over = lambda least: F.sum(F.when(F.col("bin") >= least, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
+    taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * over(BINS // 2)).alias("random"), over(fdr * BINS).alias("open"))
     expected = F.col("random") * (1 - F.col("bin") / BINS)
-    few = F.col("taken") - expected <= fdr * F.col("taken") + F.sqrt(expected)
-    rows = taken.where((F.col("random") > 0) & (F.col("bin") > 0) & few).groupBy("stratum").agg(F.min("bin").alias("bin")).collect()
-    return {r["stratum"]: r["bin"] / BINS for r in rows}
+    few = (F.col("random") > 0) & (F.col("bin") > 0) & (F.col("taken") - expected <= fdr * F.col("taken") + F.sqrt(expected))
+    rows = taken.groupBy("stratum").agg(F.min(F.when(few, F.col("bin"))).alias("bin"), F.first("open").alias("open")).collect()
+    out = {}
+    for r in rows:
+        if r["open"] < ENOUGH:
+            out[r["stratum"]] = fdr if int(r["stratum"].split(":")[1]) >= LONG else 0.5
+        elif r["bin"] is not None:
+            out[r["stratum"]] = r["bin"] / BINS
+    return out
 
 
 RESULTS = ["base_spans", "spans", "n_assign", "n_access", "n_hex"]

@@ -108,6 +108,25 @@ def test_random_strings_are_found_and_clean_text_is_left_alone(documents):
     assert wrong <= 0.1 * hit
 
 
+def test_copies_of_a_string_do_not_move_the_cut(spark):
+    rng = random.Random(8)
+    rows = [[(f"mixed:{octave}", rng.random(), octave * 1000 + i)] for octave in (5, 6) for i in range(200)]
+    once = rows + [[("mixed:5", 0.3, 1)], [("mixed:6", 0.6, 2)]]
+    build = lambda x: spark.createDataFrame([(r,) for r in x], "_tested array<struct<stratum:string,p:double,key:long>>")
+    copied = rows + [[("mixed:5", 0.3, 1)]] * 5000 + [[("mixed:6", 0.6, 2)]] * 5000
+    assert s.cuts(build(copied), 0.05) == s.cuts(build(once), 0.05)
+    assert max(s.cuts(build(copied), 0.05).values()) <= 0.1
+
+
+def test_one_secret_in_thousands_of_copies(spark, documents):
+    rng = random.Random(5)
+    secrets = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(8)]
+    out = s.scanned(documents(secrets).crossJoin(spark.range(1000)).drop("id"), carry=["doc_id"])
+    found = {r["doc_id"]: r["n"] for r in out.where("size(spans) = 1").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert len(found) >= 7 and set(found.values()) == {1000}
+    assert s.cuts(spark.createDataFrame([([("mixed:5", 0.3, 1)],)] * 3000, "_tested array<struct<stratum:string,p:double,key:long>>"), 0.05) == {"mixed:5": 0.05}
+
+
 def test_redaction(documents):
     docs = documents([*ODD, *FORMS]).selectExpr("*", "length(text) AS n_chars", "1 AS spans", "'x' AS extra")
     out = {(r["doc_id"], r["lang"]): r for r in s.redacted(docs).where("doc_id >= 100").collect()}
