@@ -4,7 +4,8 @@ A page is read once into blocks: the text between two block-level tags, with the
 root to it. For each path the text outside links and its punctuation are summed over the page and divided by the number
 of its blocks; both ratios are laid along the page, smoothed with a Gaussian, multiplied, and cut at a share of their
 standard deviation. What is selected fixes the content element, the deepest one that holds all of it; headings and short
-paragraphs in it belong to the text, blocks of links do not. Elements that a page itself marks as menu, header, footer,
+paragraphs in it belong to the text, linked or not; several blocks or links in a row without a word between them do not.
+Elements that a page itself marks as menu, header, footer,
 sidebar, notice, advert, form or reader comments are never part of it.
 
 Blocks are decoded, have their white space turned into single blanks and are joined by newlines in page order.
@@ -56,12 +57,13 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[^\w\s]")
+_WORD = re.compile(r"\w")
 
 
 @dataclass(frozen=True)
 class Params:
     """Production parameters: width of the smoothing in blocks, share of the standard deviation that cuts, and the
-    share of a block's text in links from which on it is a list of links."""
+    share of a block's text in links from which on it does not choose the content element."""
 
     sigma: float = 1.0
     cut: float = 0.5
@@ -84,6 +86,8 @@ class Block:
     text: str
     linked: int = 0
     punctuation: int = 0
+    links: int = 0
+    only_links: bool = False
     path: str = field(default="")
 
 
@@ -104,26 +108,28 @@ def _marked(tag: str, attributes: dict[str, str]) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """All blocks with text that lie outside marked and hidden elements, in page order."""
     root = Element("#", "", None, False)
-    current, out, pieces, linked = root, [], [], 0
+    current, out, pieces, linked, links, plain = root, [], [], 0, 0, False
     link: Element | None = None
     at = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links, plain
         if pieces:
             text = " ".join("".join(pieces).split())
             if text and not current.aside:
-                out.append(Block(current, text, linked, len(_PUNCTUATION.findall(text))))
+                out.append(Block(current, text, linked, len(_PUNCTUATION.findall(text)), links, linked > 0 and not plain))
             pieces.clear()
-        linked = 0
+        linked, links, plain = 0, int(link is not None), False
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if text and not current.aside:
             text = html.unescape(text)
             pieces.append(text)
             if link is not None:
                 linked += len(" ".join(text.split()))
+            else:
+                plain = plain or _WORD.search(text) is not None
 
     def close_to(element: Element) -> None:
         nonlocal current, link
@@ -157,6 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         tag = tag.lower()
         if tag == "a":
             link = None if closing else current
+            links += not closing
             continue
         if tag == "br":
             pieces.append(" ")
@@ -244,9 +251,11 @@ def main_text(page: str | None, params: Params = Params()) -> str:
         holder = holder.parent
     first, last = np.flatnonzero(chosen)[[0, -1]]
     loose = holder.tag in ("#", "html", "body")  # nothing narrower holds the content: stay between its ends
+    listed = [b.only_links and b.element.tag not in HEADINGS for b in blocks]
     kept = []
     for i, b in enumerate(blocks):
-        inside = any(e is holder for e in _ancestors(b.element)) and prose[i]
+        several = listed[i] and (b.links > 1 or (i > 0 and listed[i - 1]) or (i + 1 < len(blocks) and listed[i + 1]))
+        inside = any(e is holder for e in _ancestors(b.element)) and not several
         if loose:
             inside = inside and (chosen[i] or first <= i <= last or (b.element.tag in HEADINGS and i < first))
         if inside:

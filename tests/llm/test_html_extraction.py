@@ -28,6 +28,16 @@ def test_only_the_article_is_kept(body):
     assert main_text(page(body.format(text))) == f"Heading\n{PROSE}\nShort one.\n{PROSE}"
 
 
+def test_linked_blocks_of_an_article_stay_and_lists_of_links_go():
+    body = (
+        f"<article><h1><a href='/t'>The title</a></h1><p>{PROSE}</p><h2><a href='#a'>Part one</a></h2><p>{PROSE}</p><p><a href='x'>A paper</a></p><p>{PROSE}</p>"
+        f"<p>See <a href='x'>a long name of a page</a> and <a href='y'>another name</a>.</p><ul><li>{PROSE}</li><li><a href='x'>One linked item</a></li><li>{PROSE}</li></ul>"
+        "<ul><li><a href='1'>More one</a></li><li><a href='2'>More two</a></li></ul><div><a href='1'>Next</a> | <a href='2'>Last</a></div></article>"
+    )
+    lines = ["The title", PROSE, "Part one", PROSE, "A paper", PROSE, "See a long name of a page and another name.", PROSE, "One linked item", PROSE]
+    assert main_text(page(body)) == "\n".join(lines)
+
+
 def test_references_white_space_and_inline_elements():
     text = f"<p>  A &amp; B&nbsp;&#233;&lt;x&gt;\n <b>bold</b><i>er</i>, text.<br>Next<!-- no --> line </p><p>{PROSE}</p>"
     assert main_text(page(f"<article>{text}</article>")) == f"A & B é<x> bolder, text. Next line\n{PROSE}"
