@@ -6,7 +6,8 @@ of its blocks; both ratios are laid along the page, smoothed with a Gaussian, mu
 standard deviation. What is selected fixes the content element, the deepest one that holds all of it; headings and short
 paragraphs in it belong to the text, linked or not; several blocks or links in a row without a word between them do not.
 Elements that a page itself marks as menu, header, footer,
-sidebar, notice, advert, form or reader comments are never part of it.
+sidebar, notice, advert, form or reader comments are never part of it. Names of headings, paragraphs and list items mark
+nothing, and words with other meanings (``related``, ``search``) only as a whole name outside an article.
 
 Blocks are decoded, have their white space turned into single blanks and are joined by newlines in page order.
 
@@ -47,11 +48,14 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words in class names and ids, and roles, that mark what is not content.
 MARKS = set(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist"
-    " consent cookie cookies copyright disclaimer discussion disqus feedback footer header login masthead menu menubar meta modal"
-    " nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion"
-    " recommended related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored"
+    " consent cookie cookies disqus feedback footer login masthead menu menubar modal"
+    " nav navbar navigation newsletter notification pager pagination paywall popup promo promoted promotion"
+    " recommended replies reply respond share sharing sidebar sidenav signup skip sponsor sponsored"
     " subscribe subscription tagcloud teaser toolbar topbar widget widgets".split()
 )
+# Words that mark as the whole of a name only, and never inside an article.
+AMBIGUOUS = set("copyright disclaimer discussion header meta notice notices related search social".split())
+NAMED_BY_TEXT = {"p", "li", *HEADINGS}  # their classes and ids come from what they say
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -91,14 +95,22 @@ class Block:
     path: str = field(default="")
 
 
-def _marked(tag: str, attributes: dict[str, str]) -> bool:
+def _marked(tag: str, attributes: dict[str, str], within: bool) -> bool:
+    """Whether an element says itself that it is no content; ``within`` an article its names say less."""
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main") or tag in NAMED_BY_TEXT:
         return False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+    classes, ids = attributes.get("class", "").lower().split(), attributes.get("id", "").lower().split()
+    if tag == "section":  # its id is that of its heading, unless it is the bare word
+        ids = [] if within else [x for x in ids if x in MARKS]
+    elif any(x in AMBIGUOUS for x in ids) and not within:
+        return True
+    if any(x in AMBIGUOUS for x in classes) and not within:
+        return True
+    for name in [*classes, *ids]:
         words = re.split(r"[^a-z0-9]+", name)
         if words[0] not in ("has", "with", "no", "without") and any(w in MARKS for w in words):
             return True
@@ -193,7 +205,7 @@ def blocks_of(page: str) -> list[Block]:
                 e = nearest(CLOSED_BY_SAME[tag], BARRIER) if tag == "tr" else None
         flush()
         within = current.in_article or tag in ("article", "main")
-        aside = current.aside or tag in HIDDEN or tag in ASIDE or (tag == "header" and not within) or _marked(tag, attributes)
+        aside = current.aside or tag in HIDDEN or tag in ASIDE or (tag == "header" and not within) or _marked(tag, attributes, within)
         if rest.rstrip().endswith("/") and tag in HIDDEN:
             continue
         classes = ".".join(attributes.get("class", "").split()[:1])

@@ -38,6 +38,20 @@ def test_linked_blocks_of_an_article_stay_and_lists_of_links_go():
     assert main_text(page(body)) == "\n".join(lines)
 
 
+def test_names_that_come_from_the_text_mark_nothing():
+    body = (
+        f"<article><div class='post-header'><h1 id='search'>Title</h1></div><p>{PROSE}</p><h2 id='related-work'>Related</h2><p id='copyright-law'>{PROSE}</p>"
+        f"<section id='discussion'><h2 id='search-algorithms'>Search</h2><p>{PROSE}</p></section><section id='disclaimer'><p>{PROSE}</p></section>"
+        f"<section id='sharing-of-comments'><p class='notice'>{PROSE}</p></section><div class='header'><h2 id='social-impact'>Impact</h2></div><p>{PROSE}</p></article>"
+    )
+    lines = ["Title", PROSE, "Related", PROSE, "Search", PROSE, PROSE, PROSE, "Impact", PROSE]
+    around = "<div class='header'><p>Head, of a site, and more.</p></div>{}<div class='related'><p>Other, things, to read.</p></div><section id='comments'><p>Nice, text, all.</p></section>"
+    assert main_text(page(body)) == "\n".join(lines)
+    assert main_text(page(around.format(body))) == "\n".join(lines)
+    open_page = f"<div><h1 id='meta-analysis'>Title</h1><section id='discussion'><p>{PROSE}</p></section><section id='search-costs'><p>{PROSE}</p></section></div>"
+    assert main_text(page(open_page)) == f"Title\n{PROSE}\n{PROSE}"
+
+
 def test_references_white_space_and_inline_elements():
     text = f"<p>  A &amp; B&nbsp;&#233;&lt;x&gt;\n <b>bold</b><i>er</i>, text.<br>Next<!-- no --> line </p><p>{PROSE}</p>"
     assert main_text(page(f"<article>{text}</article>")) == f"A & B é<x> bolder, text. Next line\n{PROSE}"
