@@ -35,8 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pedalflow.llm.components import components
 from pedalflow.llm.storage import numbered, small_batches, stored
@@ -446,8 +448,8 @@ def _prefixes(params: Params):
     return prefixes
 
 
-def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row of ``docs``."""
+def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and key of every row of ``docs``, and key, smallest doc_id and component of every different set."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -509,7 +511,12 @@ def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
         edges = _fringe(unsure, groups, docs, nodes, edges, params)
 
     root = components(edges)
-    named = nodes.join(root, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
+    return rows, nodes.join(root, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row of ``docs``."""
+    rows, named = _named(docs, params)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "root").select(F.col("key").alias("_key"), "component_id")
     full = rows.where("n > 0").join(names, F.col("key") == F.col("_key")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -517,7 +524,37 @@ def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return full.unionByName(empty)
 
 
+def _keyed(params: Params, schema: T.StructType):
+    """Rows with the name of their set; a text without shingles gets a name of its own."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, task = Hasher(NOT_SPACE, LOWER), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for rows, data, offsets in chunks(batch.column("text")):
+                shingle, begins = shingle_sets(data, offsets, hasher, params.words)
+                keys = _binary(_keys(shingle, begins)).to_pylist()
+                empty = np.diff(begins) == 0
+                keys = [f"{task}-{seen + i}".encode() if e else k for i, (k, e) in enumerate(zip(keys, empty.tolist(), strict=True))]
+                seen += len(keys)
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary()), pa.array(empty)], names=schema.names)
+
+    return keyed
+
+
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """``docs`` with only the document that names each component; of rows with one id the first one met stays."""
-    stay = joined(docs, params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component: the one with the smallest id, then the smallest name of its set.
+
+    Rows that are not linked all stay, whether they share an id, have none, or have a text without shingles.
+    """
+    small_batches(docs.sparkSession)
+    _, named = _named(docs, params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")).alias("first")
+    stay = named.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.none").alias("_none"), F.col("first.key").alias("_key"), F.lit(True).alias("_stays"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType()), T.StructField("_empty", T.BooleanType())])
+    number = F.col("doc_id").cast("long")
+    rows = docs.mapInArrow(_keyed(params, schema), schema).withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull()})
+    place = ["_id", "_none", "_key"]
+    kept = rows.join(stay, place, "left").where(F.col("_empty") | F.col("_stays"))
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")  # of rows that differ in nothing linked
+    return kept.groupBy(*place).agg(one).select("one.*")

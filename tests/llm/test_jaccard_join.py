@@ -97,6 +97,16 @@ def test_one_of_each_keeps_the_smallest_id_with_its_columns(documents):
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 5, 7]
 
 
+def test_one_of_each_keeps_unlinked_rows_with_equal_or_null_ids(documents):
+    texts = [" ".join(f"{a}{i}" for i in range(12)) for a in "abcdef"]
+    rows = [(None, t, "en") for t in texts[:3]] + [(3, t, "en") for t in texts[3:]] + [(None, "", "en"), (None, None, "en"), (8, " ", "en")]
+    copies = [(9, texts[0], "en"), (None, texts[0].upper(), "de"), (2, texts[4], "en"), (3, texts[3], "en")]
+    got = Counter((r["doc_id"], r["text"]) for r in j.one_of_each(documents([*rows, *copies])).collect())
+    want = Counter((d, t) for d, t, _ in rows)
+    want -= Counter({(None, texts[0]): 1, (3, texts[4]): 1})
+    assert got == want + Counter({(9, texts[0]): 1, (2, texts[4]): 1})
+
+
 def test_blocks_skip_no_pair():
     rng = np.random.default_rng(0)
     n = 400
