@@ -1,7 +1,7 @@
 """Secret scans: known forms of secrets, and strings that pass a battery of randomness tests.
 
-Everything is column expressions. Known forms are found by three patterns. For the battery every maximal run of encoding
-characters with a letter and a digit is a candidate; its encoding is inferred from the characters it uses, and under
+Everything is column expressions. Known forms are found by three patterns. For the battery every maximal run of 16 or more
+encoding characters is a candidate, with "=" only as padding at its end; its encoding is inferred from the characters it uses, and under
 the hypothesis of independent uniform symbols of that encoding three tests are made: chi-squared for the frequencies
 of the symbols, runs above and below the middle of the alphabet, and the correlation of neighbouring symbols. Their
 smallest p-value, corrected for three tests, is uniform for random strings and near 0 for anything written by people.
@@ -9,8 +9,10 @@ smallest p-value, corrected for three tests, is uniform for random strings and n
 Which candidates are taken is decided for each encoding and each octave of length by the false discovery rate over all
 documents: the p-values above one half give the number of truly random strings, whose p-values spread evenly, and the
 cut is the lowest one, from 0.01 on, above which the surplus is at most ``fdr`` of what is taken and one standard error
-of the estimate. Each distinct string counts once, however often it is copied. A stratum with fewer than 20 distinct
-strings above ``fdr`` is too small for an estimate: ``fdr`` is the cut there from 32 characters on, one half below. The
+of the estimate. Where the p-values above one half fall off by more than two standard errors, the tests cannot tell and
+nothing is taken. Each distinct string counts once, however often it is copied. A stratum with fewer than 20 distinct
+strings above ``fdr`` is too small for an estimate: ``fdr`` is the cut there from 32 characters on, one half below; letters alone, as words are, need 50 above one half
+below 32 characters, and with fewer none is taken. The
 counts behind the cuts are a table of fixed size.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; a run that overlaps a known
@@ -35,11 +37,15 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # greedy runs: the shorter ones cannot match, so they are not listed at all
 }
 RANDOM = "random"
-_CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST = 16  # characters of a candidate without its padding
+_CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}+(?:=++(?![A-Za-z0-9+/_-]))?"  # an inner = ends a name, padding ends a run
 # Encodings from the narrowest on, with the characters they use in the order of their codes.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = {
+    "digits": ("0-9", _DIGITS),
+    "letters_lower": ("a-z", _LOWER),
+    "letters_upper": ("A-Z", _UPPER),
+    "letters": ("A-Za-z", _UPPER + _LOWER),
     "hex_lower": ("0-9a-f", _DIGITS + "abcdef"),
     "hex_upper": ("0-9A-F", _DIGITS + "ABCDEF"),
     "base32": ("A-Z2-7", _UPPER + "234567"),
@@ -48,10 +54,11 @@ ENCODINGS = {
     "mixed": ("0-9A-Za-z", _DIGITS + _UPPER + _LOWER),
     "base64": ("0-9A-Za-z+/", _UPPER + _LOWER + _DIGITS + "+/"),
     "base64url": ("0-9A-Za-z_-", _UPPER + _LOWER + _DIGITS + "-_"),
-    "any": ("0-9A-Za-z+/_=-", _UPPER + _LOWER + _DIGITS + "+/-_="),
+    "any": ("0-9A-Za-z+/_-", _UPPER + _LOWER + _DIGITS + "+/-_"),
 }
 BINS = 100
 ENOUGH = 20  # distinct strings with a p-value of at least fdr that a stratum's own estimate needs
+EVEN = 50  # distinct strings with a p-value above one half that short strings of letters need, to see whether they fall off
 LONG = 5  # octave from which on the tests tell what people write without an estimate
 
 
@@ -135,7 +142,7 @@ def _candidates(text: Column, known: Column) -> Column:
     """Runs to be tested, with stratum (encoding and octave of length) and p-value."""
     runs = F.filter(
         _found(text, _CANDIDATE),
-        lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]") & ~F.exists(known, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+        lambda s: ~F.exists(known, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
     )
 
     def encoded(body: Column) -> Column:
@@ -147,7 +154,6 @@ def _candidates(text: Column, known: Column) -> Column:
     # One step for each value that the next one uses several times.
     place = lambda s: [s["start"].alias("start"), s["end"].alias("end")]
     bodies = F.transform(runs, lambda s: F.struct(*place(s), F.regexp_replace(s["text"], "=+$", "").alias("body")))
-    bodies = F.filter(bodies, lambda s: F.length(s["body"]) >= LEAST)
     known_as = F.transform(bodies, lambda s: F.struct(*place(s), s["body"].alias("body"), encoded(s["body"]).alias("code")))
 
     def coded(s: Column) -> Column:
@@ -170,15 +176,19 @@ def cuts(scanned: DataFrame, fdr: float) -> dict[str, float]:
     counts = seen.distinct().groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
     over = lambda least: F.sum(F.when(F.col("bin") >= least, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
-    taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * over(BINS // 2)).alias("random"), over(fdr * BINS).alias("open"))
+    taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * over(BINS // 2)).alias("random"), over(fdr * BINS).alias("open"), over(3 * BINS // 4).alias("top"))
     expected = F.col("random") * (1 - F.col("bin") / BINS)
     few = (F.col("random") > 0) & (F.col("bin") > 0) & (F.col("taken") - expected <= fdr * F.col("taken") + F.sqrt(expected))
-    rows = taken.groupBy("stratum").agg(F.min(F.when(few, F.col("bin"))).alias("bin"), F.first("open").alias("open")).collect()
+    rows = taken.groupBy("stratum").agg(F.min(F.when(few, F.col("bin"))).alias("bin"), F.first("open").alias("open"), (F.first("random") / 2 - 2 * F.first("top")).alias("slope"), (F.first("random") / 2).alias("half")).collect()
     out = {}
     for r in rows:
+        encoding, octave = r["stratum"].split(":")
+        words = encoding.startswith("letters") and int(octave) < LONG
+        if words and r["half"] < EVEN:
+            continue
         if r["open"] < ENOUGH:
-            out[r["stratum"]] = fdr if int(r["stratum"].split(":")[1]) >= LONG else 0.5
-        elif r["bin"] is not None:
+            out[r["stratum"]] = fdr if int(octave) >= LONG else 0.5
+        elif r["bin"] is not None and r["slope"] <= 2 * math.sqrt(r["half"]):  # else not even: the tests cannot tell there
             out[r["stratum"]] = r["bin"] / BINS
     return out
 

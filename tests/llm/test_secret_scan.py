@@ -108,6 +108,30 @@ def test_random_strings_are_found_and_clean_text_is_left_alone(documents):
     assert wrong <= 0.1 * hit
 
 
+def test_short_strings_digits_letters_and_values_of_names_are_tested(documents):
+    rng = random.Random(3)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = {"short": (letters + digits, 18, 40), "digits": (digits, 20, 40), "letters": (letters, 24, 300), "value": (letters + digits, 40, 40)}
+    rows, planted = [], {}
+    for kind, (alphabet, n, times) in kinds.items():
+        for _ in range(times):
+            before = prose(rng, 20) + (" name_of_it=" if kind == "value" else " ")
+            planted[len(rows)] = kind, (len(before), len(before) + n)
+            rows.append((len(rows), before + draw(alphabet, n) + " " + prose(rng, 10), "en"))
+    out = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == 3] for r in s.scanned(documents(rows), carry=["doc_id"]).collect()}
+    hit = Counter(kind for i, (kind, place) in planted.items() if place in out[i])
+    assert all(hit[kind] >= 0.75 * times for kind, (_, _, times) in kinds.items()), hit
+
+
+def test_words_are_left_alone(documents):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["th", "er", "on", "an", "re", "in", "ha", "ti", "ed", "es", "sh", "ly", "nt"]) for _ in range(9)) for _ in range(900)]
+    for n in (30, 900):
+        out = s.scanned(documents([f"a {w} b" for w in words[:n]]), carry=["doc_id"])
+        assert out.where("size(spans) > 0").count() == 0
+
+
 def test_copies_of_a_string_do_not_move_the_cut(spark):
     rng = random.Random(8)
     rows = [[(f"mixed:{octave}", rng.random(), octave * 1000 + i)] for octave in (5, 6) for i in range(200)]
