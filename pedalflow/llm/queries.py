@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedalflow.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding, training_order
+from pedalflow.llm import (
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    lexical_search,
+    packing,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    training_order,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +97,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_sharding,
         op10_secret_scan,
+        op11_lexical_search,
+        op12_prefix_trie,
     )
 }
 
@@ -129,4 +152,41 @@ listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY ite
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op11_lexical_search": f"""
+WITH pattern AS (SELECT '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+' AS p),
+words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, p)) AS term FROM documents, pattern),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, p)) AS term FROM benchmark, pattern),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+norms AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM lengths, whole),
+counts AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST) AS own FROM turns GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 9 AS h
+  FROM convs),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(g.own, [])[1:h] || c.own[h + 1:] AS seq
+  FROM convs c JOIN crc USING (conv_id) LEFT JOIN convs g ON g.conv_id = c.conv_id - c.conv_id % 5),
+members AS (SELECT conv_id, seq[1:d] AS path, d, len(seq) AS n FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(path[d].text) END AS own
+  FROM members GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+below AS (SELECT path[1:u] AS path, n_children, own FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM full_nodes)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM below GROUP BY path)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path LEFT JOIN nodes p ON p.path = n.path[1:n.d - 1] AND p.d = n.d - 1""",
 }
