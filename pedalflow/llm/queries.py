@@ -19,6 +19,7 @@ from pedalflow.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    substring_dedup,
     training_order,
 )
 
@@ -105,6 +106,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_lexical_search,
         op12_prefix_trie,
+        op13_substring_dedup,
     )
 }
 
@@ -189,4 +196,12 @@ below AS (SELECT path[1:u] AS path, n_children, own FROM (SELECT *, unnest(range
 sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM below GROUP BY path)
 SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends AS ends_sha256
 FROM full_nodes n JOIN sums s ON s.path = n.path LEFT JOIN nodes p ON p.path = n.path[1:n.d - 1] AND p.d = n.d - 1""",
+    "op13_substring_dedup": """
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+windows AS (SELECT r, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM texts)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+removed AS (SELECT r, list(DISTINCT w) AS hit FROM (SELECT r, unnest(range(i, i + 35)) AS w FROM windows JOIN again USING (h)) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(hit), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN hit IS NULL THEN words ELSE list_filter(words, lambda w, j: NOT list_contains(hit, j)) END, ' ')) AS kept_sha256
+FROM texts LEFT JOIN removed USING (r)""",
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_and_the_pipeline_are_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(QUERIES)
 
