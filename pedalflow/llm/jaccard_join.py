@@ -7,8 +7,9 @@ connected components need, and never lists the pairs of a group of copies:
    Where the pivot is similar enough, a node is kept as its difference from it, the shingles removed and added. Nodes
    linked with the pivot form its group; the largest distance in a group is its radius.
 2. Two nodes of one pivot that are not both in its group are linked only if their differences overlap enough: by more
-   than the smaller one costs in similarity. So an index of differences proposes pairs with a common rare edit, and the
-   many pairs of copies that were edited in different places are never looked at.
+   than the smaller one costs in similarity. So the differences of a crowd are indexed by their rare edits, and the
+   many pairs of copies that were edited in different places are never looked at. What the index proposes is counted
+   from the differences in the same task; only links that put two components together leave it.
 3. All other links are between different pivots. The index for them holds, for each shingle, the groups (and nodes by
    themselves) of which a member has that shingle in its prefix: the rarest shingles that any linked set must share one
    of. How rare a shingle is comes from a table of counts of fixed size over all documents, so a passage that many
@@ -331,78 +332,174 @@ def _search(params: Params):
     return search
 
 
-_EDIT = np.dtype([("token", "<u8"), ("node", "<i8"), ("cost", "<f8"), ("spare", "<f8"), ("left", "<i4"), ("size", "<i4"), ("probe", "?"), ("bits", "<u8", 8)])
+_DEALT = "bucket long, node long, pivot long, parts long, part long, size long, pivot_size long, shared long, linked boolean, diff binary"
+#: Useful edits of one part of a crowd, and bytes of differences in one bucket, about.
+_EDITS, _BUCKET_BYTES = 200_000, 16 << 20
+_WIDE = 64
+#: Entries of one bucket of the index of prefixes, about.
+_BUCKET_ENTRIES = 500_000
 
 
-def _edits(params: Params, buckets: int):
-    """Entries of differences: those of the prefix to be found, and all that may matter of nodes outside the group to
-    find them with. A token stands for an edit to one pivot's set.
+def _costs(size: np.ndarray, pivot: np.ndarray, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """With q = percent / (100 + percent), a set that lacks r shingles of its pivot and adds a costs (1 - q) r + q a; two
+    sets are linked when their differences share at least the sum of their costs less (1 - 2 q) times the pivot's size."""
+    q = percent / (100 + percent)
+    return (1 - q) * (pivot - shared) + q * (size - shared), (1 - 2 * q) * pivot
 
-    With q = percent / (100 + percent), a set that lacks r shingles of its pivot and adds a costs (1 - q) r + q a; two
-    sets are linked when their differences share at least the sum of their costs less (1 - 2 q) times the pivot's size.
-    """
-    q = params.percent / (100 + params.percent)
-
-    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for node, pivot, na, nb, shared, linked, diff in zip(*(batch.column(c).to_pylist() for c in ("node", "b", "na", "nb", "shared", "linked", "diff")), strict=True):
-                tokens = np.frombuffer(diff, np.uint64)
-                cost, spare = (1 - q) * (nb - shared) + q * (na - shared), (1 - 2 * q) * nb
-                left = len(tokens) - np.arange(len(tokens))
-                bits = np.zeros(8, np.uint64)
-                np.bitwise_or.at(bits, (tokens >> np.uint64(6) & np.uint64(7)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
-                for probe, of_use in ((0, left > cost - 1e-9), (1, (left >= cost - spare - 1e-9) & (not linked))):
-                    entries = np.zeros(int(of_use.sum()), _EDIT)
-                    entries["token"] = mix(tokens[of_use] ^ mix(np.array([pivot], np.uint64)))
-                    entries["node"], entries["cost"], entries["spare"], entries["left"], entries["probe"] = node, cost, spare, left[of_use], probe
-                    entries["size"], entries["bits"] = len(tokens), bits
-                    held.append(entries)
-            if sum(map(len, held)) > 500_000:
-                yield _dealt(np.concatenate(held), buckets)
-                held = []
-        if held and sum(map(len, held)):
-            yield _dealt(np.concatenate(held), buckets)
-
-    return edits
 
+def _deal_edits(params: Params, buckets: int):
+    """A node's difference for each part of its crowd in which an edit of it may be found or asked for."""
 
-def edit_pairs(entries: np.ndarray) -> np.ndarray:
-    """Pairs of nodes of one pivot that share an edit and may be linked; the list of an edit is read from the largest
-    slack (edits left less cost) down to what the probing node still needs, and bit patterns of all edits are compared."""
-    found = entries[entries["probe"] == 0]
-    probes = entries[entries["probe"] == 1]
-    slack = found["left"] - found["cost"]
-    order = np.lexsort((-slack, found["token"]))
-    found, slack = found[order], slack[order]
-    need = probes["cost"] - probes["spare"] - 1e-9
-    begin, end = np.searchsorted(found["token"], probes["token"], "left"), np.searchsorted(found["token"], probes["token"], "right")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in _DEALT.split(", ")]
+        for batch in batches:
+            tokens = [np.frombuffer(d.as_buffer(), np.uint64) for d in batch.column("diff")]
+            size, pivot_size, shared, pivot, parts = (batch.column(c).to_numpy() for c in ("na", "nb", "shared", "b", "parts"))
+            linked = batch.column("linked").to_numpy(zero_copy_only=False)
+            cost, spare = _costs(size, pivot_size, shared, params.percent)
+            row, part = [], []
+            for i, t in enumerate(tokens):
+                useful = len(t) - np.arange(len(t)) > min(cost[i], np.inf if linked[i] else cost[i] - spare[i]) - 1e-6
+                found = np.unique(t[useful] % np.uint64(parts[i])).astype(np.int64)
+                row.append(np.full(len(found), i))
+                part.append(found)
+            if not row:
+                continue
+            row, part = np.concatenate(row), np.concatenate(part)
+            bucket = (mix(pivot[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            taken = batch.take(pa.array(row))
+            columns = [pa.array(bucket), taken.column("node"), taken.column("b"), taken.column("parts"), pa.array(part), *(taken.column(c) for c in ("na", "nb", "shared", "linked", "diff"))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return deal
+
+
+def _grown(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that start at ``begin`` and hold ``n``."""
+    return np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Forest:
+    """Which of ``label``'s places are one component: those with one label, and those that pairs have joined since."""
+
+    def __init__(self, label: np.ndarray):
+        _, first, group = np.unique(label, return_index=True, return_inverse=True)
+        self.root = first[group]
+
+    def _find(self, a: int) -> int:
+        while (up := self.root[a]) != a:
+            self.root[a] = self.root[up]
+            a = up
+        return a
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Join pairs and tell which of them have put two components together."""
+        new = np.zeros(len(x), bool)
+        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            one, two = self._find(a), self._find(b)
+            if one != two:
+                self.root[one], new[i] = two, True
+        while ((up := self.root[self.root]) != self.root).any():
+            self.root = up
+        return new
+
+
+def edit_links(rows: dict[str, np.ndarray], diffs: list[np.ndarray], percent: int) -> np.ndarray:
+    """Linked pairs of nodes of one pivot, at most one less than there are nodes, that put their components together.
+
+    ``rows`` has node, pivot, parts, part, size, pivot_size, shared and linked of each difference in ``diffs``, the edits
+    of the rarest shingles first. Nodes linked with the pivot are one component from the start. A node outside of the
+    group asks for each edit that may matter; of the nodes that have it in their prefix, sorted by slack (edits left less
+    cost), those are looked at whose slack is what the asking node still needs. Pairs that patterns of all edits cannot
+    rule out are counted exactly, in portions, and only while they are in different components.
+    """
+    length = np.array([len(d) for d in diffs], np.int64)
+    first = np.concatenate(([0], np.cumsum(length)))
+    token = np.concatenate(diffs) if diffs else np.empty(0, np.uint64)
+    size, pivot_size, shared, linked, pivot = (rows[c] for c in ("size", "pivot_size", "shared", "linked", "pivot"))
+    cost, spare = _costs(size, pivot_size, shared, percent)
+    node = np.repeat(np.arange(len(diffs)), length)
+    left = length[node] - (np.arange(len(token)) - first[node])
+    salted = mix(token ^ mix(pivot.astype(np.uint64))[node])
+    here = token % rows["parts"].astype(np.uint64)[node] == rows["part"].astype(np.uint64)[node]
+    entry = np.flatnonzero(here & (left > cost[node] - 1e-9))
+    slack = left[entry] - cost[node[entry]]
+    order = np.lexsort((-slack, salted[entry]))
+    entry, slack = entry[order], slack[order]
+    asked = np.flatnonzero(here & ~linked[node] & (left >= cost[node] - spare[node] - 1e-9))
+    need = cost[node[asked]] - spare[node[asked]] - 1e-9
+    keys = salted[entry]
+    begin, end = np.searchsorted(keys, salted[asked], "left"), np.searchsorted(keys, salted[asked], "right")
     low, high = begin.copy(), end.copy()
     while (open_ := low < high).any():
         middle = (low + high) // 2
         enough = slack[np.minimum(middle, max(len(slack) - 1, 0))] >= need
         low, high = np.where(open_ & enough, middle + 1, low), np.where(open_ & ~enough, middle, high)
     n = low - begin
+
+    names, same = np.unique(rows["node"], return_inverse=True)
+    label = same + len(names)
+    pivots = np.unique(pivot[linked], return_inverse=True)[1]
+    label[linked] = pivots  # smaller than all others
+    by_name = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(by_name, same, label)
+    forest = _Forest(by_name)
+    bits = np.zeros((len(diffs), _WIDE), np.uint64)
+    np.bitwise_or.at(bits, (node, (salted >> np.uint64(6) & np.uint64(_WIDE - 1)).astype(np.int64)), np.uint64(1) << (salted & np.uint64(63)))
+    own = np.sort(mix(salted + mix(rows["node"].astype(np.uint64))[node]))
+
     out = [np.empty((0, 2), np.int64)]
     cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + 1, 100_000))
     for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
-        m = n[a:b]
-        k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        x, y = probes[np.repeat(np.arange(a, b), m)], found[np.repeat(begin[a:b], m) + k]
-        least = x["cost"] + y["cost"] - x["spare"] - 1e-9
-        keep = (y["cost"] <= x["cost"]) & (x["node"] != y["node"]) & (np.minimum(x["left"], y["left"]) >= least)
-        x, y, least = x[keep], y[keep], least[keep]
-        keep = np.ones(len(x), bool)
-        for one, two in ((x, y), (y, x)):  # edits whose bit the other lacks are not shared
-            keep &= one["size"] - np.bitwise_count(one["bits"] & ~two["bits"]).sum(axis=1) >= least
-        one, two = x["node"][keep], y["node"][keep]
-        out.append(np.unique(np.column_stack((np.minimum(one, two), np.maximum(one, two))), axis=0))
-    return np.unique(np.concatenate(out), axis=0)
+        x, y = np.repeat(asked[a:b], n[a:b]), entry[_grown(begin[a:b], n[a:b])]
+        p, q = node[x], node[y]
+        least = cost[p] + cost[q] - spare[p] - 1e-9
+        keep = (cost[q] <= cost[p]) & (forest.root[same[p]] != forest.root[same[q]]) & (np.minimum(left[x], left[y]) >= least)
+        pairs = np.unique(np.column_stack((p[keep], q[keep])), axis=0)
+        for at in range(0, len(pairs), 8192):
+            p, q = pairs[at : at + 8192].T
+            apart = forest.root[same[p]] != forest.root[same[q]]
+            p, q = p[apart], q[apart]
+            least = cost[p] + cost[q] - spare[p] - 1e-9
+            keep = np.ones(len(p), bool)
+            for one, two in ((p, q), (q, p)):  # edits whose bit the other lacks are not shared
+                keep &= length[one] - np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1) >= least
+            p, q = p[keep], q[keep]
+            which = np.repeat(np.arange(len(p)), length[q])
+            edits = mix(salted[_grown(first[q], length[q])] + mix(rows["node"].astype(np.uint64))[p[which]])
+            spot = np.minimum(np.searchsorted(own, edits), max(len(own) - 1, 0))
+            both = np.bincount(which[own[spot] == edits], minlength=len(p))
+            common = shared[p] + shared[q] - pivot_size[p] + both
+            link = 100 * common >= percent * (size[p] + size[q] - common)
+            p, q = p[link], q[link]
+            new = forest.join(same[p], same[q])
+            out.append(np.column_stack((rows["node"][p[new]], rows["node"][q[new]])))
+    return np.concatenate(out)
+
+
+def _search_edits(params: Params):
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = ("node", "pivot", "parts", "part", "size", "pivot_size", "shared", "linked")
+        pairs = edit_links({c: pdf[c].to_numpy() for c in columns}, [np.frombuffer(d, np.uint64) for d in pdf["diff"]], params.percent)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return search
 
 
-def _search_edits(pdf: pd.DataFrame) -> pd.DataFrame:
-    pairs = edit_pairs(np.frombuffer(b"".join(pdf["entries"]), _EDIT))
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _links_by_edits(member: DataFrame, params: Params) -> DataFrame:
+    """u and v of links between nodes of one pivot, enough for their components.
+
+    Only crowds with a node that is not linked with the pivot are looked at. A crowd is one part, or as many as its edits
+    need; a part lies in one bucket, and how many buckets there are follows from the bytes of all differences.
+    """
+    size = F.octet_length("diff")
+    crowds = member.groupBy("b").agg(F.sum(size / 16).alias("edits"), F.sum(size).alias("bytes"), F.sum((~F.col("linked")).cast("int")).alias("outside"))
+    crowds = stored(crowds.where("outside > 0").select("b", F.ceil(F.col("edits") / _EDITS).cast("long").alias("parts"), "bytes"), "crowds")
+    most = crowds.agg(F.sum(F.col("bytes") * F.least("parts", F.lit(64)))).first()[0] or 0
+    buckets = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // _BUCKET_BYTES))
+    dealt = member.join(crowds.select("b", "parts"), "b").select("node", "b", "na", "nb", "shared", "linked", "parts", "diff")
+    found = dealt.mapInArrow(_deal_edits(params, buckets), _DEALT).groupBy("bucket").applyInPandas(_search_edits(params), "a long, b long")
+    return found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
 def _fringe(pairs: DataFrame, groups: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, params: Params) -> DataFrame:
@@ -462,7 +559,8 @@ def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("lows").alias("lows"))
     nodes = stored(numbered(classes, [], F.xxhash64("key"), "node", ["key"]), "nodes")
     counts = spark.sparkContext.broadcast(counters.tobytes())
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = nodes.agg(F.sum(F.col("n") * (100 - params.percent) / 100 + 1)).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(prefixes // _BUCKET_ENTRIES))
 
     # 1. Pivots and groups.
     lows = nodes.select("node", F.posexplode("lows").alias("turn", "low"))
@@ -487,9 +585,8 @@ def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     )
     groups = stored(groups, "groups")
 
-    # 2. Pairs of one pivot that share edits.
-    edits = member.select("node", "b", "na", "nb", "shared", "linked", "diff").mapInArrow(_edits(params, buckets), "bucket long, entries binary")
-    edited = edits.groupBy("bucket").applyInPandas(_search_edits, "a long, b long")
+    # 2. Links between nodes of one pivot, from their differences.
+    edited = stored(_links_by_edits(member, params), "edited")
 
     # 3. Pairs of different pivots that share rare shingles.
     located = nodes.join(groups, "node").select(F.col("doc_id").alias("_id"), "group", "pivot")
@@ -497,13 +594,13 @@ def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     entries = keyed.mapInArrow(_index(params, counts, buckets), "bucket long, entries binary")
     across = entries.groupBy("bucket").applyInPandas(_search(params), "a long, b long")
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = stored(across.unionByName(edited).distinct().join(known, ["a", "b"], "left_anti"), "candidates")
+    candidates = stored(across.distinct().join(known, ["a", "b"], "left_anti"), "candidates")
 
     # 4. Comparisons, of members only where their pivots leave it open.
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
     compared = _compared(candidates, _sets_of(docs, nodes, wanted, params)).drop("diff")
     compared = stored(compared.withColumn("linked", _linked(params)).withColumn("d", _distance()), "compared")
-    edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edited).unionByName(compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     radius = groups.groupBy("group").agg(F.max("d").alias("r"))
     unsure = compared.where(~F.col("linked")).join(radius.withColumnsRenamed({"group": "a", "r": "ra"}), "a").join(radius.withColumnsRenamed({"group": "b", "r": "rb"}), "b")
     unsure = stored(unsure.where(F.col("d") <= 1 - params.percent / 100 + F.col("ra") + F.col("rb") + 1e-9).where("ra + rb > 0").select("a", "b", "d"), "unsure")

@@ -78,6 +78,29 @@ def test_open_pairs_of_members_are_found(documents, monkeypatch):
     assert asked
 
 
+@pytest.mark.parametrize("edits", [200_000, 300])
+def test_a_crowd_that_shares_edits_gives_few_rows_and_every_component(documents, monkeypatch, edits):
+    """2,000 copies edited in a few common places: many are near one another, many just outside of the pivot's group."""
+    monkeypatch.setattr(j, "_EDITS", edits)
+    made = []
+    whole = j._links_by_edits
+    monkeypatch.setattr(j, "_links_by_edits", lambda *a: made.append(whole(*a).cache()) or made[-1])
+    rng = random.Random(11)
+    text = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        own = list(text)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            own[rng.randrange(0, 60, 4)] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(own), "en"))
+    got = Counter(map(tuple, j.joined(documents(rows)).collect()))
+    distinct = {shingles(t): i for i, t, _ in reversed(rows)}
+    least = brute([(i, rows[i][1]) for i in distinct.values()])
+    root = {d: c for d, _, c in least}
+    assert got == Counter((i, len(shingles(t)), root[distinct[shingles(t)]]) for i, t, _ in rows)
+    assert sum(m.count() for m in made) < 2000
+
+
 def test_odd_rows(documents):
     got = Counter(map(tuple, j.joined(documents(ODD)).collect()))
     want = brute(ODD)
