@@ -1,18 +1,15 @@
 """Token ids in training order: sequences at the slots of a keyed permutation, in binary shards of a fixed stride.
 
 Texts are encoded with a byte-level BPE vocabulary, each followed by an end mark. The ids of one input partition, one text
-after the other, are cut into sequences of ``length`` ids; the last one of a partition is filled up with ``PAD``. A first
-pass counts the sequences of every partition, which numbers them all without moving a text. A Feistel network on the
-smallest even number of bits, walked along its cycle until it lands below the number of sequences, then gives each
-sequence its slot: a permutation that needs no table and can be inverted. The second pass sends every sequence to the
-shard that holds its slot; one task writes one shard, sorted, under a temporary name that becomes final at its end, so a
-task that is repeated leaves the same file.
+after the other, are cut into sequences of ``length`` ids; the last one of a partition is filled up with ``PAD``. They are
+stored as 2-byte ids with their number in the partition, so a text is encoded once; the number of sequences of each
+partition then numbers them all. A Feistel network on the smallest even number of bits, walked along its cycle until it
+lands below the number of sequences, gives each sequence its slot: a permutation that needs no table and can be
+inverted. Every stored sequence goes to the shard that holds its slot; one task writes one shard, sorted, under a
+temporary name that becomes final at its end, so a task that is repeated leaves the same file.
 
 A sequence lies at byte ``slot % per_shard * stride`` of shard ``slot // per_shard``: reading on from any slot is one seek.
 
-Both passes must see the same rows in each partition. That holds for a scan of files; anything else has to be stored
-first. Were it not so, the second pass would notice and fail, not write a wrong order.
-
 Defined results: a null or empty text is an end mark alone; rows that repeat are encoded each time; an empty table has no
 sequence and no shard. Only ``doc_id`` and ``text`` are read.
 """
@@ -32,8 +29,9 @@ import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pedalflow.llm.storage import shared_folder, small_batches
+from pedalflow.llm.storage import shared_folder, small_batches, stored
 from pedalflow.llm.text_arrays import mix
 
 # Fixed values of the vocabulary: how it cuts a text into pieces, and its first free id.
@@ -119,48 +117,49 @@ def _cut(ids: np.ndarray, owners: np.ndarray, length: int) -> tuple[list, np.nda
     return [(ids[a : a + length], owners[a], owners[a + length - 1]) for a in range(0, whole, length)], ids[whole:], owners[whole:]
 
 
-def _count(ranks, length: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks)
-        ids = sum(len(encode(text or "")) + 1 for batch in batches for text in batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-ids // length)], pa.int64())], names=["part", "n"])
-
-    return count
+_ENCODED = "part int, number long, n_ids int, first_doc long, last_doc long, ids binary"
 
 
-_PLACED = "shard int, slot long, sequence long, n_ids int, first_doc long, last_doc long, ids binary"
+def _encode(ranks, length: int):
+    """The sequences of a partition, with its number and theirs in it."""
 
+    def rows(held: list, number: int) -> pa.RecordBatch:
+        columns = [
+            pa.array(np.full(len(held), TaskContext.get().partitionId(), np.int32)),
+            pa.array(np.arange(number, number + len(held))),
+            pa.array([int((ids != PAD).sum()) for ids, _, _ in held], pa.int32()),
+            *(pa.array([None if item[i] == _NO_ID else int(item[i]) for item in held], pa.int64()) for i in (1, 2)),
+            pa.array([ids.astype("<u2").tobytes() for ids, _, _ in held], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "number", "n_ids", "first_doc", "last_doc", "ids"])
 
-def _place(ranks, offsets, params: Params):
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        begins = offsets.value
-        number, end, total = begins[part], begins[part + 1], begins[-1]
-
-        def rows(held: list) -> pa.RecordBatch:
-            numbers = np.arange(number, number + len(held))
-            slots = permuted(numbers, total, params.key)
-            columns = [
-                pa.array((slots // params.per_shard).astype(np.int32)),
-                pa.array(slots),
-                pa.array(numbers),
-                pa.array([int((ids != PAD).sum()) for ids, _, _ in held], pa.int32()),
-                *(pa.array([None if item[i] == _NO_ID else int(item[i]) for item in held], pa.int64()) for i in (1, 2)),
-                pa.array([ids.astype("<u2").tobytes() for ids, _, _ in held], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "sequence", "n_ids", "first_doc", "last_doc", "ids"])
-
-        held: list = []
-        for item in _sequences(batches, ranks, params.length):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+        for item in _sequences(batches, ranks, length):
             held.append(item)
             if len(held) == 512:
-                yield rows(held)
+                yield rows(held, number)
                 number, held = number + len(held), []
         if held:
-            yield rows(held)
-            number += len(held)
-        if number != end:
-            raise RuntimeError("the rows of a partition have changed between the passes: store the documents first")
+            yield rows(held, number)
+
+    return encode
+
+
+_PLACED = "shard int, slot long, sequence long, n_ids int, first_doc long, last_doc long, ids binary"
+
+
+def _place(offsets, params: Params):
+    """The slot and shard of each stored sequence."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = offsets.value
+        for batch in batches:
+            numbers = begins[batch.column("part").to_numpy()] + batch.column("number").to_numpy()
+            slots = permuted(numbers, int(begins[-1]), params.key)
+            columns = [pa.array((slots // params.per_shard).astype(np.int32)), pa.array(slots), pa.array(numbers)]
+            kept = ["n_ids", "first_doc", "last_doc", "ids"]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["shard", "slot", "sequence", *kept])
 
     return place
 
@@ -179,7 +178,7 @@ def _write(folder: str, params: Params, total: int):
                 stream = system.open_output_stream(draft)
             slots = batch.column("slot").to_numpy()
             if not np.array_equal(slots, np.arange(after, after + len(slots))):
-                raise RuntimeError("a slot is missing or taken twice: store the documents first")
+                raise RuntimeError("a slot is missing or taken twice")
             after += len(slots)
             sums = []
             for ids in batch.column("ids"):
@@ -190,7 +189,7 @@ def _write(folder: str, params: Params, total: int):
             yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), byte, *kept, pa.array(sums, pa.int64())], names=["slot", "shard", "byte", "sequence", "n_ids", "first_doc", "last_doc", "crc32"])
         if stream is not None:
             if after != min((shard + 1) * params.per_shard, total):
-                raise RuntimeError("a shard is not complete: store the documents first")
+                raise RuntimeError("a shard is not complete")
             stream.close()
             system.move(draft, f"{root}/shard-{shard:06d}.bin")
 
@@ -209,8 +208,8 @@ def materialised(docs: DataFrame, folder: str | None = None, params: Params = Pa
     folder = folder or f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
     with open(params.vocabulary, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    rows = docs.select("doc_id", "text")
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(_count(ranks, params.length), "part int, n long").collect()}
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(_encode(ranks, params.length), _ENCODED), "encoded", "zstd")
+    counts = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.count("*").alias("n")).collect()}
     sizes = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
     begins = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
     total = int(begins[-1])
@@ -222,7 +221,7 @@ def materialised(docs: DataFrame, folder: str | None = None, params: Params = Pa
     if not total:
         return spark.createDataFrame([], _WRITTEN)
     shards = -(-total // params.per_shard)
-    placed = rows.mapInArrow(_place(ranks, spark.sparkContext.broadcast(begins.tolist()), params), _PLACED)
+    placed = encoded.mapInArrow(_place(spark.sparkContext.broadcast(begins), params), _PLACED)
     return placed.repartitionById(shards, "shard").sortWithinPartitions("slot").mapInArrow(_write(folder, params, total), _WRITTEN)
 
 
