@@ -1,8 +1,9 @@
 """Packing into length buckets: the boundaries that pad least, and batches of a token budget in each bucket.
 
-The lengths of all documents are counted in a histogram on a grid that is exact up to 255 words and keeps 7 bits above,
-at most 128 steps for each doubling, so it stays a few thousand rows at any size. Dynamic programming over it finds the
-bucket boundaries of least padding. Inside a bucket documents are numbered in the order of a hash by many tasks, and
+The lengths of all documents are counted in a histogram of exact lengths; it has at most as many rows as the longest
+document has words, however many documents there are. Dynamic programming over it finds the bucket boundaries of least
+padding: the cost of a bucket is a Monge array, so the best last boundary moves one way and is found for all lengths by
+halving, in m log m steps for m lengths. Inside a bucket documents are numbered in the order of a hash by many tasks, and
 every ``budget // boundary`` of them form a batch; a document longer than the budget is a batch by itself.
 
 Words are runs of anything but white space; a null or empty text has none and goes to the first bucket. Rows that repeat
@@ -19,39 +20,54 @@ from pedalflow.llm.storage import numbered, stored
 
 BUCKETS = 16
 BUDGET = 65_536
+_NEVER = 1 << 62
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def on_grid(n: Column) -> Column:
-    """The least grid point that is not below ``n``."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(n)) - 8)).cast("long")
-    return (F.floor((n + step - 1) / step) * step).cast("long")
+def _least_last(cost: np.ndarray, size: np.ndarray, total: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number j of covered lengths the least cost with one more bucket, and where that bucket begins.
+
+    The beginning never moves back as j grows: all j of one level of halving are looked at together, each between the
+    beginnings of its neighbours on the levels before.
+    """
+    m = len(size)
+    best, begin = np.full(m + 1, _NEVER), np.full(m + 1, -1)
+    low, high = np.array([least]), np.array([m])  # ranges of j, and of where their bucket may begin
+    first, last = np.array([least - 1]), np.array([m - 1])
+    while len(low):
+        j = (low + high) // 2
+        n = np.minimum(last, j - 1) - first + 1
+        starts = np.cumsum(n) - n
+        i = np.repeat(first - starts, n) + np.arange(n.sum())
+        filled = cost[i] + np.repeat(size[j - 1], n) * (np.repeat(total[j], n) - total[i])
+        best[j] = np.minimum.reduceat(filled, starts)
+        equal = np.flatnonzero(filled == np.repeat(best[j], n))
+        begin[j] = i[equal[np.searchsorted(equal, starts)]]
+        below, above = low < j, j < high
+        low, high, first, last = (
+            np.concatenate((low[below], j[above] + 1)),
+            np.concatenate((j[below] - 1, high[above])),
+            np.concatenate((first[below], begin[j][above])),
+            np.concatenate((begin[j][below], last[above])),
+        )
+    return best, begin
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most ``buckets`` of the sorted ``lengths``, the last one among them, that pad the least in total."""
-    if not lengths:
-        return []
-    size = np.array(lengths, np.float64)
-    total = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
+    size = np.array(lengths, np.int64)
+    total = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     m = len(size)
-    cost = np.full(m + 1, np.inf)
+    cost = np.full(m + 1, _NEVER)
     cost[0] = 0
     back = []
-    for _ in range(min(buckets, m)):
-        best, frm = cost.copy(), np.full(m + 1, -1)
-        for j in range(1, m + 1):
-            filled = cost[:j] + size[j - 1] * (total[j] - total[:j])
-            i = int(np.argmin(filled))
-            if filled[i] < best[j]:
-                best[j], frm[j] = filled[i], i
-        back.append(frm)
-        cost = best
+    for k in range(1, min(buckets, m) + 1):
+        cost, begin = _least_last(cost, size, total, k)
+        back.append(begin)
     out, j = [], m
-    for frm in reversed(back):
-        if frm[j] >= 0:
-            out.append(lengths[j - 1])
-            j = int(frm[j])
+    for begin in reversed(back):
+        out.append(lengths[j - 1])
+        j = int(begin[j])
     return out[::-1]
 
 
@@ -62,7 +78,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length
     """
     n = length if length is not None else F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD))
     rows = stored(docs.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens")), "lengths")
-    histogram = rows.groupBy(on_grid(F.col("n_tokens")).alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
+    histogram = rows.groupBy(F.col("n_tokens").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
     ends = boundaries([r["size"] for r in histogram], [r["n"] for r in histogram], buckets) or [0]
     fits = [max(1, budget // max(end, 1)) for end in ends]
     before, first = [0], -1

@@ -5,9 +5,8 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from pedalflow.llm import packing as p
 from tests.llm.conftest import ODD
 
@@ -24,11 +23,38 @@ def test_boundaries_pad_least():
             assert len(got) <= buckets and got == sorted(set(got)) and padding(got) == best
 
 
-def test_grid(spark):
-    rows = spark.range(0, 3000).union(spark.range(10**9, 10**9 + 50)).select("id", p.on_grid(F.col("id")).alias("g")).collect()
-    assert all(r["g"] == r["id"] for r in rows if r["id"] < 256)
-    assert all(r["id"] <= r["g"] < r["id"] * (1 + 1 / 128) for r in rows if r["id"] >= 256)
-    assert len({r["g"] for r in rows if 1024 < r["id"] <= 2048}) == 128
+def slow_boundaries(lengths, counts, buckets):
+    """The same optimum by looking at every beginning of every bucket."""
+    total = np.concatenate(([0], np.cumsum(counts)))
+    cost, back = np.full(len(lengths) + 1, 1 << 62), []
+    cost[0] = 0
+    for _ in range(min(buckets, len(lengths))):
+        new, frm = np.full(len(cost), 1 << 62), np.zeros(len(cost), int)
+        for j in range(1, len(cost)):
+            filled = cost[:j] + lengths[j - 1] * (total[j] - total[:j])
+            frm[j] = int(np.argmin(filled))
+            new[j] = filled[frm[j]]
+        cost = new
+        back.append(frm)
+    return int(cost[-1])
+
+
+def test_many_lengths_give_the_exact_optimum():
+    rng = random.Random(9)
+    for m, buckets in ((700, 16), (300, 5), (3, 16), (1, 2)):
+        lengths = sorted(rng.sample(range(0, 20_000), m))
+        counts = [rng.randint(1, 1000) for _ in lengths]
+        ends = p.boundaries(lengths, counts, buckets)
+        filled = sum(c * min(e for e in ends if e >= n) for n, c in zip(lengths, counts, strict=True))
+        assert filled == slow_boundaries(np.array(lengths), counts, buckets) and len(ends) == min(buckets, m)
+
+
+def test_boundaries_of_a_table_are_those_of_its_exact_lengths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = p.packed(docs).collect()
+    lengths = Counter(r["n_tokens"] for r in out)
+    want = slow_boundaries(np.array(sorted(lengths)), [lengths[n] for n in sorted(lengths)], p.BUCKETS)
+    assert sum(r["bucket_length"] for r in out) == want
 
 
 def check(rows, out, budget):
