@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,15 +50,57 @@ def _hour_at(number: Column) -> Column:
     return F.timestamp_seconds(number * 3600).cast("timestamp_ntz")
 
 
-def _blocks(demand_ts: DataFrame, block_hours: int, halo: int) -> DataFrame:
+def _number_of(ts: datetime) -> int:
+    return int((ts - datetime(1970, 1, 1)).total_seconds() // 3600)
+
+
+def _first_hour(day: date) -> int:
+    return (day - date(1970, 1, 1)).days * 24
+
+
+@dataclass(frozen=True)
+class Part:
+    """A part of the grid: its stations, the first and last hour of the whole grid, and the days that are asked for."""
+
+    stations: DataFrame
+    span: tuple[datetime, datetime]
+    days: Sequence[date]
+
+    def blocks(self, block_hours: int) -> list[int]:
+        return sorted({(_first_hour(d) + h) // block_hours for d in self.days for h in (0, 23)})
+
+    def runs(self, halo: int) -> list[tuple[int, int]]:
+        """Ranges of hours that hold the days and ``halo`` hours before each of them."""
+        out: list[tuple[int, int]] = []
+        for day in sorted(self.days):
+            lo, hi = _first_hour(day) - halo, _first_hour(day) + 23
+            if out and lo <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+        return out
+
+
+def _within(number: Column, runs: Sequence[tuple[int, int]]) -> Column:
+    inside = F.lit(False)
+    for lo, hi in runs:
+        inside = inside | number.between(lo, hi)
+    return inside
+
+
+def _blocks(demand_ts: DataFrame, block_hours: int, halo: int, part: Part | None = None) -> DataFrame:
     """Station × block seeds: the hours each block must hold, its halo of earlier hours included."""
-    span = demand_ts.agg(
-        F.struct(F.min(_hour_number(F.col("ts"))).alias("lo"), F.max(_hour_number(F.col("ts"))).alias("hi"))
-    ).scalar()
-    seeds = demand_ts.select("station_id").distinct().withColumn("_span", span)
-    first = F.floor(F.col("_span.lo") / block_hours)
-    last = F.floor(F.col("_span.hi") / block_hours)
-    return seeds.withColumn("block", F.explode(F.sequence(first, last))).select(
+    if part is None:
+        span = demand_ts.agg(
+            F.struct(F.min(_hour_number(F.col("ts"))).alias("lo"), F.max(_hour_number(F.col("ts"))).alias("hi"))
+        ).scalar()
+        seeds = demand_ts.select("station_id").distinct().withColumn("_span", span)
+        blocks = F.sequence(F.floor(F.col("_span.lo") / block_hours), F.floor(F.col("_span.hi") / block_hours))
+    else:
+        lo, hi = (F.lit(_number_of(ts)).cast("bigint") for ts in part.span)
+        seeds = part.stations.select("station_id").distinct().withColumn("_span", F.struct(lo.alias("lo"), hi.alias("hi")))
+        blocks = F.array(*[F.lit(b).cast("bigint") for b in part.blocks(block_hours)])
+    return seeds.withColumn("block", F.explode(blocks)).select(
         "station_id",
         "block",
         F.greatest(F.col("_span.lo"), F.col("block") * block_hours - halo).alias("lo"),
@@ -72,14 +116,14 @@ def _in_blocks(ts_rows: DataFrame, block_hours: int, halo: int) -> DataFrame:
     return ts_rows.withColumn("block", F.explode(F.sequence(first, last)))
 
 
-def _grid_blocks(demand_ts: DataFrame, availability_ts: DataFrame | None, block_hours: int, halo: int) -> DataFrame:
+def _grid_blocks(demand_ts: DataFrame, availability_ts: DataFrame | None, block_hours: int, halo: int, part: Part | None = None) -> DataFrame:
     """Dense station hours in blocks, flows filled with 0 and ``bikes_end`` where known.
 
     Seeds and facts travel in one shuffle by (station, block); the hours are unfolded after it. No
     station is one long task: a block holds a bounded number of hours, halo included.
     """
     none = F.lit(None).cast("double")
-    seeds = _blocks(demand_ts, block_hours, halo).select(
+    seeds = _blocks(demand_ts, block_hours, halo, part).select(
         "station_id", "block", "lo", "hi", *[F.lit(0.0).alias(c) for c in _FLOWS], none.alias("bikes_end"), F.lit(True).alias("_seed")
     )
     facts = _in_blocks(demand_ts, block_hours, halo).withColumn("bikes_end", none)
@@ -92,6 +136,8 @@ def _grid_blocks(demand_ts: DataFrame, availability_ts: DataFrame | None, block_
     )
     rows = seeds.unionByName(facts).repartition("station_id", "block")
     hours = rows.withColumn("hour_no", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    if part is not None:
+        hours = hours.filter(_within(F.col("hour_no"), part.runs(halo)))
     dense = hours.groupBy("station_id", "block", "hour_no").agg(
         *[F.sum(c).alias(c) for c in _FLOWS], F.max("bikes_end").alias("bikes_end"), F.bool_or("_seed").alias("_in_grid")
     )
@@ -152,11 +198,16 @@ def build_feature_frame(
     availability_ts: DataFrame | None = None,
     lag_hours: Sequence[int] = LAG_HOURS,
     rolling_windows: Sequence[int] = ROLLING_HOURS,
+    part: Part | None = None,
 ) -> DataFrame:
-    """Dense grid, calendar, station data, lags and rolling statistics of past hours only."""
+    """Dense grid, calendar, station data, lags and rolling statistics of past hours only.
+
+    With ``part`` only the rows of its stations and days are made; ``demand`` must then hold its days and the longest
+    window before each of them.
+    """
     halo = max([1, *lag_hours, *rolling_windows])
     block_hours = max(_MIN_BLOCK_HOURS, 8 * halo)
-    blocks = _grid_blocks(with_ts(demand), availability_ts, block_hours, halo)
+    blocks = _grid_blocks(with_ts(demand), availability_ts, block_hours, halo, part)
     w = Window.partitionBy("station_id", "block").orderBy("hour_no")
     summed = blocks.select("*", *running_columns(w))
     lagged = summed.select(
@@ -169,6 +220,8 @@ def build_feature_frame(
         *rolling_means(w, rolling_windows),
         *rolling_medians(w, rolling_windows),
     ).filter(F.col("hour_no") >= F.col("block") * block_hours)
+    if part is not None:
+        lagged = lagged.filter(_within(F.col("hour_no"), part.runs(0)))
     timed = lagged.withColumn("ts", _hour_at(F.col("hour_no")))
     lag_names = [f"salidas_lag_{k}" for k in lag_hours]
     roll_names = [f"salidas_roll_{s}_{h}" for h in rolling_windows for s in ("mean", "median")]

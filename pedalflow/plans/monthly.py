@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pedalflow.operators import cleaning
 from pedalflow.operators.upserts import new_trips
+from pedalflow.plans import incremental
 from pedalflow.schemas import SCHEMAS
 from pedalflow.session import scratch_path
 from pedalflow.sources import ledger, manifest
@@ -40,11 +41,15 @@ def load_month(
     run_id: str,
     force: bool = False,
     at: Column | None = None,
+    stations: DataFrame | None = None,
+    availability_ts: DataFrame | None = None,
 ) -> None:
     """Load the rows of ``raw`` that belong to ``files`` (manifest rows) and have not been loaded with their checksum.
 
-    Every table is partitioned by run: a load that is repeated under its run id replaces what it wrote before. A load
-    that fails leaves an ``error`` event in the ledger and the error goes on to the caller.
+    Every table is partitioned by run: a load that is repeated under its run id replaces what it wrote before. Hourly
+    demand follows the trips, and with ``stations`` (capacity and coordinates) the features follow the demand: only the
+    days that the load touches are computed again. A load that fails leaves an ``error`` event in the ledger and the error
+    goes on to the caller.
     """
     tables = stored_tables(spark, out)
     earlier = {name: df.filter(F.col("run_id") != run_id) for name, df in tables.items()}
@@ -56,12 +61,18 @@ def load_month(
         scratch = scratch_path(spark, "classified")
         cleaning.classify_distinct(rows).write.parquet(scratch)
         classified = spark.read.parquet(scratch)
-        fresh = new_trips(cleaning.clean_of(classified, run_id), earlier["trips_clean"])
+        # the id of a trip contains its file: only trips of the same files can be there already
+        names = todo.select(F.col("file_name").alias("source_file")).distinct()
+        fresh = new_trips(cleaning.clean_of(classified, run_id), earlier["trips_clean"].join(names, "source_file", "left_semi"))
         replace_partitions(fresh, f"{out}/trips_clean", ["run_id"])
         replace_partitions(cleaning.rejections_of(classified, run_id, at), f"{out}/trip_rejections", ["run_id"])
         done = todo.select("url", "file_name", "checksum_sha256", F.lit(run_id).alias("run_id"))
         replace_partitions(done, f"{out}/loaded_files", ["run_id"])
-        loaded = spark.read.schema(_ddl("trips_clean")).parquet(f"{out}/trips_clean").filter(F.col("run_id") == run_id).count()
+        own = spark.read.schema(_ddl("trips_clean")).parquet(f"{out}/trips_clean").filter(F.col("run_id") == run_id)
+        touched = incremental.refresh_demand(spark, out, run_id, own)
+        if stations is not None:
+            incremental.refresh_features(spark, out, run_id, touched, stations, availability_ts)
+        loaded = own.count()
         end = ledger.finish_run(spark, run_id, "ok", loaded)
     except Exception as error:
         failed = ledger.finish_run(spark, run_id, "error", 0, f"{type(error).__name__}: {error}"[:1000])

@@ -304,6 +304,34 @@ SELECT r.target_ts, r.station_id AS receiver, d.station_id AS donor, {_haversine
 FROM fx_state r JOIN fx_state d USING (target_ts)
 WHERE r.deficit_before > 0 AND d.avail > 0 AND least(r.need, floor(r.capacity - r.inv)) > 0
   AND {_haversine("r.lat", "r.lon", "d.lat", "d.lon")} <= 1500"""
+# The sequential rule itself: pair by pair, the stock of all donors and the open need of the receiver carried along.
+TABLES["fx_granted"] = """
+WITH RECURSIVE lined AS (SELECT *, row_number() OVER (PARTITION BY target_ts ORDER BY deficit_before DESC, receiver, dist, donor) AS i FROM fx_pairs),
+walk AS (
+  SELECT target_ts, CAST(0 AS BIGINT) AS i, map_from_entries(list(DISTINCT {'k': donor, 'v': CAST(avail AS BIGINT)})) AS stock,
+         CAST(NULL AS VARCHAR) AS receiver, CAST(0 AS BIGINT) AS missing, CAST(NULL AS VARCHAR) AS donor, CAST(0 AS BIGINT) AS qty
+  FROM lined GROUP BY target_ts
+  UNION ALL
+  SELECT target_ts, i, map_from_entries(list_transform(map_entries(stock), lambda e: CASE WHEN e.key = donor THEN {'k': e.key, 'v': e.value - taken} ELSE {'k': e.key, 'v': e.value} END)),
+         receiver, wanted - taken, donor, taken
+  FROM (SELECT *, least(wanted, stock[donor]) AS taken
+        FROM (SELECT w.target_ts, l.i, w.stock, l.receiver, l.donor, CASE WHEN l.receiver = w.receiver THEN w.missing ELSE CAST(l.need AS BIGINT) END AS wanted
+              FROM walk w JOIN lined l ON l.target_ts = w.target_ts AND l.i = w.i + 1)))
+SELECT target_ts, receiver, donor, l.dist, l.deficit_before, w.qty FROM walk w JOIN lined l USING (target_ts, receiver, donor) WHERE w.qty > 0"""
+TABLES["fx_plan"] = """
+WITH parts AS (SELECT *, least(20, qty - part * 20) AS bikes FROM (SELECT *, unnest(range(0, (qty - 1) // 20 + 1)) AS part FROM fx_granted)),
+summed AS (
+  SELECT p.*, d.inv AS donor_inv, r.inv AS receiver_inv, r.safety,
+         CAST(sum(bikes) OVER (PARTITION BY p.target_ts, donor ORDER BY p.deficit_before DESC, receiver, part ROWS UNBOUNDED PRECEDING) AS BIGINT) AS given,
+         CAST(sum(bikes) OVER (PARTITION BY p.target_ts, receiver ORDER BY dist, donor, part ROWS UNBOUNDED PRECEDING) AS BIGINT) AS taken,
+         CAST(sum(bikes) OVER (PARTITION BY p.target_ts, receiver) AS BIGINT) AS received
+  FROM parts p JOIN fx_state d ON d.target_ts = p.target_ts AND d.station_id = donor JOIN fx_state r ON r.target_ts = p.target_ts AND r.station_id = receiver)
+SELECT target_ts, donor AS donor_station_id, receiver AS receiver_station_id, CAST(bikes AS INTEGER) AS bikes_to_move, round_even(dist, 1) AS distance_m,
+       donor_inv - given + bikes AS donor_inventory_before, donor_inv - given AS donor_inventory_after,
+       receiver_inv + taken - bikes AS receiver_inventory_before, receiver_inv + taken AS receiver_inventory_after,
+       deficit_before AS receiver_deficit_before, greatest(safety - receiver_inv - received, 0.0::DOUBLE) AS receiver_deficit_after,
+       round_even(greatest(0, 1 - dist / 1500.0::DOUBLE), 3) AS confidence
+FROM summed"""
 TABLES["fx_moves"] = """
 SELECT target_ts, donor AS donor_station_id, receiver AS receiver_station_id, least(need, avail, 20) AS bikes_to_move,
        round_even(dist, 1) AS distance_m, deficit_before AS receiver_deficit_before,
@@ -754,6 +782,22 @@ SELECT station_id, ts, 'salidas' AS target, y_true, y_pred_baseline, "split", 'n
 SQL["expected_inventory_M8"] = "SELECT * FROM fx_inventory"
 SQL["balance_state_M9"] = "SELECT * FROM fx_state"
 
+SQL["recommend_moves_M10"] = "SELECT target_ts, receiver, donor, qty FROM fx_granted"
+SQL["move_enrichment_M11"] = "SELECT * FROM fx_plan"
+SQL["rebalance_summary_M12"] = """
+WITH changes AS (
+  SELECT target_ts, station_id, sum(delta) AS delta, sum(moves) AS moves FROM (
+    SELECT target_ts, donor_station_id AS station_id, -bikes_to_move AS delta, 1 AS moves FROM fx_plan
+    UNION ALL SELECT target_ts, receiver_station_id, bikes_to_move, 0 FROM fx_plan) GROUP BY ALL),
+totals AS (
+  SELECT s.target_ts, count(*) AS estaciones, count(*) FILTER (deficit_before > 0) AS receptoras, count(*) FILTER (avail > 0) AS donantes_disponibles,
+         CAST(sum(coalesce(moves, 0)) AS BIGINT) AS movimientos, CAST(sum(greatest(coalesce(delta, 0), 0)) AS BIGINT) AS bicis_movidas,
+         sum(deficit_before) AS deficit_antes, sum(greatest(safety - inv - coalesce(CAST(delta AS DOUBLE), 0), 0)) AS deficit_despues,
+         abs(sum(inv) - sum(inv + coalesce(CAST(delta AS DOUBLE), 0))) < 1e-6 AS inventario_conservado
+  FROM fx_state s LEFT JOIN changes c ON c.target_ts = s.target_ts AND c.station_id = s.station_id GROUP BY s.target_ts)
+SELECT *, CASE WHEN deficit_antes > 0 THEN round(100.0::DOUBLE * (deficit_antes - deficit_despues) / deficit_antes, 2) ELSE 0 END AS pct_desabasto_evitado FROM totals"""
+SQL["recommendations_table_M13"] = f"""
+SELECT *, 'rebalanceo_heuristico_v1' AS model_version, {_FIXED} AS created_at_utc FROM fx_plan WHERE target_ts = (SELECT target_ts FROM fx_last_target)"""
 SQL["incremental_load_M14"] = """
 WITH loads AS (SELECT *, CASE WHEN CAST(substr(source_file, 16, 2) AS INTEGER) <= 20 THEN 'run_1' ELSE 'run_2' END AS run_id FROM fx_classified)
 SELECT 'trips_raw' AS table_name, run_id, count(*) AS n FROM loads GROUP BY run_id
@@ -761,6 +805,14 @@ UNION ALL SELECT 'trips_clean', run_id, count(*) FROM loads WHERE reason IS NULL
 UNION ALL SELECT 'trip_rejections', run_id, count(*) FROM loads WHERE reason IS NOT NULL GROUP BY run_id
 UNION ALL SELECT 'loaded_files', run_id, count(DISTINCT source_file) FROM loads GROUP BY run_id
 UNION ALL SELECT 'ledger', r, (SELECT count(*) FROM loads WHERE reason IS NULL AND run_id = r) FROM (VALUES ('run_1'), ('run_2'), ('run_3')) v(r)"""
+SQL["incremental_hourly_M14"] = """
+WITH ends AS (
+  SELECT origin_station_id AS station_id, retiro_ts AS ts, 1 AS out, 0 AS inn FROM fx_clean
+  UNION ALL SELECT dest_station_id, arribo_ts, 0, 1 FROM fx_clean),
+counts AS (SELECT station_id, CAST(ts AS DATE) AS "date", CAST(hour(ts) AS INTEGER) AS "hour", CAST(sum(out) AS BIGINT) AS salidas, CAST(sum(inn) AS BIGINT) AS llegadas FROM ends GROUP BY ALL)
+SELECT station_id, "date", "hour", CAST((dayofweek("date") + 6) % 7 AS INTEGER) AS dow, salidas, llegadas, llegadas - salidas AS flujo_neto, salidas AS demanda_atendida
+FROM counts"""
+SQL["incremental_features_M14"] = SQL["feature_frame_M1"]
 SQL["snapshot_stream_X1"] = """
 SELECT f.station_id || '|' || f.last_reported AS capture_id, f.station_id, CASE WHEN bikes >= 0 THEN bikes END AS num_bikes_available,
        CASE WHEN docks >= 0 THEN docks END AS num_docks_available, f.last_reported, t.captured_at_utc

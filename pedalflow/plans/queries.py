@@ -1140,6 +1140,36 @@ def incremental_load(d):
     return functools.reduce(DataFrame.unionByName, counts, ended.filter("status = 'ok'"))
 
 
+_PARTS_OF_MONTH = ("run_1", "{day} <= 10"), ("run_2", "{day} >= 21"), ("run_3", "{day} BETWEEN 11 AND 20")
+
+
+@query("incremental_hourly_M14")
+def incremental_hourly(d):
+    """Hourly demand after three loads of files, the first days, the last ones and those between: that of all trips."""
+    from pedalflow.plans import incremental, monthly
+
+    out, files = scratch_path(d.spark, "monthly"), _raw_manifest(d)
+    for run_id, chosen in _PARTS_OF_MONTH:
+        days = files.filter(chosen.format(day="cast(substring(file_name, 16, 2) AS int)"))
+        monthly.load_month(d.spark, d.trips_raw, days, out, run_id, at=fixed_time())
+    return incremental.stored_demand(d.spark, out)
+
+
+@query("incremental_features_M14")
+def incremental_features(d):
+    """Features after three loads of trips: those of all trips."""
+    from pedalflow.plans import incremental
+
+    out = scratch_path(d.spark, "monthly")
+    stations = d.stored(FE.station_meta(d.bridge, d.information), "meta")
+    stock = d.stored(FE.recent_availability(d.availability, d.bridge), "stock")
+    for run_id, chosen in _PARTS_OF_MONTH:
+        touched = incremental.refresh_demand(d.spark, out, run_id, d.trips.filter(chosen.format(day="day(retiro_ts)")))
+        incremental.refresh_features(d.spark, out, run_id, touched, stations, stock)
+    rows = incremental.stored_features(d.spark, out)
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if "roll_mean" in c})
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 

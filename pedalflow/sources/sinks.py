@@ -7,9 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def clustered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of a partition side by side before a partitioned write: few files for each, and a large one is split by size.
+
+    ``REBALANCE`` leaves the number of tasks to adaptive execution, which splits hot partitions and merges small ones.
+    """
+    return df.hint("rebalance", *by)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """Parquet. ``overwrite`` replaces the whole table, ``append`` adds to it."""
-    writer = df.write.mode(mode)
+    writer = (clustered(df, partition_by) if partition_by else df).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if mode == "overwrite":
@@ -19,7 +27,8 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions present in ``df`` (a run, a target, a window): safe to repeat."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    rows = clustered(df, partition_by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
