@@ -21,6 +21,8 @@ from pedalflow.session import cut_lineage
 MIN_NAME_SIMILARITY = 0.82
 MAX_MATCH_DISTANCE_M = 120.0
 _EPS = 1e-9
+#: Letters of two names together beyond which keys of three tokens would be too many.
+_LONG_LETTERS = 60
 
 
 # --- inputs ------------------------------------------------------------------------------------
@@ -116,50 +118,87 @@ def _tokens(names: DataFrame) -> DataFrame:
     return ordered.select("name", F.explode(numbered).alias("token"))
 
 
-def _rarest_tokens(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
-    """The rarest tokens of each name, as many as needed to share one with every similar-enough name.
+def _shared_at(total: Column, floor: float) -> Column:
+    """How many rare tokens two names of ``total`` letters are joined on: as many as make a key selective, no more than
+    they must share, and fewer for long names, which have many combinations."""
+    tokens = _tokens_needed(total, floor)
+    return F.when((tokens >= 3) & (total <= _LONG_LETTERS), 3).when(tokens >= 2, 2).otherwise(1)
 
-    Leaving out fewer tokens than two similar names must share cannot lose a partner. ``left`` counts the
-    tokens of the name that are more frequent than this one.
+
+def _combinations(tokens: Column, total: Column, k: int) -> Column:
+    """Every choice of ``k`` of ``tokens`` in their order: its key, and how many of ``total`` tokens come after its last."""
+
+    def deeper(chosen: list[Column], after: Column, more: int) -> Column:
+        rest = F.slice(tokens, after + 1, F.greatest(F.size(tokens) - after, F.lit(0)))
+
+        def take(token: Column, i: Column) -> Column:
+            place = after + i + 1
+            if more == 1:
+                return F.struct(F.xxhash64(*chosen, token).alias("key"), (total - place).alias("left"))
+            return deeper([*chosen, token], place, more - 1)
+
+        out = F.transform(rest, take)
+        return out if more == 1 else F.flatten(out)
+
+    return deeper([], F.lit(0), k)
+
+
+def _keys(tokens: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
+    """(name, shared, key, left): combinations of the rarest tokens of each name, so many that every similar enough name
+    has one of them too.
+
+    Two names that share at least N tokens share k of them among the first n - N + k of either one, whatever the common
+    order of tokens. ``left`` counts the tokens of the name that are more frequent than those of the key.
     """
     ranked = (
         tokens.join(frequency, "token", "left")
         .groupBy("name")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ranked"))
+        .select("name", F.col("ranked.token").alias("ranked"))
     )
     own = F.length("name")
     shortest = F.greatest(F.ceil(own * F.lit(floor / (2 - floor)) - F.lit(_EPS)), F.lit(1))
     longest = F.floor(own * F.lit((2 - floor) / floor) + F.lit(_EPS))
 
-    def shared(other: Column) -> Column:
-        return F.when(_letters_needed(own + other, floor) <= F.least(own, other), _tokens_needed(own + other, floor))
+    def needed(k: int) -> Column:
+        def of(other: Column) -> Column:
+            possible = (_letters_needed(own + other, floor) <= F.least(own, other)) & (_shared_at(own + other, floor) == k)
+            return F.when(possible, F.greatest(_tokens_needed(own + other, floor), F.lit(k)))
 
-    needed = F.greatest(F.array_min(F.transform(F.sequence(shortest, longest), shared)), F.lit(1))
-    size = F.greatest(F.size("ranked") - needed + 1, F.lit(1)).cast("int")
-    rarest = F.posexplode(F.slice("ranked", F.lit(1), size)).alias("pos", "t")
-    return ranked.select("name", F.size("ranked").alias("total"), rarest).select(
-        "name", "t.token", (F.col("total") - F.col("pos") - 1).alias("left")
-    )
+        return F.array_min(F.transform(F.sequence(shortest, longest), of))
+
+    out = None
+    for k in (1, 2, 3):
+        size = (F.size("ranked") - F.col("needed") + k).cast("int")
+        rows = ranked.withColumn("needed", needed(k)).filter(F.col("needed").isNotNull() & (size >= k))
+        prefix = rows.select("name", F.size("ranked").alias("total"), F.slice("ranked", F.lit(1), size).alias("prefix"))
+        keys = prefix.select("name", F.lit(k).alias("shared"), F.explode(_combinations(F.col("prefix"), F.col("total"), k)).alias("c"))
+        keys = keys.select("name", "shared", "c.key", "c.left")
+        out = keys if out is None else out.unionByName(keys)
+    return out
+
+
+def candidate_names(left_keys: DataFrame, right_keys: DataFrame, floor: float) -> DataFrame:
+    """(name, live_name): pairs with a common key that can be similar enough by their lengths and places of the key."""
+    right_keys = right_keys.select("shared", "key", F.col("name").alias("live_name"), F.col("left").alias("live_left"))
+    total = F.length("name") + F.length("live_name")
+    fits = (_letters_needed(total, floor) <= F.least(F.length("name"), F.length("live_name"))) & (F.col("shared") == _shared_at(total, floor))
+    # At the rarest tokens two names share, what follows must still hold all they need to share. Frequent
+    # tokens rank last, where little follows: a token common to most names proposes next to nothing.
+    enough = _tokens_needed(total, floor) <= F.col("shared") + F.least("left", "live_left")
+    return left_keys.join(right_keys, ["shared", "key"]).filter(fits & enough).select("name", "live_name").distinct()
 
 
 def similar_names(hist_names: DataFrame, names: DataFrame, floor: float = MIN_NAME_SIMILARITY) -> DataFrame:
     """(name, gbfs_id, sim): best live name per historical name, at least ``floor`` similar.
 
-    An equi join on the rarest tokens of both sides proposes candidates, losing none; only those are scored. Ties go to the live name that comes first.
+    Names are joined on combinations of up to three of their rarest tokens, losing none; only candidates are scored. Ties go to
+    the live name that comes first.
     """
     left, right = hist_names.select("name").distinct(), names.select("name")
     right_tokens = _tokens(right)
     frequency = right_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    left_keys = _rarest_tokens(_tokens(left), frequency, floor)
-    right_keys = _rarest_tokens(right_tokens, frequency, floor).select(
-        "token", F.col("name").alias("live_name"), F.col("left").alias("live_left")
-    )
-    total = F.length("name") + F.length("live_name")
-    fits = _letters_needed(total, floor) <= F.least(F.length("name"), F.length("live_name"))
-    # At the rarest token two names share, what follows must still hold all they need to share. Frequent
-    # tokens rank last, where little follows: a token common to most names proposes next to nothing.
-    enough = _tokens_needed(total, floor) <= 1 + F.least("left", "live_left")
-    candidates = left_keys.join(right_keys, "token").filter(fits & enough).select("name", "live_name").distinct()
+    candidates = candidate_names(_keys(_tokens(left), frequency, floor), _keys(right_tokens, frequency, floor), floor)
     scored = candidates.withColumn("sim", _similarity(F.col("name"), F.col("live_name"), F.lit(float(floor))))
     close = scored.filter(F.col("sim") >= F.lit(float(floor))).join(
         names.select(F.col("name").alias("live_name"), "gbfs_id", "first_id"), "live_name"
