@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,13 +211,14 @@ def candidate_pairs(
     return pairs.select(*keys, "receiver", "donor", "dist", "deficit_before", "need", "avail")
 
 
-def allocate(pairs: DataFrame, keys: Sequence[str] = WINDOW_KEYS) -> DataFrame:
+def allocate(pairs: DataFrame, keys: Sequence[str] = WINDOW_KEYS, on_round: Callable[[int], None] | None = None) -> DataFrame:
     """Bikes per pair, ``qty``, as if receivers chose one after the other, the largest deficit first.
 
     Every receiver takes from its nearest donors, so all donors rank receivers alike and the sequential
     result is the stable one: in each round receivers ask along their distance order, donors grant along the
     deficit order, and what a donor cannot grant lowers the cap of that pair. Caps only fall, by whole
-    bikes, so the rounds end. Groups are the neighbours of one station, windows run side by side.
+    bikes, so the rounds end. Groups are the neighbours of one station, windows run side by side. ``on_round`` is told
+    how many pairs go on after each cut.
     """
     by_distance = Window.partitionBy(*keys, "receiver").orderBy("dist", "donor")
     by_priority = Window.partitionBy(*keys, "donor").orderBy(F.col("deficit_before").desc(), "receiver")
@@ -234,13 +236,19 @@ def allocate(pairs: DataFrame, keys: Sequence[str] = WINDOW_KEYS) -> DataFrame:
         refused = F.col("qty") < F.col("asked")
         return granted.withColumns({"cap": F.when(refused, F.col("qty")).otherwise(F.col("cap")), "refused": refused})
 
-    current = cut_lineage(pairs.withColumn("cap", F.col("avail").cast("bigint")))
+    # Only what is still in motion goes on: a window without a refusal is final and is written out once.
+    current, settled = cut_lineage(pairs.withColumn("cap", F.col("avail").cast("bigint"))), []
     while True:
         for _ in range(_ROUNDS_PER_CUT):
             current = one_round(current.drop("asked", "qty", "refused"))
         current = cut_lineage(current)
-        if current.filter("refused").isEmpty():
-            return current.filter(F.col("qty") > 0).drop("cap", "asked", "refused")
+        moving = current.filter("refused").select(*keys).distinct()
+        settled.append(current.filter("qty > 0").join(moving, list(keys), "left_anti"))
+        current = cut_lineage(current.join(moving, list(keys), "left_semi"))
+        if on_round is not None:
+            on_round(current.count())
+        if current.isEmpty():
+            return reduce(DataFrame.unionByName, settled).drop("cap", "asked", "refused")
 
 
 def moves_of(
