@@ -57,6 +57,23 @@ def _captures(status: DataFrame) -> DataFrame:
     )
 
 
+def nearest_ranks(status: DataFrame, target: Column, range_s: int = 3600) -> DataFrame:
+    """Rank of every capture of a station by its distance in time from ``target``: of two as close, the earlier first.
+
+    Captures are counted by station and range of the gap; running sums over the counts tell how many captures lie in
+    nearer ranges, and only the captures of one range are put in order together. No task holds a whole station.
+    """
+    near = status.filter(F.col("captured_at_local").isNotNull()).withColumn("gap", S.epoch_diff(F.col("captured_at_local"), target))
+    near = near.select("station_id", "capture_id", "captured_at_local", "gap", F.floor(F.col("gap") / range_s).alias("span"))
+    nearer = Window.partitionBy("station_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = near.groupBy("station_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(F.col("station_id").alias("_station"), F.col("span").alias("_span"), F.coalesce(F.sum("n").over(nearer), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("station_id", "span").orderBy("gap", "captured_at_local", "capture_id")
+    ranked = near.withColumn("inside", F.row_number().over(inside))
+    same = F.col("station_id").eqNullSafe(F.col("_station")) & (F.col("span") == F.col("_span"))
+    return ranked.join(offsets, same).select("station_id", "capture_id", "captured_at_local", "gap", (F.col("before") + F.col("inside")).alias("rn"))
+
+
 def nearest_capture(status: DataFrame, target: Column) -> DataFrame:
     """Per station the capture closest to one target time; of two as close, the earlier.
 

@@ -821,9 +821,13 @@ SQL["stream_dedupe_X2"] = "SELECT DISTINCT station_id, last_reported FROM fx_fir
 SQL["stream_scd_X3"] = "SELECT DISTINCT station_id, name, lat, lon, capacity FROM fx_info"
 SQL["stream_availability_X4"] = "SELECT * FROM fx_avail"
 SQL["stream_demand_X5"] = "SELECT * FROM fx_demand"
-SQL["stream_quality_X6"] = """
-SELECT count(*) AS documents, CAST(sum(dup_stations) AS BIGINT) AS dup_stations,
-       CAST(sum(negativos) AS BIGINT) AS negativos, CAST(sum(sin_station_id) AS BIGINT) AS sin_station_id FROM fx_quality"""
+_DEFECT_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("dup_stations", "negativos", "sin_station_id"))
+SQL["stream_quality_X6"] = f"""
+SELECT 'gbfs' AS run_type, 'ok' AS status, count(*) AS "rows", {_DEFECT_SUMS} FROM fx_quality"""
+SQL["stream_collection_X6"] = f"""
+SELECT 'gbfs' AS run_type, 'ok' AS status, s.n AS "rows", q.*, s.n AS stored
+FROM (SELECT count(*) AS n FROM (SELECT DISTINCT station_id, last_reported FROM fx_first_entries)) s,
+     (SELECT {_DEFECT_SUMS} FROM (SELECT * FROM fx_quality UNION ALL SELECT * FROM fx_quality)) q"""
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

@@ -735,10 +735,7 @@ def latest_status(d):
 
 @query("nearest_rank_W2")
 def nearest_rank(d):
-    gap = S.epoch_diff(F.col("captured_at_local"), R.default_target(d.status))
-    near = d.status.filter(F.col("captured_at_local").isNotNull()).withColumn("gap", gap)
-    w = Window.partitionBy("station_id").orderBy("gap", "captured_at_local", "capture_id")
-    return near.select("station_id", "capture_id", F.row_number().over(w).cast("bigint").alias("rn"))
+    return R.nearest_ranks(d.status, R.default_target(d.status)).select("station_id", "capture_id", "rn")
 
 
 @query("dup_flag_W3")
@@ -1235,6 +1232,22 @@ def stream_demand(d):
 
 @query("stream_quality_X6")
 def stream_quality(d):
+    """The ledger of a stream: its runs by status, with all rows and defect counters."""
     path = _drain(d, d.status_docs, streams.stream_quality)
-    counters = ("documents", "dup_stations", "negativos", "sin_station_id")
-    return d.spark.read.parquet(path).agg(*[F.sum(c).alias(c) for c in counters])
+    return _ledger_totals(streams.collection_runs(d.spark, path))
+
+
+def _ledger_totals(runs: DataFrame) -> DataFrame:
+    counters = ("dup_stations", "negativos", "sin_station_id")
+    notes = F.from_json("notes", ", ".join(f"{c} bigint" for c in counters))
+    summed = runs.withColumn("n", notes).groupBy("run_type", "status").agg(F.sum("rows_ingested").alias("rows"), *[F.sum(f"n.{c}").alias(c) for c in counters])
+    return summed.select("run_type", "status", "rows", *counters)
+
+
+@query("stream_collection_X6")
+def stream_collection(d):
+    """Captures stored once although every document comes twice, and the ledger of the runs that stored them."""
+    events = scratch_path(d.spark, "events")
+    path = _drain(d, d.status_docs.union(d.status_docs), lambda docs, path, checkpoint: streams.stream_collection(docs, path, events, checkpoint))
+    stored = streams.read_stored(d.spark, path, "station_status").agg(F.count(F.lit(1)).alias("stored"))
+    return _ledger_totals(streams.collection_runs(d.spark, events)).join(stored, F.lit(True))

@@ -18,6 +18,8 @@ INFO_DOC = (
     "capacity: string, region_id: string, short_name: string>>>"
 )
 _FEEDS = "struct<feeds: array<struct<name: string, url: string>>>"
+#: JSON texts of a value that counts as missing.
+_EMPTY_JSON = ("", "{}", "[]", "0", "false")
 
 
 def station_entries(docs: DataFrame, doc_schema: str, keep: tuple[str, ...]) -> DataFrame:
@@ -87,22 +89,21 @@ def parse_station_information(docs: DataFrame, keep: tuple[str, ...] = ("doc_id"
 
 
 def discover_feeds(docs: DataFrame, language: str = "es") -> tuple[DataFrame, DataFrame]:
-    """(feeds, rejects): feed name → url per document, flat form first, then the language, then any.
+    """(feeds, rejects): feed name → url per document, flat form first, then the block of the language, then the first block.
 
-    Documents without a feed list go to the second frame instead of failing the job.
+    Another block is looked at only where the one of the language is missing or empty. Documents whose block has no feed
+    list go to the second frame instead of failing the job.
     """
     parsed = docs.select(
         "doc_id",
         F.from_json("doc", f"data {_FEEDS}").getField("data").getField("feeds").alias("flat"),
-        F.from_json("doc", f"data map<string, {_FEEDS}>").getField("data").alias("by_language"),
+        F.from_json("doc", "data map<string, string>").getField("data").alias("by_language"),
         F.array_contains(F.json_object_keys(F.get_json_object("doc", "$.data")), "feeds").alias("is_flat"),
     )
-    chosen = F.when(F.coalesce("is_flat", F.lit(False)), F.col("flat")).otherwise(
-        F.coalesce(
-            F.try_element_at("by_language", F.lit(language)).getField("feeds"),
-            F.try_element_at(F.map_values("by_language"), F.lit(1)).getField("feeds"),
-        )
-    )
+    own = F.try_element_at("by_language", F.lit(language))
+    block = F.when(own.isNotNull() & ~own.isin(*_EMPTY_JSON), own).otherwise(F.try_element_at(F.map_values("by_language"), F.lit(1)))
+    listed = F.from_json(block, _FEEDS).getField("feeds")
+    chosen = F.when(F.coalesce("is_flat", F.lit(False)), F.col("flat")).otherwise(listed)
     listed = parsed.select("doc_id", chosen.alias("feeds"))
     empty = F.coalesce(F.size("feeds"), F.lit(0)) <= 0
     feeds = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def clustered(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -25,9 +25,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     writer.parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df`` (a run, a target, a window): safe to repeat."""
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], seen: Observation | None = None, counts: Sequence[Column] = ()) -> None:
+    """Replace only the partitions present in ``df`` (a run, a target, a window): safe to repeat.
+
+    ``seen`` takes ``counts`` of the rows while they are written. It looks at them after the exchange: adaptive execution
+    drops what lies before an exchange that has turned out empty.
+    """
     rows = clustered(df, partition_by)
+    if seen is not None:
+        rows = rows.observe(seen, *counts)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +15,9 @@ from pedalflow.operators.hourly import CAPTURE_MINUTES, availability_aggregates
 from pedalflow.operators.upserts import information_rows, new_information_rows, new_status_rows, status_rows
 from pedalflow.schemas import SCHEMAS
 from pedalflow.session import cut_lineage
+from pedalflow.sources import ledger
 from pedalflow.sources.feeds import parse_station_information, parse_station_status, status_quality
+from pedalflow.sources.sinks import replace_partitions
 
 _DOC_KEYS = ("doc_id", "captured_at_utc")
 
@@ -47,15 +50,20 @@ def _stored_ddl(table: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS[table].fields)
 
 
+#: What a batch has to read back of a stored table: captures by day, station versions by the hash of the station.
+_PARTS = {"station_status": "day date", "station_information": "bucket int"}
+_BUCKETS = 256
+
+
 def read_stored(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table written by the streams below, with its partition columns ``day`` and ``batch_key``."""
-    return spark.read.schema(f"{_stored_ddl(table)}, day date, batch_key string").parquet(path)
+    """A table written by the streams below, with its partition columns: ``day`` or ``bucket``, and ``batch_key``."""
+    return spark.read.schema(f"{_stored_ddl(table)}, {_PARTS[table]}, batch_key string").parquet(path)
 
 
 def _ensure_table(spark: SparkSession, path: str, table: str) -> None:
     """Create the folder on the first run, so that the first batch can read an empty table."""
-    empty = spark.createDataFrame([], f"{_stored_ddl(table)}, day date, batch_key string")
-    empty.write.mode("append").partitionBy("day", "batch_key").parquet(path)
+    empty = spark.createDataFrame([], f"{_stored_ddl(table)}, {_PARTS[table]}, batch_key string")
+    empty.write.mode("append").partitionBy(_PARTS[table].split()[0], "batch_key").parquet(path)
 
 
 def _batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
@@ -67,10 +75,12 @@ def _batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     return f"{stream}-{batch_id}"
 
 
-def _write_batch(rows: DataFrame, path: str, day: Column, batch_key: str) -> None:
-    """A replayed batch replaces exactly the partitions it wrote before."""
-    stamped = rows.withColumns({"day": day, "batch_key": F.lit(batch_key)})
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_key").parquet(path)
+def _write_batch(rows: DataFrame, path: str, part: str, value: Column, batch_key: str) -> int:
+    """Write the rows of a batch and give their number; a replayed batch replaces exactly the partitions it wrote before."""
+    seen = Observation(f"written-{batch_key}")
+    stamped = rows.withColumns({part: value, "batch_key": F.lit(batch_key)})
+    replace_partitions(stamped, path, [part, "batch_key"], seen, [F.count(F.lit(1)).alias("rows")])
+    return seen.get["rows"]
 
 
 def first_captures(rows: DataFrame) -> DataFrame:
@@ -89,28 +99,40 @@ def _status_day() -> Column:
     return F.coalesce(S.epoch_to_utc(F.col("last_reported")), F.col("captured_at_utc")).cast("date")
 
 
-def append_status(rows: DataFrame, path: str, batch_key: str) -> None:
-    """Append captures the table does not hold; exact against all history.
+def append_status(rows: DataFrame, path: str, batch_key: str) -> int:
+    """Append captures the table does not hold, exact against all history, and give their number.
 
     Equal captures share their day, so only the very days of this batch are read back: one odd time costs one day.
     """
     fresh = cut_lineage(first_captures(rows).withColumn("day", _status_day()))
     if fresh.isEmpty():
-        return
+        return 0
     stored = read_stored(rows.sparkSession, path, "station_status").filter(F.col("batch_key") != batch_key)
     stored = stored.join(fresh.select("day").distinct(), "day", "left_semi")
-    _write_batch(new_status_rows(fresh.drop("day"), stored), path, _status_day(), batch_key)
+    return _write_batch(new_status_rows(fresh.drop("day"), stored), path, "day", _status_day(), batch_key)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.hash("station_id"), F.lit(_BUCKETS))
+
+
+def versions_of(spark: SparkSession, path: str, stations: DataFrame) -> DataFrame:
+    """The stored versions in the hash buckets of the given stations; other buckets are not read."""
+    buckets = [r[0] for r in stations.select(_bucket().alias("bucket")).distinct().collect()]  # as many as there are buckets at most
+    return read_stored(spark, path, "station_information").filter(F.col("bucket").isin(buckets))
 
 
 def append_information(rows: DataFrame, path: str, batch_key: str, against: str = "any") -> None:
-    """Append station versions that differ from what is stored, the first of equal ones in a batch."""
-    spark = rows.sparkSession
+    """Append station versions that differ from what is stored, the first of equal ones in a batch.
+
+    The table is partitioned by the hash of the station, so a batch reads the buckets of its own stations.
+    """
     state = ["station_id", "name", "lat", "lon", "capacity"]
     others = [c for c in rows.columns if c not in state]
-    first = rows.groupBy(*state).agg(F.min_by(F.struct(*others), "captured_at_utc").alias("r")).select(*state, "r.*")
-    stored = read_stored(spark, path, "station_information").filter(F.col("batch_key") != batch_key)
+    first = cut_lineage(rows.groupBy(*state).agg(F.min_by(F.struct(*others), "captured_at_utc").alias("r")).select(*state, "r.*"))
+    stored = versions_of(rows.sparkSession, path, first).filter(F.col("batch_key") != batch_key)
     fresh = new_information_rows(first.select(*rows.columns), stored, against)
-    _write_batch(fresh, path, F.col("captured_at_utc").cast("date"), batch_key)
+    _write_batch(fresh, path, "bucket", _bucket(), batch_key)
 
 
 def _run(
@@ -130,7 +152,7 @@ def snapshot_stream(docs: DataFrame, path: str, checkpoint: str, run_id: str = "
 
     def load(batch: DataFrame, batch_key: str) -> None:
         rows = status_rows(parse_station_status(batch, _DOC_KEYS), run_id, F.col("captured_at_utc"))
-        _write_batch(rows, path, _status_day(), batch_key)
+        _write_batch(rows, path, "day", _status_day(), batch_key)
 
     return _run(docs, load, checkpoint, available_now)
 
@@ -158,19 +180,72 @@ def stream_scd(
     return _run(docs, load, checkpoint, available_now)
 
 
-def stream_quality(docs: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """One ledger row per micro-batch with its document count and defect counters."""
+# --- collection runs with their ledger ---------------------------------------------------------
+
+_EVENTS = "run_id string, seq int, run_type string, source string, at_utc timestamp_ntz, status string, rows_ingested bigint, notes string"
+_DEFECTS = ("dup_stations", "negativos", "sin_station_id")
+
+
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger events that the streams have written, one partition for each run."""
+    spark.createDataFrame([], _EVENTS).write.mode("append").partitionBy("run_id").parquet(path)
+    return spark.read.schema(_EVENTS).parquet(path)
+
+
+def collection_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``ingestion_runs``: a row for each micro-batch with its status, rows and notes."""
+    return ledger.current_runs(stored_events(spark, path))
+
+
+def _in_ledger(batch: DataFrame, ledger_path: str, run_id: str, source: str, work: Callable[[], tuple[int, dict[str, int]]]) -> None:
+    """Run ``work`` as one run of the ledger: its start before, ``ok`` with rows and counters or ``error`` after.
+
+    The run is named by stream and batch and its events are one partition: a batch that is repeated replaces them.
+    """
+    spark = batch.sparkSession
+    start = ledger.start_run(spark, run_id, "gbfs", source)
+    replace_partitions(start, ledger_path, ["run_id"])
+    try:
+        rows, counters = work()
+        end = ledger.finish_run(spark, run_id, "ok", rows, json.dumps(counters))
+    except Exception as error:
+        end = ledger.finish_run(spark, run_id, "error", 0, f"{type(error).__name__}: {error}"[:1000])
+        replace_partitions(start.unionByName(end), ledger_path, ["run_id"])
+        raise
+    replace_partitions(start.unionByName(end), ledger_path, ["run_id"])
+
+
+def stream_collection(
+    docs: DataFrame, path: str, ledger_path: str, checkpoint: str, source: str = "stream", available_now: bool = True
+) -> StreamingQuery:
+    """Status documents into the table, once per (station, last_reported), each micro-batch with its row in the ledger.
+
+    Rows that were really added are counted while they are written. Notes hold the documents and their defects.
+    """
+    _ensure_table(docs.sparkSession, path, "station_status")
+
+    def load(batch: DataFrame, batch_key: str) -> None:
+        def work() -> tuple[int, dict[str, int]]:
+            defects = status_quality(batch, _DOC_KEYS).agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _DEFECTS])
+            counters = defects.first().asDict()
+            rows = status_rows(parse_station_status(batch, _DOC_KEYS), batch_key, F.col("captured_at_utc"))
+            return append_status(rows, path, batch_key), counters
+
+        _in_ledger(batch, ledger_path, batch_key, source, work)
+
+    return _run(docs, load, checkpoint, available_now)
+
+
+def stream_quality(docs: DataFrame, ledger_path: str, checkpoint: str, source: str = "stream", available_now: bool = True) -> StreamingQuery:
+    """A row of the ledger for each micro-batch: its documents as rows, its defect counters as notes; nothing else is stored."""
 
     def load(batch: DataFrame, batch_key: str) -> None:
-        defects = ("dup_stations", "negativos", "sin_station_id")
-        row = (
-            status_quality(batch, _DOC_KEYS)
-            .agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in defects])
-            .select("documents", *defects, F.to_json(F.struct(*defects)).alias("notes"))
-        )
-        row.withColumn("batch_key", F.lit(batch_key)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_key").parquet(path)
+        def work() -> tuple[int, dict[str, int]]:
+            found = status_quality(batch, _DOC_KEYS).agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _DEFECTS])
+            counters = found.first().asDict()
+            return counters.pop("documents"), counters
+
+        _in_ledger(batch, ledger_path, batch_key, source, work)
 
     return _run(docs, load, checkpoint, available_now)
 

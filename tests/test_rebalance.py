@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pedalflow.operators import rebalance as R
 from tests.test_bridge import metres
@@ -59,6 +61,33 @@ def shape(moves, window="w"):
     )
 
 
+def test_captures_are_ranked_in_ranges(spark):
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), f"c{i}", start + dt.timedelta(minutes=5 * rng.randrange(-400, 400))) for i in range(500)] + [(None, "x", start), ("a", "none", None)]
+    table = spark.createDataFrame(rows, "station_id string, capture_id string, captured_at_local timestamp_ntz")
+    got = {(r["station_id"], r["capture_id"]): r["rn"] for r in R.nearest_ranks(table, F.lit(start)).collect()}
+    want = {}
+    for station in ("a", "b", None):
+        own = sorted((abs((t - start).total_seconds()), t, c) for s, c, t in rows if s == station and t is not None)
+        want.update({(station, c): i for i, (_, _, c) in enumerate(own, 1)})
+    assert got == want
+
+
+def test_settled_windows_leave_the_rounds(spark):
+    rng = random.Random(4)
+    rows = [r for k in range(6) for r in line([rng.choice([0, 1, 2, 19, 20]) for _ in range(3 + 7 * k)], window=f"w{k}")]
+    state = R.balance_state(spark.createDataFrame(rows, STATIONS))
+    left = []
+    whole = R.allocate(R.candidate_pairs(state), on_round=left.append).collect()
+    pairs = R.candidate_pairs(state).count()
+    assert left[-1] == 0 and left == sorted(left, reverse=True) and 0 < min(left[:-1]) < pairs
+    for k in range(6):
+        alone = R.allocate(R.candidate_pairs(state).filter(f"target_ts = 'w{k}'")).collect()
+        pick = lambda rs: sorted((r["receiver"], r["donor"], r["qty"]) for r in rs if r["target_ts"] == f"w{k}")  # noqa: E731, B023
+        assert pick(whole) == pick(alone)
+
+
 def test_moves_from_donor_to_receiver(spark):
     moves, summary = plan(spark, line([0, 20]))
     assert [(m["donor_station_id"], m["receiver_station_id"], m["bikes_to_move"]) for m in moves] == [("001", "000", 10)]

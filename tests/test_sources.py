@@ -105,10 +105,12 @@ def test_feed_discovery(spark):
             {"data": {"fr": {"feeds": feed}}},
             {"data": {"feeds": []}},
             {},
+            {"data": {"en": {"feeds": feed}, "es": {"ttl": 1}}},  # a block of the language without feeds is not passed over
+            {"data": {"en": {"feeds": feed}, "es": {}}},
         )
     )
-    assert {r["doc_id"]: (r["name"], r["url"]) for r in found.collect()} == {i: ("station_status", "http://x/status") for i in range(3)}
-    assert sorted(r["doc_id"] for r in rejected.collect()) == [3, 4]
+    assert {r["doc_id"]: (r["name"], r["url"]) for r in found.collect()} == {i: ("station_status", "http://x/status") for i in (0, 1, 2, 6)}
+    assert sorted(r["doc_id"] for r in rejected.collect()) == [3, 4, 5]
 
 
 def test_page_links(spark):

@@ -88,15 +88,53 @@ def test_information_is_stored_on_change(spark, tmp_path):
     assert poll() == 2
 
 
+def test_a_batch_reads_the_versions_of_its_own_stations_only(spark, tmp_path):
+    landing, table, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    stations = [{"station_id": str(i), "name": f"S{i}", "lat": 1.5, "lon": 2.5, "capacity": i} for i in range(40)]
+    land(landing, "1.json", stations, T0)
+    streams.stream_scd(streams.document_stream(spark, str(landing)), table, offsets).awaitTermination()
+    everything = streams.read_stored(spark, table, "station_information").inputFiles()
+    few = spark.createDataFrame([("3",), ("17",)], "station_id string")
+    seen = streams.versions_of(spark, table, few)
+    wanted = {r[0] for r in few.select(streams._bucket()).collect()}
+    assert {r["bucket"] for r in seen.collect()} == wanted
+    assert "PartitionFilters: [bucket" in seen._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket), ", "")
+    assert len({f for f in everything if any(f"bucket={b}/" in f for b in wanted)}) <= 2 < len(everything)
+    land(landing, "2.json", [{**stations[3], "capacity": 99}, stations[17]], T0 + 9)
+    streams.stream_scd(streams.document_stream(spark, str(landing)), table, offsets).awaitTermination()
+    assert streams.read_stored(spark, table, "station_information").count() == 41
+
+
 def test_quality_ledger(spark, tmp_path):
-    landing, table = tmp_path / "in", str(tmp_path / "out")
+    landing, events = tmp_path / "in", str(tmp_path / "out")
     land(landing, "1.json", [entry("1", -5, T0), entry("1", 5, T0), {"num_bikes_available": 1}], T0)
-    streams.stream_quality(streams.document_stream(spark, str(landing)), table, str(tmp_path / "o")).awaitTermination()
-    row = spark.read.parquet(table).first()
-    assert (row["documents"], row["dup_stations"], row["negativos"], row["sin_station_id"]) == (1, 1, 1, 1)
+    streams.stream_quality(streams.document_stream(spark, str(landing)), events, str(tmp_path / "o")).awaitTermination()
+    (row,) = streams.collection_runs(spark, events).collect()
+    assert (row["run_type"], row["status"], row["rows_ingested"]) == ("gbfs", "ok", 1) and row["finished_at_utc"] is not None
     assert json.loads(row["notes"]) == {"dup_stations": 1, "negativos": 1, "sin_station_id": 1}
 
 
+def test_a_collection_has_one_ledger_row_for_each_batch(spark, tmp_path, monkeypatch):
+    landing, table, events, offsets = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "e"), str(tmp_path / "o")
+
+    def poll():
+        streams.stream_collection(streams.document_stream(spark, str(landing)), table, events, offsets, "feed").awaitTermination()
+        return sorted((r["status"], r["rows_ingested"], r["source"]) for r in streams.collection_runs(spark, events).collect())
+
+    land(landing, "1.json", [entry("1", 5, T0), entry("2", -1, T0 + 50)], T0 + 60)
+    assert poll() == [("ok", 2, "feed")]
+    land(landing, "2.json", [entry("1", 7, T0), entry("3", 3, T0 + 50)], T0 + 120)
+    whole = streams.append_status
+    monkeypatch.setattr(streams, "append_status", lambda *a: 1 / 0)
+    with pytest.raises(Exception):
+        poll()
+    rows = {r["status"]: r for r in streams.collection_runs(spark, events).collect()}
+    assert set(rows) == {"ok", "error"} and "ZeroDivisionError" in rows["error"]["notes"]
+    monkeypatch.setattr(streams, "append_status", whole)
+    assert poll() == [("ok", 1, "feed"), ("ok", 2, "feed")]  # the repeated batch has replaced its error
+    assert streams.read_stored(spark, table, "station_status").count() == 3
+
+
 def test_closed_windows_equal_the_batch_result(spark, tmp_path):
     rows = [("1", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), i % 5 or None, i % 3) for i in range(200)]
     schema = "station_id string, captured_at_local timestamp_ntz, num_bikes_available int, num_docks_available int"
@@ -129,8 +167,8 @@ def test_documents_do_not_depend_on_the_size_of_a_batch(spark, tmp_path, files_p
     streams.snapshot_stream(docs, str(tmp_path / "rows"), str(tmp_path / "o1")).awaitTermination()
     assert streams.read_stored(spark, str(tmp_path / "rows"), "station_status").count() == 8
     streams.stream_quality(docs, str(tmp_path / "quality"), str(tmp_path / "o2")).awaitTermination()
-    total = spark.read.parquet(str(tmp_path / "quality")).agg(F.sum("documents").alias("d"), F.sum("negativos").alias("n")).first()
-    assert tuple(total) == (4, 4)
+    runs = streams.collection_runs(spark, str(tmp_path / "quality")).collect()
+    assert (sum(r["rows_ingested"] for r in runs), sum(json.loads(r["notes"])["negativos"] for r in runs)) == (4, 4)
 
 
 def test_open_hours_are_written_and_corrected(spark, tmp_path):
