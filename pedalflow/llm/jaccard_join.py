@@ -268,7 +268,7 @@ def _index(params: Params, counters, buckets: int):
                 entries["least"] = entries["most"] = n[text[chosen]]
                 entries["left"] = (n[text] - position)[chosen]
                 held.append(entries)
-            if sum(map(len, held)) > 1_000_000:
+            if sum(map(len, held)) > 400_000:
                 held = [_merged(np.concatenate(held))]
         if held and sum(map(len, held)):
             entries = _merged(np.concatenate(held))
@@ -308,8 +308,8 @@ def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray
         other = after_pivot[live] + step
         ok = possible(least[live], most[live], left[live], least[other], most[other], left[other])
         one, two = live[ok], other[ok]
-        for at in range(0, len(one), 4096):
-            p, q = one[at : at + 4096], two[at : at + 4096]
+        for at in range(0, len(one), 512):
+            p, q = one[at : at + 512], two[at : at + 512]
             np_, nq = tail[p] - head[p], tail[q] - head[q]
             n = np_ * nq
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: bounds a Python worker's memory with long texts.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever comes first: bounds a Python worker's memory with long texts and sets.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +31,9 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to these sizes; they stay set, as results are computed after the operator returns."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def numbered(df: DataFrame, group: list[str], order: Column, name: str, ties: list[str], bits: int = 10, weight: Column | None = None) -> DataFrame:
