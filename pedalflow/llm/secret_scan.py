@@ -7,13 +7,13 @@ of the symbols, runs above and below the middle of the alphabet, and the correla
 smallest p-value, corrected for three tests, is uniform for random strings and near 0 for anything written by people.
 
 Which candidates are taken is decided for each encoding and each octave of length by the false discovery rate over all
-documents: the p-values above one half give the number of truly random strings, whose p-values spread evenly, and the
-cut is the lowest one, from 0.01 on, above which the surplus is at most ``fdr`` of what is taken and one standard error
-of the estimate. Where the p-values above one half fall off by more than two standard errors, the tests cannot tell and
-nothing is taken. Each distinct string counts once, however often it is copied. A stratum with fewer than 20 distinct
-strings above ``fdr`` is too small for an estimate: ``fdr`` is the cut there from 32 characters on, one half below; letters alone, as words are, need 50 above one half
-below 32 characters, and with fewer none is taken. The
-counts behind the cuts are a table of fixed size.
+documents. The p-values of a stratum are a mixture: random strings spread evenly, what people write has a beta density with
+parameters a and 3, which is high near 0 and falls to nothing at 1. The share of random strings and a are fitted to all
+p-values of the stratum, with a prior that weighs as much as one string: before anything is seen, letters alone are words
+(3 of 10 are random), all else is keys (8 of 10), and a is about 0.2. The cut is the lowest p-value, from 0.01 on, above which at most ``fdr`` of what is taken
+is expected to be written by people. It is one formula for any number of strings: a lone string that is not all letters is
+taken above about one half, a dozen random ones of a kind bring the cut down to a few hundredths, and words alone are never
+taken. Each distinct string counts once, however often it is copied. The counts behind the cuts are a table of fixed size.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; a run that overlaps a known
 form adds no span; rows that repeat are judged alike; an empty table gives an empty table. Input columns named like a
@@ -25,7 +25,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pedalflow.llm.storage import stored
@@ -57,9 +58,10 @@ ENCODINGS = {
     "any": ("0-9A-Za-z+/_-", _UPPER + _LOWER + _DIGITS + "+/-_"),
 }
 BINS = 100
-ENOUGH = 20  # distinct strings with a p-value of at least fdr that a stratum's own estimate needs
-EVEN = 50  # distinct strings with a p-value above one half that short strings of letters need, to see whether they fall off
-LONG = 5  # octave from which on the tests tell what people write without an estimate
+LEAST_EXPONENT = -12  # p-values below one bin are counted by powers of ten, down to this one
+PRIOR_RANDOM, PRIOR_LETTERS = 0.8, 0.3
+SHAPES = np.linspace(0.06, 0.4, 35)
+_SHAPE_PRIOR = -((SHAPES - 0.2) ** 2) / (2 * 0.06**2)
 
 
 @dataclass(frozen=True)
@@ -69,11 +71,15 @@ class Params:
     fdr: float = 0.05
 
 
+_BLOCK = 64
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Leftmost, non-overlapping matches with their places, summed up from the lengths of what lies between them."""
+    """Leftmost, non-overlapping matches with their places, summed up from the lengths of what lies between them.
+
+    Matches are gone through in blocks, so that a text of many matches does not copy all earlier ones for each.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
     steps = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
@@ -84,8 +90,15 @@ def _found(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), step["match"].alias("text"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(steps, start, add, lambda state: state["spans"])
+    def add_block(state: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(state["at"].alias("at"), F.array().cast(_SPAN).alias("spans")), add)
+        once = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(state["blocks"], F.array(x["spans"])).alias("blocks")))
+        return F.element_at(once, 1)
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: (i % _BLOCK == 0) & (i < F.size(steps)))
+    blocks = F.transform(starts, lambda i: F.slice(steps, i + 1, F.lit(_BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
+    return F.aggregate(blocks, start, add_block, lambda state: F.flatten(state["blocks"]))
 
 
 def _known(text: Column, kind: str) -> Column:
@@ -168,28 +181,46 @@ def _candidates(text: Column, known: Column) -> Column:
     return F.transform(codes, lambda s: F.struct(*place(s), s["stratum"].alias("stratum"), battery(s["codes"], s["symbols"]).alias("p"), s["key"].alias("key")))
 
 
+def _bin(p: Column) -> Column:
+    """0 to ``BINS`` - 1 for p-values from one bin on, powers of ten below."""
+    tens = F.greatest(F.floor(F.log10(F.greatest(p, F.lit(10.0**LEAST_EXPONENT)))), F.lit(LEAST_EXPONENT))
+    return F.when(p < 1 / BINS, tens).otherwise(F.least(F.floor(p * BINS), F.lit(BINS - 1))).cast("int")
+
+
+def _written_below(p: np.ndarray, shape: float) -> np.ndarray:
+    """Share of what people write with a p-value below ``p``: the distribution function of a beta(``shape``, 3) variable."""
+    terms = lambda x: x**shape * (1 / shape - 2 * x / (shape + 1) + x * x / (shape + 2))
+    return terms(p) / terms(np.float64(1.0))
+
+
+def cut_of(bins: np.ndarray, counts: np.ndarray, prior: float, fdr: float) -> float | None:
+    """The least p-value to take in a stratum with so many distinct strings in each bin; none where nothing qualifies."""
+    low = np.where(bins >= 0, bins / BINS, np.where(bins > LEAST_EXPONENT, 10.0**bins, 0.0))
+    high = np.where(bins >= 0, (bins + 1) / BINS, 10.0 ** (bins + 1))
+    written = np.array([_written_below(high, a) - _written_below(low, a) for a in SHAPES])
+    random, shape = prior, int(np.argmax(_SHAPE_PRIOR))
+    for _ in range(200):
+        own = random * (high - low) / (random * (high - low) + (1 - random) * written[shape])
+        random = ((counts * own).sum() + prior) / (counts.sum() + 1)
+        shape = int(np.argmax((counts * (1 - own) * np.log(written)).sum(axis=1) + _SHAPE_PRIOR))
+    cut = np.arange(1, BINS) / BINS
+    false = (1 - random) * (1 - _written_below(cut, SHAPES[shape]))
+    good = np.flatnonzero(false <= fdr * (false + random * (1 - cut)))
+    return float(cut[good[0]]) if len(good) else None
+
+
 def cuts(scanned: DataFrame, fdr: float) -> dict[str, float]:
-    """The least p-value that is taken in each stratum, from the p-values of all distinct candidates; at most one row each."""
-    seen = scanned.select(F.explode("_tested").alias("c")).select(
-        F.col("c.stratum").alias("stratum"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), F.col("c.key").alias("key")
-    )
-    counts = seen.distinct().groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
-    over = lambda least: F.sum(F.when(F.col("bin") >= least, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
-    taken = counts.select("stratum", "bin", F.sum("n").over(above).alias("taken"), (2 * over(BINS // 2)).alias("random"), over(fdr * BINS).alias("open"), over(3 * BINS // 4).alias("top"))
-    expected = F.col("random") * (1 - F.col("bin") / BINS)
-    few = (F.col("random") > 0) & (F.col("bin") > 0) & (F.col("taken") - expected <= fdr * F.col("taken") + F.sqrt(expected))
-    rows = taken.groupBy("stratum").agg(F.min(F.when(few, F.col("bin"))).alias("bin"), F.first("open").alias("open"), (F.first("random") / 2 - 2 * F.first("top")).alias("slope"), (F.first("random") / 2).alias("half")).collect()
+    """The least p-value that is taken in each stratum, from the p-values of all distinct candidates."""
+    seen = scanned.select(F.explode("_tested").alias("c")).select(F.col("c.stratum").alias("stratum"), _bin(F.col("c.p")).alias("bin"), F.col("c.key").alias("key"))
+    strata: dict[str, list[tuple[int, int]]] = {}
+    for r in seen.distinct().groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect():
+        strata.setdefault(r["stratum"], []).append((r["bin"], r["n"]))
     out = {}
-    for r in rows:
-        encoding, octave = r["stratum"].split(":")
-        words = encoding.startswith("letters") and int(octave) < LONG
-        if words and r["half"] < EVEN:
-            continue
-        if r["open"] < ENOUGH:
-            out[r["stratum"]] = fdr if int(octave) >= LONG else 0.5
-        elif r["bin"] is not None and r["slope"] <= 2 * math.sqrt(r["half"]):  # else not even: the tests cannot tell there
-            out[r["stratum"]] = r["bin"] / BINS
+    for stratum, rows in strata.items():
+        bins, counts = np.array(sorted(rows)).T
+        cut = cut_of(bins, counts, PRIOR_LETTERS if stratum.startswith("letters") else PRIOR_RANDOM, fdr)
+        if cut is not None:
+            out[stratum] = cut
     return out
 
 
