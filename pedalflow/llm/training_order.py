@@ -5,8 +5,9 @@ after the other, are cut into sequences of ``length`` ids; the last one of a par
 stored as 2-byte ids with their number in the partition, so a text is encoded once; the number of sequences of each
 partition then numbers them all. A Feistel network on the smallest even number of bits, walked along its cycle until it
 lands below the number of sequences, gives each sequence its slot: a permutation that needs no table and can be
-inverted. Every stored sequence goes to the shard that holds its slot; one task writes one shard, sorted, under a
-temporary name that becomes final at its end, so a task that is repeated leaves the same file.
+inverted. Stored sequences go to the shards that hold their slots, those of one task and shard in compressed blocks; one
+task puts one shard of ``per_shard`` sequences (16 MB) in order and writes it under a temporary name that becomes final at
+its end, so a task that is repeated leaves the same file.
 
 A sequence lies at byte ``slot % per_shard * stride`` of shard ``slot // per_shard``: reading on from any slot is one seek.
 
@@ -146,20 +147,42 @@ def _encode(ranks, length: int):
     return encode
 
 
-_PLACED = "shard int, slot long, sequence long, n_ids int, first_doc long, last_doc long, ids binary"
+_KEPT = ["slot", "sequence", "n_ids", "first_doc", "last_doc", "ids"]
+#: Sequences that a task holds before it deals them out to their shards.
+_HELD = 16_384
 
 
 def _place(offsets, params: Params):
-    """The slot and shard of each stored sequence."""
+    """Blocks of stored sequences of one shard, compressed, with their slots."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
         begins = offsets.value
+        numbers = begins[table.column("part").to_numpy()] + table.column("number").to_numpy()
+        slots = permuted(numbers, int(begins[-1]), params.key)
+        table = table.append_column("slot", pa.array(slots)).append_column("sequence", pa.array(numbers)).select(_KEPT)
+        order = np.argsort(slots)
+        shards, first = np.unique(slots[order] // params.per_shard, return_index=True)
+        table, ends = table.take(pa.array(order)).combine_chunks(), np.append(first[1:], len(order))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        packed = []
+        for at, to in zip(first.tolist(), ends.tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
+                stream.write_table(pa.Table.from_batches(table.slice(at, to - at).to_batches()))
+            packed.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "block"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            numbers = begins[batch.column("part").to_numpy()] + batch.column("number").to_numpy()
-            slots = permuted(numbers, int(begins[-1]), params.key)
-            columns = [pa.array((slots // params.per_shard).astype(np.int32)), pa.array(slots), pa.array(numbers)]
-            kept = ["n_ids", "first_doc", "last_doc", "ids"]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["shard", "slot", "sequence", *kept])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _HELD:
+                yield blocks(held)
+                held, n = [], 0
+        if n:
+            yield blocks(held)
 
     return place
 
@@ -168,30 +191,37 @@ _WRITTEN = "slot long, shard int, byte long, sequence long, n_ids int, first_doc
 
 
 def _write(folder: str, params: Params, total: int):
+    """Write the shard whose blocks are a task's rows: ``per_shard`` sequences at most, put in order and written in one go."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder)
-        stream, shard, draft, after = None, None, "", 0
+        parts, shards = [], set()
         for batch in batches:
-            if stream is None and batch.num_rows:
-                shard = batch.column("shard")[0].as_py()
-                draft, after = f"{root}/.draft-{shard:06d}-{uuid.uuid4().hex}", shard * params.per_shard
-                stream = system.open_output_stream(draft)
-            slots = batch.column("slot").to_numpy()
-            if not np.array_equal(slots, np.arange(after, after + len(slots))):
-                raise RuntimeError("a slot is missing or taken twice")
-            after += len(slots)
-            sums = []
-            for ids in batch.column("ids"):
-                stream.write(ids.as_buffer())
-                sums.append(zlib.crc32(ids.as_buffer()))
-            kept = [batch.column(c) for c in ("sequence", "n_ids", "first_doc", "last_doc")]
-            byte = pa.array(slots % params.per_shard * params.stride)
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), byte, *kept, pa.array(sums, pa.int64())], names=["slot", "shard", "byte", "sequence", "n_ids", "first_doc", "last_doc", "crc32"])
-        if stream is not None:
-            if after != min((shard + 1) * params.per_shard, total):
-                raise RuntimeError("a shard is not complete")
-            stream.close()
-            system.move(draft, f"{root}/shard-{shard:06d}.bin")
+            shards.update(batch.column("shard").to_pylist())
+            parts += [pa.ipc.open_stream(block.as_buffer()).read_all() for block in batch.column("block")]
+        if not parts:
+            return
+        (shard,) = shards
+        table = pa.concat_tables(parts)
+        slots = table.column("slot").to_numpy()
+        order = np.argsort(slots)
+        slots = slots[order]
+        if not np.array_equal(slots, np.arange(shard * params.per_shard, min((shard + 1) * params.per_shard, total))):
+            raise RuntimeError("a slot is missing or taken twice")
+        table = table.take(pa.array(order)).combine_chunks()
+        ids = table.column("ids").combine_chunks()
+        system, root = fs.FileSystem.from_uri(folder)
+        draft = f"{root}/.draft-{shard:06d}-{uuid.uuid4().hex}"
+        sums = []
+        with system.open_output_stream(draft) as stream:
+            for one in ids:
+                stream.write(one.as_buffer())
+                sums.append(zlib.crc32(one.as_buffer()))
+        system.move(draft, f"{root}/shard-{shard:06d}.bin")
+        columns = [
+            pa.array(slots), pa.array(np.full(len(slots), shard, np.int32)), pa.array(slots % params.per_shard * params.stride),
+            *(table.column(c).combine_chunks() for c in ("sequence", "n_ids", "first_doc", "last_doc")), pa.array(sums, pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "byte", "sequence", "n_ids", "first_doc", "last_doc", "crc32"])
 
     return write
 
@@ -221,8 +251,8 @@ def materialised(docs: DataFrame, folder: str | None = None, params: Params = Pa
     if not total:
         return spark.createDataFrame([], _WRITTEN)
     shards = -(-total // params.per_shard)
-    placed = encoded.mapInArrow(_place(spark.sparkContext.broadcast(begins), params), _PLACED)
-    return placed.repartitionById(shards, "shard").sortWithinPartitions("slot").mapInArrow(_write(folder, params, total), _WRITTEN)
+    placed = encoded.mapInArrow(_place(spark.sparkContext.broadcast(begins), params), "shard int, block binary")
+    return placed.repartitionById(shards, "shard").mapInArrow(_write(folder, params, total), _WRITTEN)
 
 
 def read_from(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
