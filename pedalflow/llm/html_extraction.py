@@ -6,8 +6,12 @@ of its blocks; both ratios are laid along the page, smoothed with a Gaussian, mu
 standard deviation. What is selected fixes the content element, the deepest one that holds all of it; headings and short
 paragraphs in it belong to the text, linked or not; several blocks or links in a row without a word between them do not.
 Elements that a page itself marks as menu, header, footer,
-sidebar, notice, advert, form or reader comments are never part of it. Names of headings, paragraphs and list items mark
-nothing, and words with other meanings (``related``, ``search``) only as a whole name outside an article.
+sidebar, notice, advert, form or reader comments are not part of it. Names of headings, paragraphs and list items mark
+nothing, and words with other meanings (``related``, ``search``) only as a whole name outside an article. A mark on an
+element that holds at least half of the text outside links, and an article, a main element or a first heading of its own,
+is the name of a layout (``layout-sidebar``, a form around the page) and does not count.
+
+Time and memory grow in proportion to the page, however deep it is nested and whatever it leaves unclosed.
 
 Blocks are decoded, have their white space turned into single blanks and are joined by newlines in page order.
 
@@ -21,8 +25,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +63,10 @@ AMBIGUOUS = set("copyright disclaimer discussion header meta notice notices rela
 NAMED_BY_TEXT = {"p", "li", *HEADINGS}  # their classes and ids come from what they say
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_CDATA = r"<!\[CDATA\[(.*?)\]\]>"
+_MARKUP = r"<!--.*?(?:-->|\Z)|" + _CDATA + r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
+_TAG = re.compile(_MARKUP, re.S)
+_TAG_UNCLOSED = re.compile(_MARKUP.replace(_CDATA, "(?!)()"), re.S)  # behind the last "]]>" no CDATA section can end
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _WORD = re.compile(r"\w")
@@ -76,12 +84,21 @@ class Params:
 
 @dataclass
 class Element:
+    """``mark`` is the innermost marked element around it, itself included; ``first`` and ``last`` number its subtree."""
+
     tag: str
-    name: str
     parent: Element | None
-    aside: bool
+    path: int
+    hidden: bool
+    mark: Element | None = None
     depth: int = 0
     in_article: bool = False
+    first: int = 0
+    last: int = 0
+    marked: bool = False
+    mass: int = 0
+    holds: bool = False
+    dropped: bool = False
 
 
 @dataclass
@@ -92,13 +109,14 @@ class Block:
     punctuation: int = 0
     links: int = 0
     only_links: bool = False
-    path: str = field(default="")
+
+
+def _invisible(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
 
 
 def _marked(tag: str, attributes: dict[str, str], within: bool) -> bool:
     """Whether an element says itself that it is no content; ``within`` an article its names say less."""
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
     if attributes.get("role", "").lower() in ROLES:
         return True
     if tag in ("html", "body", "main") or tag in NAMED_BY_TEXT:
@@ -117,9 +135,31 @@ def _marked(tag: str, attributes: dict[str, str], within: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """All blocks with text that lie outside marked and hidden elements, in page order."""
-    root = Element("#", "", None, False)
+def _settle(elements: list[Element], blocks: list[Block]) -> None:
+    """Number the subtrees and decide which marks count: those of elements that are no layout around the content."""
+    for b in blocks:
+        if b.element.mark is not None:
+            b.element.mark.mass += len(b.text) - b.linked
+    total = sum(len(b.text) - b.linked for b in blocks)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.last = max(e.parent.last, e.last)
+        outer = e.parent.mark if e.parent is not None else None
+        if e.marked:
+            e.dropped = not (e.holds and 2 * e.mass >= total)
+            if outer is not None:
+                outer.mass += e.mass
+                outer.holds = outer.holds or not e.dropped
+    for e in elements:
+        if e.marked and e.parent is not None and e.parent.mark is not None:
+            e.dropped = e.dropped or e.parent.mark.dropped
+
+
+def blocks_of(page: str) -> tuple[list[Block], Element]:
+    """All blocks with text that lie outside marked and hidden elements, in page order, and the root of their elements."""
+    root = Element("#", None, 0, False)
+    elements, paths, open_tags = [root], {}, Counter()
+    last_cdata = page.rfind("]]>")
     current, out, pieces, linked, links, plain = root, [], [], 0, 0, False
     link: Element | None = None
     at = 0
@@ -128,14 +168,14 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, links, plain
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text and not current.aside:
+            if text and not current.hidden:
                 out.append(Block(current, text, linked, len(_PUNCTUATION.findall(text)), links, linked > 0 and not plain))
             pieces.clear()
         linked, links, plain = 0, int(link is not None), False
 
     def add(text: str) -> None:
         nonlocal linked, plain
-        if text and not current.aside:
+        if text and not current.hidden:
             text = html.unescape(text)
             pieces.append(text)
             if link is not None:
@@ -146,11 +186,15 @@ def blocks_of(page: str) -> list[Block]:
     def close_to(element: Element) -> None:
         nonlocal current, link
         flush()
-        current = element
+        while current is not element:
+            open_tags[current.tag] -= 1
+            current = current.parent
         if link is not None and link.depth > element.depth:
             link = None
 
     def nearest(tags: set[str], barrier: set[str]) -> Element | None:
+        if not any(open_tags[t] for t in tags):
+            return None
         e = current
         while e is not root and e.tag not in barrier:
             if e.tag in tags:
@@ -160,7 +204,7 @@ def blocks_of(page: str) -> list[Block]:
 
     size = len(page)
     while at < size:
-        found = _TAG.search(page, at)
+        found = (_TAG if at <= last_cdata else _TAG_UNCLOSED).search(page, at)
         if not found:
             add(page[at:])
             break
@@ -205,24 +249,26 @@ def blocks_of(page: str) -> list[Block]:
                 e = nearest(CLOSED_BY_SAME[tag], BARRIER) if tag == "tr" else None
         flush()
         within = current.in_article or tag in ("article", "main")
-        aside = current.aside or tag in HIDDEN or tag in ASIDE or (tag == "header" and not within) or _marked(tag, attributes, within)
         if rest.rstrip().endswith("/") and tag in HIDDEN:
             continue
+        hidden = current.hidden or tag in HIDDEN or _invisible(attributes)
+        marked = tag in ASIDE or (tag == "header" and not within) or _marked(tag, attributes, within)
         classes = ".".join(attributes.get("class", "").split()[:1])
-        current = Element(tag, f"{tag}.{classes}" if classes else tag, current, aside, current.depth + 1, within)
+        path = paths.setdefault((current.path, tag, classes), len(paths) + 1)
+        element = Element(tag, current, path, hidden, current.mark, current.depth + 1, within, len(elements), len(elements), marked)
+        if marked:
+            element.mark = element
+        elif tag in ("article", "main", "h1") and element.mark is not None and not hidden:
+            element.mark.holds = True
+        elements.append(element)
+        open_tags[tag] += 1
+        current = element
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.start() if end else size
     flush()
-    return out
-
-
-def _ancestors(element: Element) -> list[Element]:
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
+    _settle(elements, out)
+    return [b for b in out if b.element.mark is None or not b.element.mark.dropped], root
 
 
 def _smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -233,32 +279,27 @@ def _smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
 
 def main_text(page: str | None, params: Params = Params()) -> str:
     """The main text of one page."""
-    blocks = blocks_of(page) if page else []
+    blocks, root = blocks_of(page) if page else ([], None)
     if not blocks:
         return ""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for b in blocks:
-        b.path = "/".join(e.name for e in _ancestors(b.element)[1:])
-        t = totals.setdefault(b.path, [0, 0, 0])
+        t = totals.setdefault(b.element.path, [0, 0, 0])
         t[0] += max(0, len(b.text) - b.linked)
         t[1] += b.punctuation if b.linked < len(b.text) else 0
         t[2] += 1
-    length = np.array([totals[b.path][0] / totals[b.path][2] for b in blocks])
-    signs = np.array([(totals[b.path][1] + 1) / totals[b.path][2] for b in blocks])
+    length = np.array([totals[b.element.path][0] / totals[b.element.path][2] for b in blocks])
+    signs = np.array([(totals[b.element.path][1] + 1) / totals[b.element.path][2] for b in blocks])
     score = _smoothed(length, params.sigma) * _smoothed(signs, params.sigma)
     prose = np.array([b.linked < params.links * len(b.text) for b in blocks])
     score = np.where(prose, score, 0)
     chosen = (score > 0) & (score >= min(params.cut * score.std(), score.max()))
     if not chosen.any():
         return ""
-    lines = [_ancestors(blocks[i].element) for i in np.flatnonzero(chosen)]
-    content = lines[0]
-    for line in lines[1:]:
-        shared = 0
-        while shared < min(len(content), len(line)) and content[shared] is line[shared]:
-            shared += 1
-        content = content[:shared]
-    holder = content[-1]
+    places = [blocks[i].element.first for i in np.flatnonzero(chosen)]
+    holder = blocks[int(np.flatnonzero(chosen)[0])].element
+    while holder is not root and not holder.first <= min(places) <= max(places) <= holder.last:
+        holder = holder.parent
     if holder.tag in ("p", "li", "td", "th", "pre", *HEADINGS) and holder.parent is not None:
         holder = holder.parent
     first, last = np.flatnonzero(chosen)[[0, -1]]
@@ -267,7 +308,7 @@ def main_text(page: str | None, params: Params = Params()) -> str:
     kept = []
     for i, b in enumerate(blocks):
         several = listed[i] and (b.links > 1 or (i > 0 and listed[i - 1]) or (i + 1 < len(blocks) and listed[i + 1]))
-        inside = any(e is holder for e in _ancestors(b.element)) and not several
+        inside = holder.first <= b.element.first <= holder.last and not several
         if loose:
             inside = inside and (chosen[i] or first <= i <= last or (b.element.tag in HEADINGS and i < first))
         if inside:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import time
+import tracemalloc
+
 import pytest
 
 from pedalflow.llm.html_extraction import extracted, main_text
@@ -52,6 +55,35 @@ def test_names_that_come_from_the_text_mark_nothing():
     assert main_text(page(open_page)) == f"Title\n{PROSE}\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "div class='layout-sidebar'", "div class='content-with-sidebar'", "div class='wrapper sidebar-right'", "div class='banner-on'", "div class='post-with-comments'",
+        "div class='login-enabled'", "form id='aspnetForm'", "form><div class='layout-sidebar'",
+    ],
+)
+def test_a_marked_wrapper_does_not_lose_the_article(wrapper):
+    end = f"</{wrapper.split()[0].split('>')[0]}>"
+    around = "<nav><a href='/'>Home page, of all.</a></nav>{}<div class='sidebar'><article><p>A teaser, of something.</p></article></div><div id='comments'><p>Nice, text, all.</p></div>"
+    for body in (f"<article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article>", f"<div id='content'><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div>"):
+        assert main_text(page(f"<{wrapper}>{around.format(body)}{end}")) == f"Title\n{PROSE}\n{PROSE}"
+
+
+def test_comments_longer_than_the_article_stay_out():
+    body = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><div id='comments'>" + "".join(f"<article class='comment'><p>{PROSE} Number {i}, of many.</p></article>" for i in range(9)) + "</div>"
+    assert main_text(page(f"<div>{body}</div>")) == f"Title\n{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("hostile", ["<div>word, one." * 20_000, "<![CDATA[ x" * 100_000, "<div><p>a, b." * 20_000 + "</section>" * 20_000, "<b>" * 50_000 + PROSE])
+def test_hostile_pages_take_linear_time(hostile):
+    tracemalloc.start()
+    began = time.process_time()
+    main_text(hostile)
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 30 and peak < 200e6  # tracing slows it several times
+
+
 def test_references_white_space_and_inline_elements():
     text = f"<p>  A &amp; B&nbsp;&#233;&lt;x&gt;\n <b>bold</b><i>er</i>, text.<br>Next<!-- no --> line </p><p>{PROSE}</p>"
     assert main_text(page(f"<article>{text}</article>")) == f"A & B é<x> bolder, text. Next line\n{PROSE}"
