@@ -281,3 +281,27 @@ def feed_coverage(status: DataFrame) -> DataFrame:
         F.min("captured_at_local").alias("tmin"),
         F.max("captured_at_local").alias("tmax"),
     )
+
+
+# Fixed value: log2 of the counters of a sketch; its error is about 1.04 / sqrt(2 ** 12), 1.6 per cent.
+SKETCH_BITS = 12
+
+
+def coverage_sketches(status: DataFrame) -> DataFrame:
+    """One row for each day: captures, first and last time, and a sketch of the stations that any period can merge."""
+    return status.groupBy(F.col("captured_at_local").cast("date").alias("date")).agg(
+        F.count(F.lit(1)).alias("capturas"),
+        F.hll_sketch_agg("station_id", SKETCH_BITS).alias("estaciones"),
+        F.min("captured_at_local").alias("tmin"),
+        F.max("captured_at_local").alias("tmax"),
+    )
+
+
+def merged_coverage(sketches: DataFrame) -> DataFrame:
+    """``feed_coverage`` of the days of ``sketches`` without their captures: the number of stations is an estimate."""
+    return sketches.agg(
+        F.coalesce(F.sum("capturas"), F.lit(0)).alias("capturas"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("estaciones")), F.lit(0)).alias("estaciones"),
+        F.min("tmin").alias("tmin"),
+        F.max("tmax").alias("tmax"),
+    )

@@ -580,6 +580,9 @@ SELECT (SELECT count(*) FROM fx_bridge) AS estaciones_historicas, (SELECT count(
 FROM fx_trips t LEFT JOIN fx_bridge o ON o.historico_id = t.origin_station_id LEFT JOIN fx_bridge d ON d.historico_id = t.dest_station_id"""
 SQL["feed_coverage_A9"] = """
 SELECT count(*) AS capturas, count(DISTINCT station_id) AS estaciones, min(captured_at_local) AS tmin, max(captured_at_local) AS tmax FROM fx_status"""
+SQL["merged_coverage_A9"] = """
+SELECT count(*) AS capturas, true AS within_bound, min(captured_at_local) AS tmin, max(captured_at_local) AS tmax
+FROM fx_status WHERE CAST(captured_at_local AS DATE) >= (SELECT CAST(max(captured_at_local) AS DATE) - 9 FROM fx_status)"""
 SQL["summary_A10"] = """
 SELECT count(*) AS n_trips, (SELECT count(reason) FROM fx_classified) AS n_rejected,
        round_even(100.0::DOUBLE * (SELECT count(reason) FROM fx_classified) / (SELECT count(*) FROM fx_classified), 2) AS pct_rejected,

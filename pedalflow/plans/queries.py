@@ -552,6 +552,17 @@ def feed_coverage(d):
     return I.feed_coverage(d.status)
 
 
+@query("merged_coverage_A9")
+def merged_coverage(d):
+    """Coverage of the last days from the stored sketches of each day, and whether it is as near the exact one as it must be."""
+    days = d.stored(I.coverage_sketches(d.status), "sketches")
+    since = days.agg(F.date_add(F.max("date"), -9)).scalar()
+    merged = I.merged_coverage(days.filter(F.col("date") >= since))
+    exact = d.status.filter(F.col("captured_at_local").cast("date") >= since).agg(F.count_distinct("station_id")).scalar()
+    off = F.abs(F.col("estaciones") - exact) <= 3 * 1.04 / 2 ** (I.SKETCH_BITS / 2) * exact
+    return merged.select("capturas", off.alias("within_bound"), "tmin", "tmax")
+
+
 @query("summary_A10")
 def summary(d):
     path = scratch_path(d.spark, "classified")
@@ -1217,7 +1228,7 @@ def _event_stream(d: Domain) -> Domain:
 def _all_windows(d: Domain, hourly: DataFrame, name: str) -> DataFrame:
     path = scratch_path(d.spark, name)
     streams.replace_windows(hourly, path, scratch_path(d.spark, "offsets")).awaitTermination()
-    return d.spark.read.schema(hourly.schema).parquet(path).select(*hourly.columns)
+    return streams.read_windows(d.spark, path, hourly)
 
 
 @query("stream_availability_X4")
@@ -1230,6 +1241,15 @@ def stream_demand(d):
     return _all_windows(d, streams.stream_demand(_event_stream(d).trips), "demand")
 
 
+@query("stream_late_captures_X4")
+def stream_late_captures(d):
+    """Hourly availability kept from stored captures: the files land in any order, none is too late."""
+    hours = scratch_path(d.spark, "hours")
+    _drain(d, d.status_docs, lambda docs, path, checkpoint: streams.stream_captured_hours(docs, path, hours, checkpoint))
+    rows = d.spark.read.parquet(hours)
+    return rows.select(*H.availability_hourly(d.status).columns)
+
+
 @query("stream_quality_X6")
 def stream_quality(d):
     """The ledger of a stream: its runs by status, with all rows and defect counters."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pedalflow.functions import scalars as S
 from pedalflow.functions.calendar import dow
-from pedalflow.operators.hourly import CAPTURE_MINUTES, availability_aggregates
+from pedalflow.operators.hourly import CAPTURE_MINUTES, availability_aggregates, availability_hourly
 from pedalflow.operators.upserts import information_rows, new_information_rows, new_status_rows, status_rows
 from pedalflow.schemas import SCHEMAS
 from pedalflow.session import cut_lineage
@@ -302,29 +303,17 @@ def stream_demand(trips: DataFrame, delay: str = "5 hours") -> DataFrame:
 
 
 def replace_windows(hourly: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Hourly rows as they stand after every batch, open hours included; a later batch replaces what it corrects.
+    """Hourly rows as they stand after every batch, open hours included, for ``read_windows``.
 
-    Each batch reads and rewrites the days it touches. Their rows are checkpointed before the days are replaced, so a
-    batch that is repeated ends with the same table.
+    A batch only adds: its rows are partitions of their own, which a repeated batch replaces, and the newest row of an hour
+    is found when the table is read. A job that dies at any point has lost nothing and leaves nothing half replaced.
     """
     spark = hourly.sparkSession
-    columns = hourly.columns
-    stored_schema = ", ".join(f"{n} {kind}" for n, kind in hourly.dtypes)
-    spark.createDataFrame([], stored_schema).write.mode("append").partitionBy("date").parquet(path)
+    spark.createDataFrame([], _window_schema(hourly)).write.mode("append").partitionBy("date", "batch_key").parquet(path)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = cut_lineage(batch)
-        days = fresh.select("date").distinct()
-        kept = (
-            session.read.schema(stored_schema)
-            .parquet(path)
-            .join(days, "date", "left_semi")
-            .join(fresh.select("station_id", "date", "hour"), ["station_id", "date", "hour"], "left_anti")
-        )
-        merged = cut_lineage(kept.select(*columns).unionByName(fresh))
-        writer = merged.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("date").parquet(path)
+        stamped = batch.withColumns({"written_at": F.localtimestamp(), "batch_key": F.lit(_batch_key(batch.sparkSession, checkpoint, batch_id))})
+        replace_partitions(stamped, path, ["date", "batch_key"])
 
     return (
         hourly.writeStream.outputMode("update")
@@ -335,6 +324,47 @@ def replace_windows(hourly: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+def _window_schema(hourly: DataFrame) -> str:
+    return ", ".join(f"{n} {kind}" for n, kind in hourly.dtypes) + ", written_at timestamp_ntz, batch_key string"
+
+
+def read_windows(spark: SparkSession, path: str, hourly: DataFrame, days: list[date] | None = None) -> DataFrame:
+    """The newest row of every station hour of a table of ``replace_windows``, of all days or of some."""
+    rows = spark.read.schema(_window_schema(hourly)).parquet(path)
+    if days is not None:
+        rows = rows.filter(F.col("date").isin(days))
+    keys = ["station_id", "date", "hour"]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in hourly.columns if c not in keys]), F.struct("written_at", "batch_key")).alias("r"))
+    return newest.select(*keys, "r.*").select(*hourly.columns)
+
+
+def close_days(spark: SparkSession, path: str, closed: str, hourly: DataFrame, days: list[date]) -> None:
+    """Write the rows of days that are over into a table of their own, one partition for each: no batches left to resolve."""
+    if days:
+        replace_partitions(read_windows(spark, path, hourly, days), closed, ["date"])
+
+
+def stream_captured_hours(docs: DataFrame, path: str, hours: str, checkpoint: str, run_id: str = "stream", available_now: bool = True) -> StreamingQuery:
+    """Captures into the table at ``path`` and hourly availability into ``hours``, however late a capture comes.
+
+    There is no watermark: the days that a batch's captures belong to are computed again from all stored captures of these
+    days and replace their partitions, so the table is at any time the batch result over everything that has arrived.
+    """
+    _ensure_table(docs.sparkSession, path, "station_status")
+
+    def load(batch: DataFrame, batch_key: str) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(status_rows(parse_station_status(batch, _DOC_KEYS), run_id, F.col("captured_at_utc")))
+        append_status(rows, path, batch_key)
+        local = F.col("captured_at_local").cast("date")
+        days = sorted(r[0] for r in rows.filter(local.isNotNull()).select(local).distinct().collect())
+        if days:
+            stored = read_stored(spark, path, "station_status").filter(local.isin(days))
+            replace_partitions(availability_hourly(stored), hours, ["date"])
+
+    return _run(docs, load, checkpoint, available_now)
+
+
 def append_closed_windows(hourly: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write finished windows as they close; the file sink commits each batch exactly once."""
     return (

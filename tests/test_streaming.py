@@ -181,5 +181,37 @@ def test_open_hours_are_written_and_corrected(spark, tmp_path):
     for _ in range(2):  # nothing new changes nothing
         hourly = streams.stream_availability(source)
         streams.replace_windows(hourly, out, str(tmp_path / "o")).awaitTermination()
-        got = {r["hour"]: (r["n_captures"], r["bikes_max"]) for r in spark.read.schema(hourly.schema).parquet(out).collect()}
+        got = {r["hour"]: (r["n_captures"], r["bikes_max"]) for r in streams.read_windows(spark, out, hourly).collect()}
         assert got == {10: (3, 4), 23: (1, 0)}
+    day = [dt.date(2024, 1, 1)]
+    streams.close_days(spark, out, str(tmp_path / "closed"), hourly, day)
+    closed = spark.read.parquet(str(tmp_path / "closed")).select(*hourly.columns)
+    assert sorted(map(tuple, closed.collect())) == sorted(map(tuple, streams.read_windows(spark, out, hourly, day).collect()))
+
+
+def test_a_batch_of_windows_replaces_nothing_it_does_not_hold(spark, tmp_path):
+    schema = "station_id string, date date, hour int, n bigint"
+    path, day = str(tmp_path / "w"), dt.date(2024, 1, 1)
+    hourly = spark.createDataFrame([], schema)
+
+    def write(rows, key, at):
+        batch = spark.createDataFrame(rows, schema).withColumns({"written_at": F.lit(at), "batch_key": F.lit(key)})
+        streams.replace_partitions(batch, path, ["date", "batch_key"])
+
+    write([("1", day, 5, 1), ("2", day, 5, 1)], "s-0", dt.datetime(2024, 1, 2))
+    for _ in range(2):
+        write([("1", day, 5, 2), ("1", day, 6, 1)], "s-1", dt.datetime(2024, 1, 3))
+    got = {(r["station_id"], r["hour"]): r["n"] for r in streams.read_windows(spark, path, hourly).collect()}
+    assert got == {("1", 5): 2, ("2", 5): 1, ("1", 6): 1}
+
+
+def test_a_capture_three_days_late_ends_in_the_batch_result(spark, tmp_path):
+    landing, table, hours, offsets = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "h"), str(tmp_path / "o")
+    day = 86_400
+    files = [("1.json", T0), ("2.json", T0 + 3 * day), ("3.json", T0 + 600), ("4.json", T0 + 3 * day + 300)]
+    for name, at in files:
+        land(landing, name, [entry("1", at % 7, at), entry("2", 0, at)], at)
+        streams.stream_captured_hours(streams.document_stream(spark, str(landing)), table, hours, offsets).awaitTermination()
+    want = H.availability_hourly(streams.read_stored(spark, table, "station_status"))
+    got = spark.read.parquet(hours).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and sum(r["n_captures"] for r in got.collect()) == 8
