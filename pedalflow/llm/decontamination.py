@@ -3,7 +3,8 @@
 Every task cuts its documents into shards of whole texts and builds the suffix array of each shard's word hashes. All
 suffixes of the benchmark items are then binary-searched in it, word by word, which gives for each suffix its longest
 verbatim match and all places where at least a window of words matches. Documents are read once for each block of
-benchmark items; a block has a fixed size, which is what bounds the broadcast however large the benchmark grows.
+benchmark items. A block has a fixed size; while there are more of them, what has been marked so far is stored and the
+block's broadcast destroyed before the next one is drawn, so one block is alive at a time however large the benchmark is.
 
 Words are lower-cased in A-Z and made of ASCII letters and digits and anything beyond ASCII. A window is ``window``
 consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pedalflow.llm.storage import small_batches
+from pedalflow.llm.storage import Replaced, small_batches
 from pedalflow.llm.text_arrays import LOWER, WORD_BYTES, Hasher, chunks
 
 WINDOW = 10
@@ -214,12 +215,16 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     small_batches(spark)
     docs = docs.drop(*RESULTS, "_hits")
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_STATE).fields])
-    out = docs
-    for block in item_blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_mark_block(spark.sparkContext.broadcast((block.ids, block.words, block.first)), window, docs.columns, schema.names), schema)
-    if out is docs:  # no item at all
-        block = Items([], np.empty(0, np.uint64), np.zeros(1, np.int64))
-        out = docs.mapInArrow(_mark_block(spark.sparkContext.broadcast((block.ids, block.words, block.first)), window, docs.columns, schema.names), schema)
+    so_far = Replaced(spark, "marked")
+    blocks = item_blocks(benchmark, block_bytes)
+    block, out = next(blocks, Items([], np.empty(0, np.uint64), np.zeros(1, np.int64))), docs
+    while block is not None:
+        shared = spark.sparkContext.broadcast((block.ids, block.words, block.first))
+        out = out.mapInArrow(_mark_block(shared, window, docs.columns, schema.names), schema)
+        block = next(blocks, None)
+        if block is not None:
+            out = so_far.store(out)
+            shared.destroy()
     return out.drop("_hits")
 
 

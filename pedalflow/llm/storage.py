@@ -30,6 +30,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Replaced:
+    """A table that is stored again and again: each new version replaces the one before, of which nothing is left."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path, old = f"{shared_folder(self.spark)}/{self.name}-{uuid.uuid4().hex}", self.path
+        df.write.parquet(path)
+        self.path = path
+        if old is not None:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Set the session's Arrow batches to these sizes; they stay set, as results are computed after the operator returns."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

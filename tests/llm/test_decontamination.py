@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from pedalflow.llm import decontamination as d
+from pedalflow.llm.storage import shared_folder
 from pedalflow.llm.text_arrays import LOWER, WORD_BYTES, Hasher
 from tests.llm.conftest import ODD
 
@@ -64,6 +66,29 @@ def test_hits_equal_brute_force_in_one_block_and_in_many(spark, documents, data,
     assert found(out) == brute(docs, items)
 
 
+def test_one_block_is_alive_at_a_time(spark, documents, data, monkeypatch):
+    """Twenty blocks: each broadcast but the last is destroyed before the next one, and one stored table is left."""
+    docs, items = data
+    alive, most, context = [], [], type(spark.sparkContext)
+    whole = context.broadcast
+
+    def broadcast(self, value):
+        shared = whole(self, value)
+        destroy = shared.destroy
+        shared.destroy = lambda *a: (alive.remove(shared), destroy(*a))
+        alive.append(shared)
+        most.append(len(alive))
+        return shared
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    few, size = docs[:40] + ODD, sum(len((t or "").encode()) for _, t in items) // 20
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("marked-*"))
+    out = d.marked(documents(few), spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+    assert found(out) == brute(few, items)
+    assert len(most) >= 15 and max(most) == 1
+    assert len(set(Path(shared_folder(spark).removeprefix("file:")).glob("marked-*")) - before) == 1
+
+
 def test_longest_matches_and_their_places(spark, documents):
     item = [f"q{i}" for i in range(30)]
     docs = [(1, " ".join(["x"] * 4 + item[5:20] + ["y"] + item[18:30]), "en"), (2, " ".join(item[:9]), "en")]
