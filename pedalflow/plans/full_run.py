@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pedalflow.operators import bridge, cleaning, features, forecast, hourly, metrics, rebalance
 from pedalflow.sources.ledger import table_counts
@@ -28,21 +29,26 @@ def run(spark: SparkSession, inputs: RunInputs, out: str, run_id: str, iteration
     ``out`` must lie on storage shared by all executors: a lost executor costs one stage, not the run.
     """
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        write_table(df, f"{out}/{name}")
-        return read_table(spark, f"{out}/{name}")
+    def stored(df: DataFrame, name: str, day: str | None = None) -> DataFrame:
+        """Write and read back; a table that grows is partitioned by the date of its column ``day``."""
+        path = f"{out}/{name}"
+        if day is None:
+            write_table(df, path)
+        else:
+            write_table(df.withColumn("date", F.col(day).cast("date")), path, partition_by=["date"])
+        return read_table(spark, path).select(*df.columns)
 
     # the raw rows are read, shuffled and parsed once; trips, rejections and report come from the result
     classified = stored(cleaning.classify_distinct(inputs.raw_trips), "classified")
     tables = {
-        "trips_clean": stored(cleaning.clean_of(classified, run_id), "trips_clean"),
+        "trips_clean": stored(cleaning.clean_of(classified, run_id), "trips_clean", "retiro_ts"),
         "trip_rejections": stored(cleaning.rejections_of(classified, run_id), "trip_rejections"),
     }
     write_report(cleaning.report_of(classified), f"{out}/reports/rejection_report")
     trips = tables["trips_clean"]
-    demand = tables["demand_hourly"] = stored(hourly.demand_hourly(trips), "demand_hourly")
+    demand = tables["demand_hourly"] = stored(hourly.demand_hourly(trips), "demand_hourly", "date")
     availability = tables["availability_hourly"] = stored(
-        hourly.availability_hourly(inputs.station_status), "availability_hourly"
+        hourly.availability_hourly(inputs.station_status), "availability_hourly", "date"
     )
     live = bridge.live_stations(inputs.station_information)
     matched = bridge.match_stations(bridge.historical_stations(trips, inputs.catalog), live, inputs.aliases)
@@ -52,7 +58,7 @@ def run(spark: SparkSession, inputs: RunInputs, out: str, run_id: str, iteration
         features.station_meta(ids, inputs.station_information),
         features.recent_availability(availability, ids),
     )
-    model_features = tables["model_features"] = stored(frame, "model_features")
+    model_features = tables["model_features"] = stored(frame, "model_features", "ts")
     trained = forecast.train(model_features, iterations=iterations)
     forecast.save_model(spark, trained, f"{out}/model")
     replace_partitions(trained.predictions(), f"{out}/model_predictions", ["target"])
