@@ -23,6 +23,7 @@ result are replaced by it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,14 +76,19 @@ _BLOCK = 64
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Leftmost, non-overlapping matches with their places, summed up from the lengths of what lies between them.
 
     Matches are gone through in blocks, so that a text of many matches does not copy all earlier ones for each.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    def steps_of(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        return F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + step["gap"]
@@ -92,13 +98,15 @@ def _found(text: Column, pattern: str) -> Column:
 
     def add_block(state: Column, block: Column) -> Column:
         inner = F.aggregate(block, F.struct(state["at"].alias("at"), F.array().cast(_SPAN).alias("spans")), add)
-        once = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(state["blocks"], F.array(x["spans"])).alias("blocks")))
-        return F.element_at(once, 1)
+        return _once(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["blocks"], F.array(x["spans"])).alias("blocks")))
+
+    def placed(steps: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: (i % _BLOCK == 0) & (i < F.size(steps)))
+        blocks = F.transform(starts, lambda i: F.slice(steps, i + 1, F.lit(_BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
+        return F.aggregate(blocks, start, add_block, lambda state: F.flatten(state["blocks"]))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: (i % _BLOCK == 0) & (i < F.size(steps)))
-    blocks = F.transform(starts, lambda i: F.slice(steps, i + 1, F.lit(_BLOCK)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
-    return F.aggregate(blocks, start, add_block, lambda state: F.flatten(state["blocks"]))
+    return _once(_once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), steps_of), placed)
 
 
 def _known(text: Column, kind: str) -> Column:
