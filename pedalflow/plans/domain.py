@@ -257,9 +257,10 @@ class Domain:
     def predictions(self) -> DataFrame:
         """Baseline predictions next to a naive forecast, the mean of the day before."""
         bounds = FC.temporal_quantiles(self.observed)
-        fitted = FC.fit_baseline(FC.training_rows(self.observed, bounds))
+        fitted = self.stored(FC.fit_baseline(FC.training_rows(self.observed, bounds)), "baseline")
         scored = FC.predict_baseline(fitted, FC.assign_split(self.observed, bounds)).withColumn("y_pred_model", F.coalesce("salidas_roll_mean_24", F.lit(0.0)))
-        return FC.model_predictions(scored, "salidas", "naive_v1", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+        rows = FC.model_predictions(scored, "salidas", "naive_v1", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+        return self.stored(rows, "predictions")
 
     @cached_property
     def test_predictions(self) -> DataFrame:
@@ -274,14 +275,14 @@ class Domain:
 
     @cached_property
     def state(self) -> DataFrame:
-        return R.balance_state(self.inventory)
+        return self.stored(R.balance_state(self.inventory), "state")
 
     @cached_property
     def moves(self) -> DataFrame:
         """A stored plan: every reachable pair moves what both sides allow, at most one truck load."""
         pairs = R.candidate_pairs(self.state)
         received = F.least("need", "avail", F.lit(R.MAX_BIKES_PER_MOVE))
-        return pairs.select(
+        planned = pairs.select(
             "target_ts",
             F.col("donor").alias("donor_station_id"),
             F.col("receiver").alias("receiver_station_id"),
@@ -290,6 +291,7 @@ class Domain:
             F.col("deficit_before").alias("receiver_deficit_before"),
             F.greatest(F.col("deficit_before") - F.col("need"), F.lit(0.0)).alias("receiver_deficit_after"),
         )
+        return self.stored(planned, "moves")
 
     # --- manifest --------------------------------------------------------------------------
 
@@ -330,5 +332,5 @@ def domain(spark: SparkSession, sf_dir: str) -> Domain:
 
 
 def bridge_rows(d: Domain) -> DataFrame:
-    """The full cascade on the catalogues."""
-    return B.match_stations(d.hist_catalog, d.live_catalog, d.aliases)
+    """The full cascade on the catalogues, each of which it reads several times."""
+    return B.match_stations(d.stored(d.hist_catalog, "hist"), d.stored(d.live_catalog, "live"), d.stored(d.aliases, "aliases"))

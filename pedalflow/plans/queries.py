@@ -1047,7 +1047,8 @@ def temporal_split(d):
 
 @query("baseline_predict_M3")
 def baseline_predict(d):
-    return FC.predict_baseline(FC.fit_baseline(_training(d)), _split(d)).select("station_id", "ts", "split", "y_pred_baseline")
+    baseline = d.stored(FC.fit_baseline(_training(d)), "baseline")
+    return FC.predict_baseline(baseline, _split(d)).select("station_id", "ts", "split", "y_pred_baseline")
 
 
 @query("train_model_M4")
