@@ -10,7 +10,8 @@ computed again, from the demand of these days and the 168 hours before, and repl
 that is new gets its rows of all other days as partitions of its own (``cohort``, the run that brought it), which a
 repeated load replaces. Where capacity or place of a known station has changed, all days are computed.
 
-Dates are brought to the driver: one for each day of the grid.
+A repeat replaces partitions, it removes none: a day that only this run had, and of which its repeat has nothing, stays as
+it was. Dates are brought to the driver: one for each day of the grid.
 """
 
 from __future__ import annotations
