@@ -61,6 +61,22 @@ def test_model_is_repeatable_non_negative_and_blind_to_the_future(spark):
     pd.testing.assert_series_equal(pa["y_pred_baseline"], pc["y_pred_baseline"])
 
 
+def test_training_tasks_follow_the_rows(spark, monkeypatch):
+    rows = series(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        few = FC.training_frame(rows, ["hour", "lag"]).persist()
+        assert few.rdd.getNumPartitions() == 4 and few.count() == rows.count()
+        few.unpersist()
+        monkeypatch.setattr(FC, "_ROWS_PER_TASK", 100)
+        many = FC.training_frame(rows, ["hour", "lag"]).persist()
+        assert many.rdd.getNumPartitions() == 8 and many.count() == rows.count()
+        many.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_saved_model_scores_alike_and_knows_new_stations(spark, tmp_path):
     rows = series(spark)
     trained = FC.train(rows, iterations=2)
