@@ -108,11 +108,21 @@ def new_manifest_rows(manifest_text: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def apply_status(manifest: DataFrame, updates: DataFrame) -> DataFrame:
-    """Overwrite the load state of the urls in ``updates`` (url, state columns, ``at``); the latest wins."""
-    latest = updates.groupBy("url").agg(F.max_by(F.struct(*_STATE), "at").alias("u"))
+    """Overwrite the load state of the urls in ``updates`` (url, state columns, ``at``); the latest wins.
+
+    The updates are dealt by url before they are compared: a file has few of them, so combining them in front of the
+    shuffle would sort, and spill, all updates of a task and drop hardly any. Those of one url meet in one sorted task.
+    A checksum travels as the bytes that its digits stand for, any other text as it is.
+    """
+    checksum = F.col("checksum_sha256")
+    plain = F.lower(F.hex(F.unhex(checksum))) == checksum
+    state = [F.when(plain, F.unhex(checksum)).alias("_bytes"), F.when(plain, F.lit(None)).otherwise(checksum).alias("checksum_sha256")]
+    packed = updates.select("url", "at", F.struct(*[c for c in _STATE if c != "checksum_sha256"], *state).alias("u"))
+    latest = packed.repartition("url").groupBy("url").agg(F.max_by("u", "at").alias("u"))
     joined = manifest.join(latest, "url", "left")
     touched = F.col("u").isNotNull()
-    fresh = joined.withColumns({c: F.when(touched, F.col(f"u.{c}")).otherwise(F.col(c)) for c in _STATE})
+    news = {c: F.col(f"u.{c}") for c in _STATE} | {"checksum_sha256": F.coalesce(F.lower(F.hex("u._bytes")), "u.checksum_sha256")}
+    fresh = joined.withColumns({c: F.when(touched, news[c]).otherwise(F.col(c)) for c in _STATE})
     return conform(fresh, "historical_file_manifest")
 
 

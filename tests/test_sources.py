@@ -187,6 +187,19 @@ def test_status_updates_take_the_latest(spark):
     assert got == {"a": ("downloaded", 200), "b": ("pending", None)}
 
 
+def test_status_updates_are_dealt_by_url_first_and_keep_any_checksum(spark):
+    sums = {"a": "0aff", "b": "0AFF", "c": "abc", "d": "", "e": None, "f": "x"}
+    rows = manifest_rows(spark, *[{"url": u, "file_name": "f", "checksum_sha256": "old"} for u in sums])
+    loads = spark.createDataFrame(
+        [(u, "downloaded", 200, 9, c, "p", None, 1) for u, c in sums.items()],
+        "url string, download_status string, http_status int, size_bytes bigint, checksum_sha256 string, local_path string, last_downloaded_at_utc timestamp_ntz, at int",
+    )
+    got = manifest.apply_status(rows, loads)
+    assert {r["url"]: r["checksum_sha256"] for r in got.collect()} == sums
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("REPARTITION_BY_COL") > plan.rindex("max_by")  # the exchange lies below both halves of the aggregate
+
+
 def test_file_audit_flags_changes(spark, tmp_path):
     folder = tmp_path / "landed"
     folder.mkdir()
