@@ -12,7 +12,7 @@ from pedalflow.schemas import SCHEMAS
 from pedalflow.session import scratch_path
 from pedalflow.sources import ledger, manifest
 from pedalflow.sources.csv_files import stage_raw
-from pedalflow.sources.sinks import replace_partitions
+from pedalflow.sources.sinks import read_table, replace_partitions, write_table
 
 _LOADED = "url string, file_name string, checksum_sha256 string, run_id string"
 _EVENTS = "seq int, run_type string, source string, at_utc timestamp_ntz, status string, rows_ingested bigint, notes string, run_id string"
@@ -55,7 +55,10 @@ def load_month(
     earlier = {name: df.filter(F.col("run_id") != run_id) for name, df in tables.items()}
     replace_partitions(ledger.start_run(spark, run_id, "historical_load", "manifest"), f"{out}/run_events", ["run_id"])
     try:
-        todo = manifest.skip_unchanged(files, earlier["loaded_files"], force)
+        # every table below needs the list of files: stored once, and small enough to be broadcast to the raw rows
+        listed = scratch_path(spark, "todo")
+        write_table(manifest.skip_unchanged(files, earlier["loaded_files"], force), listed)
+        todo = read_table(spark, listed)
         rows = raw.join(todo.select(F.col("file_name").alias("source_file")).distinct(), "source_file", "left_semi")
         replace_partitions(stage_raw(rows, run_id, at), f"{out}/trips_raw", ["run_id"])
         scratch = scratch_path(spark, "classified")

@@ -1136,7 +1136,7 @@ def incremental_load(d):
     """Two loads of overlapping files and one of nothing new: rows of each table by run."""
     from pedalflow.plans import monthly
 
-    out, files = scratch_path(d.spark, "monthly"), _raw_manifest(d)
+    out, files = scratch_path(d.spark, "monthly"), d.stored(_raw_manifest(d), "files")
     day = F.substring("file_name", 16, 2).cast("int")
     for run_id, chosen in (("run_1", day <= 20), ("run_2", day >= 11), ("run_3", day == 15)):
         monthly.load_month(d.spark, d.trips_raw, files.filter(chosen), out, run_id, at=fixed_time())
@@ -1157,7 +1157,7 @@ def incremental_hourly(d):
     """Hourly demand after three loads of files, the first days, the last ones and those between: that of all trips."""
     from pedalflow.plans import incremental, monthly
 
-    out, files = scratch_path(d.spark, "monthly"), _raw_manifest(d)
+    out, files = scratch_path(d.spark, "monthly"), d.stored(_raw_manifest(d), "files")
     for run_id, chosen in _PARTS_OF_MONTH:
         days = files.filter(chosen.format(day="cast(substring(file_name, 16, 2) AS int)"))
         monthly.load_month(d.spark, d.trips_raw, days, out, run_id, at=fixed_time())

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pedalflow.plans import monthly
 
@@ -51,3 +52,15 @@ def test_a_load_that_fails_is_in_the_ledger(spark, tmp_path, raw_trips, files):
     row = monthly.runs(spark, out).first()
     assert row["status"] == "error" and "bici" in row["notes"]
     assert counts(spark, out)["loaded_files"] == 0
+
+
+def test_the_list_of_files_is_worked_out_once(spark, tmp_path, raw_trips, files):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(url):
+        read.add(1)
+        return url
+
+    listed = files(("a.csv", "1"), ("b.csv", "1")).withColumn("url", F.udf(seen, "string")("url"))
+    monthly.load_month(spark, raw_trips(VALID, {"source_file": "b.csv"}), listed, str(tmp_path / "out"), "r1")
+    assert read.value == 2 and counts(spark, str(tmp_path / "out"))["loaded_files"] == 2
