@@ -26,7 +26,7 @@ MODEL_VERSION = "rebalanceo_heuristico_v1"
 WINDOW_KEYS = ("target_ts",)
 
 # rounds between two writes to the shared folder
-_ROUNDS_PER_CUT = 3
+_ROUNDS_PER_CUT = 5
 
 
 # --- expected inventory ------------------------------------------------------------------------
@@ -259,12 +259,13 @@ def allocate(pairs: DataFrame, keys: Sequence[str] = WINDOW_KEYS, on_round: Call
         for _ in range(_ROUNDS_PER_CUT):
             current = one_round(current.drop("asked", "qty", "refused"))
         current = cut_lineage(current)
-        moving = current.filter("refused").select(*keys).distinct()
+        # the windows are few: cut as well, they are looked up twice, and the pairs are written once a cut
+        moving = cut_lineage(current.filter("refused").select(*keys).distinct())
         settled.append(current.filter("qty > 0").join(moving, list(keys), "left_anti"))
-        current = cut_lineage(current.join(moving, list(keys), "left_semi"))
+        current = current.join(moving, list(keys), "left_semi")
         if on_round is not None:
             on_round(current.count())
-        if current.isEmpty():
+        if moving.isEmpty():
             return reduce(DataFrame.unionByName, settled).drop("cap", "asked", "refused")
 
 

@@ -186,3 +186,19 @@ def test_nearest_captures_equal_one_by_one(spark):
         for r in R.nearest_capture(status, lit).collect():
             assert many[r["station_id"], t] == r["current_inv"]
     assert len(many) == 4 * len(times)
+
+
+def test_pairs_are_written_once_a_cut(spark, monkeypatch):
+    cuts, left = [], []
+
+    def cut(df):
+        cuts.append(df.columns)
+        return cut_lineage(df)
+
+    cut_lineage = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", cut)
+    rows = [("w", f"r{i}", f"d{j}", float(abs(i - j)), float(20 - i), 6, 3) for i in range(9) for j in range(9)]
+    pairs = spark.createDataFrame(rows, "target_ts string, receiver string, donor string, dist double, deficit_before double, need int, avail int")
+    granted = R.allocate(pairs, on_round=left.append)
+    assert granted.agg(F.sum("qty")).first()[0] == 27 and left[-1] == 0
+    assert sum("cap" in columns for columns in cuts) == 1 + len(left)
