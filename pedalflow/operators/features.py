@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 
+import numpy as np
+import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,12 +187,37 @@ def rolling_means(w, windows: Sequence[int] = ROLLING_HOURS, column: str = "sali
     ]
 
 
-def rolling_medians(w, windows: Sequence[int] = ROLLING_HOURS, column: str = "salidas") -> list[Column]:
-    """Exact median of up to ``hours`` rows before the current one."""
-    return [
-        F.percentile(column, F.lit(0.5)).over(w.rowsBetween(-hours, -1)).alias(f"{column}_roll_median_{hours}")
-        for hours in windows
-    ]
+class _Before(BaseIndexer):
+    """The rows from ``start`` to just before the current one."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start, np.arange(num_values)
+
+
+def _medians(windows: Sequence[int], values: np.ndarray, seen: np.ndarray) -> dict[str, np.ndarray]:
+    at = np.arange(len(values))
+    rows = pd.Series(values)
+    return {f"_{hours}": rows.rolling(_Before(start=at - np.minimum(seen, hours)), min_periods=1).median() for hours in windows}
+
+
+def rolling_medians(windows: Sequence[int] = ROLLING_HOURS, column: str = "salidas") -> Column:
+    """Exact medians of up to ``hours`` rows before the current one, a field ``_<hours>`` for each window.
+
+    A task slides over its rows, which must be in the order of the windows with ``_seen`` rows of the same group before
+    each; the longest window is all it keeps from one batch to the next. As the result depends on that order, the
+    function is marked so that no filter is moved in front of it.
+    """
+
+    def slide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        kept = np.empty(0)
+        for values, seen in batches:
+            held = np.concatenate((kept, values.to_numpy(np.float64)))
+            found = _medians(windows, held, np.concatenate((np.arange(len(kept)), seen.to_numpy(np.int64))))
+            yield pd.DataFrame(found).iloc[len(kept) :]
+            kept = held[-max(windows) :]
+
+    fields = ", ".join(f"_{hours} double" for hours in windows)
+    return F.pandas_udf(slide, fields).asNondeterministic()(F.col(column), F.col("_seen"))
 
 
 def build_feature_frame(
@@ -218,8 +246,12 @@ def build_feature_frame(
         F.lag("bikes_end", 1).over(w).alias("bikes_end_lag_1"),
         *lag_columns(w, lag_hours),
         *rolling_means(w, rolling_windows),
-        *rolling_medians(w, rolling_windows),
-    ).filter(F.col("hour_no") >= F.col("block") * block_hours)
+        "_seen",
+    )
+    if rolling_windows:
+        slid = lagged.sortWithinPartitions("station_id", "block", "hour_no").withColumn("_medians", rolling_medians(rolling_windows))
+        lagged = slid.withColumns({f"salidas_roll_median_{hours}": F.col(f"_medians._{hours}") for hours in rolling_windows})
+    lagged = lagged.filter(F.col("hour_no") >= F.col("block") * block_hours)
     if part is not None:
         lagged = lagged.filter(_within(F.col("hour_no"), part.runs(0)))
     timed = lagged.withColumn("ts", _hour_at(F.col("hour_no")))

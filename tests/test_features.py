@@ -84,3 +84,24 @@ def test_blocks_equal_pandas_over_many_blocks(spark, seed):
             rolled = x.shift(1).rolling(w, min_periods=1)
             np.testing.assert_allclose(g[f"salidas_roll_mean_{w}"], rolled.mean(), atol=1e-9)
             pd.testing.assert_series_equal(g[f"salidas_roll_median_{w}"], rolled.median(), check_names=False)
+
+
+def test_medians_slide_over_small_batches_and_are_not_worked_out_when_not_asked_for(spark):
+    """A moving frame of ``percentile`` adds up the whole window again for every row; groups may start within a batch."""
+    values = {s: {h: (h * k) % 11 for h in range(0, 90, k)} for k, s in enumerate(("1", "2", "3"), 1)}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        df = frame(spark, values, [1], [3, 24])
+    finally:
+        spark.conf.set(setting, before)
+    assert len(df) == 3 * 90
+    for _, g in df.groupby("station_id"):
+        x = g["salidas"].reset_index(drop=True)
+        for w in (3, 24):
+            pd.testing.assert_series_equal(g[f"salidas_roll_median_{w}"].reset_index(drop=True), x.shift(1).rolling(w, min_periods=1).median(), check_names=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = FE.build_feature_frame(demand(spark, values), meta(spark))
+    assert "percentile" not in plan(whole) and "ArrowEvalPython" in plan(whole)
+    assert "ArrowEvalPython" not in plan(whole.select("station_id", "ts", "salidas_roll_mean_24"))
