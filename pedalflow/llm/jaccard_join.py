@@ -138,39 +138,53 @@ def _describe(params: Params):
     return describe
 
 
-def _sets(params: Params, wanted):
-    """Sets of the texts whose id is in the filter ``wanted`` (a broadcast array of bits)."""
+def _chosen(batches: Iterator[pa.RecordBatch], bits, wanted: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows, without their last column, whose ``bit`` is in the filter ``bits`` (a broadcast array), or is not."""
+    flags = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+    for batch in batches:
+        rows = batch.filter(pa.array(flags[batch.column(batch.num_columns - 1).to_numpy()] == wanted))
+        yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])
+
+
+def _sets(params: Params, bits):
+    """Names and sets of the texts whose id is in the filter ``bits``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = Hasher(NOT_SPACE, LOWER), np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("bit").to_numpy()] == 1))
+        hasher = Hasher(NOT_SPACE, LOWER)
+        for batch in _chosen(batches, bits):
             for rows, data, offsets in chunks(batch.column("text")):
                 shingle, begins = shingle_sets(data, offsets, hasher, params.words)
-                ids = batch.column("doc_id")[rows.start : rows.stop]
-                yield pa.RecordBatch.from_arrays([ids, _binary(_keys(shingle, begins)), _sliced(shingle, begins)], names=["doc_id", "key", "members"])
+                yield pa.RecordBatch.from_arrays([_binary(_keys(shingle, begins)), _sliced(shingle, begins)], names=["key", "members"])
 
     return sets
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
-    """node and members for the nodes in ``wanted``.
+def _bit(params: Params) -> Column:
+    """The place of a ``doc_id`` in a filter of ids."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << params.filter_bits))
 
-    The ids that are looked for travel as a filter of fixed size, so that only texts which may be needed are hashed and
-    moved; the join after it is exact. A filter that is too small for the data costs time, not results.
-    """
-    spark = docs.sparkSession
-    needed = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "key", "doc_id")
-    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(1 << params.filter_bits))
-    maps = needed.select((bit() + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+
+def _filter_of(ids: DataFrame, params: Params) -> bytes:
+    """The ``doc_id``s of ``ids`` as an array of bits of fixed size."""
+    maps = ids.select((_bit(params) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = bytearray((1 << params.filter_bits) // 8)
     for r in maps.collect():
         at = (r["part"] - 1) * len(r["bits"])
         bits[at : at + len(r["bits"])] = r["bits"]
-    found = docs.select("doc_id", "text", bit().alias("bit")).mapInArrow(_sets(params, spark.sparkContext.broadcast(bytes(bits))), "doc_id long, key binary, members binary")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    joined = found.join(needed.select("node", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), same)
-    return joined.groupBy("node").agg(F.first("members").alias("members"))
+    return bytes(bits)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
+    """key and members for the nodes in ``wanted``, and for some others.
+
+    The ids that are looked for travel as a filter of fixed size, so that only texts which may be needed are hashed and
+    moved; the joins with the result are exact. A filter that is too small for the data costs time, not results. Sets are
+    moved by their names, under which they are joined, and so only once.
+    """
+    needed = nodes.join(wanted.select("node").distinct(), "node", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed, params))
+    found = docs.select("text", _bit(params).alias("bit")).mapInArrow(_sets(params, bits), "key binary, members binary")
+    return found.groupBy("key").agg(F.first("members").alias("members"))
 
 
 def _compare(counters=None, bits: int = 0):
@@ -201,12 +215,15 @@ def _compare(counters=None, bits: int = 0):
     return compare
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, counters=None, bits: int = 0) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, counters=None, bits: int = 0) -> DataFrame:
     """``pairs`` (a, b) with the sizes of both sets and of their intersection, and the difference where asked for."""
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
+    named = pairs.select("a", "b")
+    for c in ("a", "b"):
+        named = named.join(nodes.select(F.col("node").alias(c), F.col("key").alias(f"{c}_key")), c)
+    one = sets.select(F.col("key").alias("a_key"), F.col("members").alias("left"))
+    two = sets.select(F.col("key").alias("b_key"), F.col("members").alias("right"))
     size = lambda c: F.floor(F.octet_length(c) / 8).cast("long")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", size("left").alias("na"), size("right").alias("nb"), "left", "right")
+    both = named.join(one, "a_key").join(two, "b_key").select("a", "b", size("left").alias("na"), size("right").alias("nb"), "left", "right")
     return both.mapInArrow(_compare(counters, bits), "a long, b long, na long, nb long, shared long, diff binary")
 
 
@@ -237,42 +254,72 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def _packed(entries: np.ndarray) -> bytes:
+    """Entries as differences, all first bytes before all second ones and so on: most are zeros, and compress."""
+    out = entries.copy()
+    out["pivot"] = entries["pivot"] ^ entries["group"]
+    out["most"] = entries["most"] - entries["least"]
+    out["left"] = entries["most"] - entries["left"]
+    return out.view(np.uint8).reshape(len(out), _ENTRY.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8).reshape(_ENTRY.itemsize, -1).T.copy().view(_ENTRY).ravel()
+    out["pivot"] ^= out["group"]
+    out["most"] += out["least"]
+    out["left"] = out["most"] - out["left"]
+    return out
+
+
 def _dealt(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Entries packed into one row for each bucket of tokens."""
     bucket = (mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), _sliced(entries[order], begins)], names=["bucket", "entries"])
-    return rows.filter(pa.array(np.diff(begins) > 0))
+    used, begins = np.unique(bucket[order], return_index=True)
+    packed = [_packed(part) for part in np.split(entries[order], begins[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed, pa.binary())], names=["bucket", "entries"])
 
 
-def _index(params: Params, counters, buckets: int):
-    """Prefix entries of a task's sets, merged by token and group, packed into one row for each bucket of tokens."""
+def _rarest(params: Params, counters):
+    """Size and prefix, the rarest shingles first, of each text's set."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = Hasher(NOT_SPACE, LOWER), np.frombuffer(counters.value, np.int64)
-        held: list[np.ndarray] = []
         for batch in batches:
-            groups, pivots = batch.column("group").to_numpy(), batch.column("pivot").to_numpy()
             for rows, data, offsets in chunks(batch.column("text")):
                 shingle, begins = shingle_sets(data, offsets, hasher, params.words)
                 n = np.diff(begins)
                 text = np.repeat(np.arange(len(n)), n)
                 rare = counts[(shingle >> np.uint64(64 - params.counter_bits)).astype(np.int64)]
                 order = np.lexsort((shingle, rare, text))
-                position = np.arange(len(shingle)) - begins[text]
-                chosen = position < prefix_length(n, params.percent)[text]
-                entries = np.empty(int(chosen.sum()), _ENTRY)
-                entries["token"] = shingle[order][chosen]
-                entries["group"], entries["pivot"] = groups[rows][text[chosen]], pivots[rows][text[chosen]]
-                entries["least"] = entries["most"] = n[text[chosen]]
-                entries["left"] = (n[text] - position)[chosen]
-                held.append(entries)
+                most = np.where(n > 0, prefix_length(n, params.percent), 0)
+                prefix = shingle[order][np.arange(len(shingle)) - begins[text] < most[text]]
+                ids = batch.column("doc_id")[rows.start : rows.stop]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), _sliced(prefix, np.append(0, np.cumsum(most)))], names=["doc_id", "n", "prefix"])
+
+    return rarest
+
+
+def _index(buckets: int):
+    """Prefix entries of a task's sets, merged by token and group, packed into one row for each bucket of tokens."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            prefixes = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column("prefix")]
+            if not prefixes:
+                continue
+            length = np.array([len(p) for p in prefixes])
+            groups, pivots, n = (np.repeat(batch.column(c).to_numpy(), length) for c in ("group", "pivot", "n"))
+            entries = np.empty(len(n), _ENTRY)
+            entries["token"], entries["group"], entries["pivot"] = np.concatenate(prefixes), groups, pivots
+            entries["least"] = entries["most"] = n
+            entries["left"] = n - _grown(np.zeros(len(length), np.int64), length)
+            held.append(entries)
             if sum(map(len, held)) > 400_000:
                 held = [_merged(np.concatenate(held))]
         if held and sum(map(len, held)):
-            entries = _merged(np.concatenate(held))
-            yield _dealt(entries, buckets)
+            yield _dealt(_merged(np.concatenate(held)), buckets)
 
     return index
 
@@ -325,7 +372,7 @@ def candidate_pairs(entries: np.ndarray, percent: int, block: int) -> np.ndarray
 
 def _search(params: Params):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = np.frombuffer(b"".join(pdf["entries"]), _ENTRY)
+        entries = np.concatenate([_unpacked(part) for part in pdf["entries"]])
         pairs = candidate_pairs(entries, params.percent, params.block)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -511,8 +558,8 @@ def _fringe(pairs: DataFrame, groups: DataFrame, docs: DataFrame, nodes: DataFra
     one = pairs.join(members.withColumnRenamed("group", "a"), "a").select("a", "b", "node", F.lit(1).alias("side"), F.col("d"), F.col("b").alias("other"))
     sided = stored(one.unionByName(two), "sided")
     wanted = sided.select("node").unionByName(sided.select(F.col("other").alias("node"))).distinct()
-    sets = stored(_sets_of(docs, nodes, wanted, params), "fringe-sets")
-    crossed = stored(_compared(sided.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets).drop("diff").withColumn("cross", _distance()).withColumn("linked", _linked(params)), "crossed")
+    sets = stored(_sets_of(docs, nodes, wanted, params).join(nodes.select("node", "key"), "key"), "fringe-sets")
+    crossed = stored(_compared(sided.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets, nodes).drop("diff").withColumn("cross", _distance()).withColumn("linked", _linked(params)), "crossed")
     links = crossed.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = stored(edges.unionByName(links), "edges")
 
@@ -528,7 +575,7 @@ def _fringe(pairs: DataFrame, groups: DataFrame, docs: DataFrame, nodes: DataFra
     y = tokens.where("side = 2").select("a", "b", "token", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("cross").alias("cy"))
     close = (F.abs(F.col("cx") - F.col("dy")) <= near) & (F.abs(F.col("cy") - F.col("dx")) <= near)
     last = x.join(y, ["a", "b", "token"]).where(close).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = _compared(last, sets).where(_linked(params)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = _compared(last, sets, nodes).where(_linked(params)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return edges.unionByName(more)
 
 
@@ -570,7 +617,7 @@ def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     pairs = common.join(best, ["turn", "low"]).where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("agree"))
     pairs = stored(pairs.where(F.col("agree") >= _AGREE).select("a", "b"), "pivot-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = _compared(pairs, _sets_of(docs, nodes, wanted, params), counts, params.counter_bits)
+    first = _compared(pairs, _sets_of(docs, nodes, wanted, params), nodes, counts, params.counter_bits)
     first = stored(first.withColumn("d", _distance()).withColumn("linked", _linked(params)), "first")
     near, close = first.where("linked"), first.where("diff IS NOT NULL")
     roots = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
@@ -590,15 +637,16 @@ def _named(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
 
     # 3. Pairs of different pivots that share rare shingles.
     located = nodes.join(groups, "node").select(F.col("doc_id").alias("_id"), "group", "pivot")
-    keyed = docs.join(located, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "group", "pivot")
-    entries = keyed.mapInArrow(_index(params, counts, buckets), "bucket long, entries binary")
+    rarest = docs.mapInArrow(_rarest(params, counts), "doc_id long, n long, prefix binary").where("n > 0")
+    keyed = rarest.join(located, F.col("doc_id").eqNullSafe(F.col("_id"))).select("n", "prefix", "group", "pivot")
+    entries = keyed.mapInArrow(_index(buckets), "bucket long, entries binary")
     across = entries.groupBy("bucket").applyInPandas(_search(params), "a long, b long")
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = stored(across.distinct().join(known, ["a", "b"], "left_anti"), "candidates")
 
     # 4. Comparisons, of members only where their pivots leave it open.
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-    compared = _compared(candidates, _sets_of(docs, nodes, wanted, params)).drop("diff")
+    compared = _compared(candidates, _sets_of(docs, nodes, wanted, params), nodes).drop("diff")
     compared = stored(compared.withColumn("linked", _linked(params)).withColumn("d", _distance()), "compared")
     edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edited).unionByName(compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     radius = groups.groupBy("group").agg(F.max("d").alias("r"))
@@ -621,12 +669,12 @@ def joined(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return full.unionByName(empty)
 
 
-def _keyed(params: Params, schema: T.StructType):
-    """Rows with the name of their set; a text without shingles gets a name of its own."""
+def _keyed(params: Params, schema: T.StructType, bits):
+    """Rows whose id is in the filter ``bits`` with the name of their set; a text without shingles gets a name of its own."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, task = Hasher(NOT_SPACE, LOWER), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in _chosen(batches, bits):
             for rows, data, offsets in chunks(batch.column("text")):
                 shingle, begins = shingle_sets(data, offsets, hasher, params.words)
                 keys = _binary(_keys(shingle, begins)).to_pylist()
@@ -642,16 +690,25 @@ def _keyed(params: Params, schema: T.StructType):
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, then the smallest name of its set.
 
-    Rows that are not linked all stay, whether they share an id, have none, or have a text without shingles.
+    Rows that are not linked all stay, whether they share an id, have none, or have a text without shingles. Only rows
+    are moved whose id is, in a filter of fixed size, that of a row which goes or repeats; all others stay where they are.
     """
     small_batches(docs.sparkSession)
-    _, named = _named(docs, params)
+    described, named = _named(docs, params)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")).alias("first")
     stay = named.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.none").alias("_none"), F.col("first.key").alias("_key"), F.lit(True).alias("_stays"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType()), T.StructField("_empty", T.BooleanType())])
-    number = F.col("doc_id").cast("long")
-    rows = docs.mapInArrow(_keyed(params, schema), schema).withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull()})
+    stay = stored(stay, "stay")
     place = ["_id", "_none", "_key"]
+    number = F.col("doc_id").cast("long")
+    placed = {"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull()}
+    rows = described.where("n > 0").withColumns({**placed, "_key": F.col("key")}).groupBy(*place).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    going = rows.join(stay, place, "left").where("_stays IS NULL OR rows > 1")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(going, params))
+
+    marked = docs.withColumn("_bit", _bit(params))
+    alone = marked.mapInArrow(lambda batches: _chosen(batches, bits, False), docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType()), T.StructField("_empty", T.BooleanType())])
+    rows = marked.mapInArrow(_keyed(params, schema, bits), schema).withColumns(placed)
     kept = rows.join(stay, place, "left").where(F.col("_empty") | F.col("_stays"))
     one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")  # of rows that differ in nothing linked
-    return kept.groupBy(*place).agg(one).select("one.*")
+    return alone.unionByName(kept.groupBy(*place).agg(one).select("one.*"))

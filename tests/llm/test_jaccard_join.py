@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pedalflow.llm import jaccard_join as j
@@ -156,3 +157,48 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_entries_of_small_numbers_compress_and_come_back():
+    rng = np.random.default_rng(3)
+    n = 2000
+    entries = np.zeros(n, j._ENTRY)
+    entries["token"] = rng.integers(0, 2**64, n, dtype=np.uint64)
+    entries["group"] = rng.integers(0, 40_000, n)
+    entries["pivot"] = np.where(rng.random(n) < 0.8, entries["group"], rng.integers(0, 40_000, n))
+    entries["least"] = rng.integers(5, 900, n)
+    entries["most"] = entries["least"] + rng.integers(0, 50, n)
+    entries["left"] = entries["most"] - rng.integers(0, 60, n)
+    entries = j._merged(entries)
+    for some in (entries, entries[:1], entries[:0]):
+        back = j._unpacked(j._packed(some))
+        assert len(back) == len(some) and (back == some).all()
+    packed, plain = (pa.compress(x, "lz4", asbytes=True) for x in (j._packed(entries), entries.tobytes()))
+    assert len(packed) < 0.7 * len(plain)
+
+
+def test_one_of_each_moves_only_rows_that_may_go(documents, monkeypatch):
+    """Of 300 texts without a copy next to none are moved; rows that go or repeat are found among all others."""
+    rng = random.Random(8)
+    alone = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)), "en") for i in range(300)]
+    copies = [(1000 + i, alone[i][1].upper(), "de") for i in range(5)] + [alone[7], (None, alone[9][1], "en"), (12, "another text of the id", "en"), (400, "", "en")]
+    asked = []
+    whole = j._filter_of
+    monkeypatch.setattr(j, "_filter_of", lambda ids, params: asked.append(ids) or whole(ids, params))
+    for bits in (24, 16):  # the smallest filter that Spark's bitmaps fill
+        got = Counter((r["doc_id"], r["text"]) for r in j.one_of_each(documents([*alone, *copies]), j.Params(filter_bits=bits)).collect())
+        assert got == Counter([(d, t) for d, t, _ in alone] + [(12, "another text of the id"), (400, "")])
+        assert {r["doc_id"] for r in asked[-1].collect()} == {7, None, *range(1000, 1005)}
+
+
+def test_sets_are_moved_once_under_their_names(documents, monkeypatch):
+    """A set is not moved again to be found under the number of its node."""
+    rows = near_copies(6, groups=2, size=10, words=(30, 40), edits=2)
+    made = []
+    whole = j._sets_of
+    monkeypatch.setattr(j, "_sets_of", lambda *a: made.append(whole(*a)) or made[-1])
+    j.joined(documents(rows)).collect()
+    assert made and all(df.columns == ["key", "members"] for df in made)
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan

@@ -178,3 +178,10 @@ def test_columns_pass_through_and_clashing_ones_are_replaced(spark, documents):
 
 def test_empty_table(spark):
     assert q.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_bands_are_joined_without_moving_the_texts(documents):
+    """The bands are one row for each language, the documents are not dealt out by language to meet them."""
+    docs = documents([(i, t, "en") for i, t in enumerate(texts(5, 30))])
+    plan = q.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
